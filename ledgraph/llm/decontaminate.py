@@ -47,7 +47,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
     d = docs.select(F.struct(*[F.col(c) for c in kept]).alias("_doc"), normal_words(F.col("text")).alias("_words"))
     d = d.select("_doc", "_words", hashes.alias("_h"), F.size("_words").alias("_n"), F.monotonically_increasing_id().alias("_row"))
     places = lambda k: F.greatest(F.col("_n") - (k - 1), F.lit(0))
-    windows = [F.when(F.col("_n") >= k, F.transform(F.sequence(F.lit(1), places(k)), lambda i, k=k: F.xxhash64(F.slice("_h", i, k)))).otherwise(F.array().cast("array<bigint>")) for k in widths]
+
+    def hashes_of(k: int) -> Column:
+        return F.when(F.col("_n") >= k, F.transform(F.sequence(F.lit(1), places(k)), lambda i: F.xxhash64(F.slice("_h", i, k)))).otherwise(F.array().cast("array<bigint>"))
+
+    windows = [hashes_of(k) for k in widths]
     exploded = d.select("_row", "_doc", "_words", "_n", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), *windows)).alias("_pos", "_hash"))
     # Position within its width's own stretch of the exploded windows; 1 is the first word.
     start, before = F.lit(0), F.lit(1)
