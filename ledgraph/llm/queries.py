@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("simhash", "decontaminate", "mixing", "warc")
+MODULES = ("suffix", "quality", "simhash", "decontaminate", "mixing", "warc")
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
