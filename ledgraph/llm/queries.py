@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("suffix", "quality", "simhash", "decontaminate", "langid", "mixing", "warc")
+MODULES = ("suffix", "quality", "simhash", "decontaminate", "langid", "mixing", "warc", "toxicity")
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
