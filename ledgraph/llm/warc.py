@@ -36,17 +36,18 @@ def record(fields: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit(f"WARC/1.1{CRLF}"), F.concat_ws("", *lines), F.lit("Content-Length: "), byte_length(block).cast("string"), F.lit(CRLF * 2), block)
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
+def plan_records(pages: DataFrame, least_bytes: int = 1000, broadcast_rows: int = 500_000) -> DataFrame:
     """page_id, url, payload, payload_bytes, digest, and canonical: of equal payloads of ``least_bytes`` or more the largest page_id, else null.
 
-    Only digests that several page_ids share are joined back, one row each; a very common payload is then a skewed
-    join key against a single row, which adaptive execution splits.
+    Only digests that several page_ids share are joined back, one row each. Up to ``broadcast_rows`` of them (counted
+    first) are broadcast, so that payloads stay where they are; beyond that a very common payload is a skewed join key
+    against a single row, which adaptive execution splits.
     """
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("payload_bytes", byte_length(F.col("payload"))).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    shared = p.filter(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("canonical"), F.min("page_id").alias("least"), F.max("url").alias("_u"))
-    shared = shared.filter(F.col("canonical") != F.col("least")).select("digest", "canonical")
-    return p.join(shared, "digest", "left")
+    shared = p.filter(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("canonical"), F.min("page_id").alias("least"))
+    shared = stored(shared.filter(F.col("canonical") != F.col("least")).select("digest", "canonical"), "warc-shared")
+    return p.join(F.broadcast(shared) if shared.count() <= broadcast_rows else shared, "digest", "left")
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, pages_per_file: int = 2000) -> None:
@@ -55,7 +56,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, pages_p
     Rows with an equal payload of ``least_bytes`` or more become revisits of the one with the largest page_id (rows that
     repeat that id are responses too). The payload is the html in UTF-8; null is empty. Request and metadata name the
     capture through WARC-Concurrent-To. Spark's text writer puts the closing line ends between records, so each part
-    file is a plain WARC file of at most ``pages_per_file`` pages, committed as any Spark output.
+    file is a gzipped WARC file of at most ``pages_per_file`` pages, committed as any Spark output.
     """
     p = plan_records(pages, least_bytes)
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
@@ -85,7 +86,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, pages_p
     notes = F.concat(F.lit("page-id: "), page, F.lit(f"{CRLF}payload-id: "), F.when(revisit, F.lit("")).otherwise(urn(F.lit("payload"), page, F.col("digest"))), F.lit(CRLF))
     metadata = record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", urn(F.lit("metadata"), page, F.col("url"), F.col("digest"))), date, ("WARC-Target-URI", uri), ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], notes)
     lines = p.select(F.concat(request, F.lit(CRLF * 2), captured, F.lit(CRLF * 2), metadata).alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", pages_per_file).text(path)
+    lines.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", pages_per_file).option("compression", "gzip").text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -159,7 +160,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
-    captures = stored(assemble(read_archives(spark, path, with_payload=False)), "warc-captures")
+    captures = stored(assemble(stored(read_archives(spark, path, with_payload=False), "warc-records")), "warc-captures")
     note = lambda k: F.map_from_entries("metadata.fields")[k]
     rows = captures.select(
         F.expr("try_cast(map_from_entries(metadata.fields)['page-id'] AS bigint)").alias("page_id"),
