@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components, local_labels
 from .shared import LOWER_BYTES, stored, table, whole_groups
+from .textbytes import flat, mixed, parts, prefix_sums, span_hash, words
 
 #: Bits of a half's blocks: a perfect Golay code, a perfect Hamming code and single bits (a code of radius 0).
 BLOCKS = (23, 7, 1, 1)
@@ -200,14 +201,129 @@ def near_duplicates(docs: DataFrame, bits: int = 3, k: int = 3) -> DataFrame:
     return fps.join(classes, fps["fp"] == classes["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, bits: int = 3, k: int = 5) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of each group of near-duplicates; all columns.
+# ---- near-duplicates by shingles --------------------------------------------------------------------------------
+
+#: Fingerprints of a text's distinct words that propose pairs, each under hashes of its own.
+TABLES = 4
+
+
+def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word, A-Z in lower case."""
+    data, offsets = flat(texts)
+    found, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in parts(offsets):
+        low = np.frombuffer(LOWER_BYTES, np.uint8)[data[offsets[i] : offsets[j]]]
+        start, end, row = words(low, offsets[i : j + 1] - offsets[i])
+        if len(start):
+            found.append(span_hash(prefix_sums(low), start, end))
+            rows.append(row + i)
+    return np.concatenate(found), np.concatenate(rows)
+
+
+def _sketches(batches):
+    """doc_id, node (hash of the word sequence; null without a word) and the fingerprints of the distinct words."""
+    for batch in batches:
+        h, row = _word_hashes(batch.column("text"))
+        n = batch.num_rows
+        many = np.bincount(row, minlength=n)
+        full = np.flatnonzero(many)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many)
+        node = np.zeros(n, np.uint64)
+        if len(full):
+            node[full] = np.add.reduceat(mixed(h + mixed(place.astype(np.uint64) + np.uint64(1))), (np.cumsum(many) - many)[full])
+        order = np.lexsort((h, row))
+        new = np.ones(len(h), np.bool_)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+        h, row = h[order][new], row[order][new]
+        many = np.bincount(row, minlength=n)
+        prints = np.zeros((TABLES, n), np.uint64)
+        for i in range(n and TABLES):
+            salted = mixed(h + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            for a, b in parts(np.concatenate(([0], np.cumsum(many))), 200_000):
+                lo, hi = np.searchsorted(row, [a, b])
+                own = full[(full >= a) & (full < b)]
+                if hi > lo:
+                    bits = np.unpackbits(salted[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
+                    ones = np.add.reduceat(bits, np.searchsorted(row[lo:hi], own), axis=0, dtype=np.int32)
+                    prints[i, own] = np.packbits(ones * 2 > many[own][:, None], axis=1).view(np.uint64).ravel()
+        keep = pa.array(many == 0)
+        columns = [pa.array(node.view(np.int64), mask=keep.to_numpy(zero_copy_only=False)), *(pa.array(x.view(np.int64)) for x in prints)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", *(f"fp{i}" for i in range(TABLES))])
+
+
+def _shingles(k: int):
+    """pair, side and the sorted distinct hashes of the text's k-word shingles (of all words where there are fewer)."""
 
-    Documents without a word are no copies of each other and stay, and so do rows with a null doc_id. Rows that share a
-    doc_id count as one document.
+    def rows(batches):
+        for batch in batches:
+            h, row = _word_hashes(batch.column("text"))
+            many = np.bincount(row, minlength=batch.num_rows)
+            first = np.cumsum(many) - many
+            out = []
+            for i in range(batch.num_rows):
+                w = h[first[i] : first[i] + many[i]]
+                size = min(k, len(w))
+                s = np.zeros(len(w) - size + 1, np.uint64)
+                for t in range(size):
+                    s = mixed(s * np.uint64(31) + w[t : t + len(s)])
+                out.append(np.unique(s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], ["a", "b", "shingles"])
+
+    return rows
+
+
+def _alike(least: float):
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for both in batch.column("both").to_pylist():
+                x, y = (np.frombuffer(v, np.uint64) for v in (both[0], both[-1]))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(len(both) == 2 and common >= least * (len(x) + len(y) - common))
+            keep = pa.array(out, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return rows
+
+
+def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8, bits: int = 3) -> DataFrame:
+    """``docs`` with, of each group of near-duplicates, the document of smallest doc_id; all columns.
+
+    Texts with equal word sequences are one node. Nodes whose distinct words have fingerprints within ``bits`` bits in
+    any of TABLES tables (``links``) are proposed as pairs; a pair holds if its sets of ``k``-word shingles have a
+    similarity (intersection by union) of ``least`` or more. Equal fingerprints and the members of a link's two sides
+    are tied to one node chosen by hash, another in each table, so pairs grow with the documents and not with the square
+    of a group. Groups are connected over the pairs that hold.
+
+    Documents without a word are no copies of each other and stay, as do rows with a null doc_id. Rows that share a
+    doc_id count as one document. An empty table gives none.
     """
-    fps = near_duplicates(docs, bits, k).filter((F.col("fp") != 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(fps, "doc_id", "left_anti").select(*docs.columns)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    prints = stored(rows.mapInArrow(_sketches, f"doc_id {kind}, node long, " + ", ".join(f"fp{i} long" for i in range(TABLES))).filter("node is not null"), "shingle-prints")
+    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f"fp{i}").alias(f"fp{i}") for i in range(TABLES)]), "shingle-nodes")
+    proposed = []
+    for i in range(TABLES):
+        own = nodes.select("node", F.col(f"fp{i}").alias("fp"))
+        center = own.groupBy("fp").agg(F.min_by("node", F.xxhash64("node", F.lit(i))).alias("center"))
+        proposed.append(own.join(center, "fp").select(F.col("node").alias("a"), F.col("center").alias("b")))
+        ends = links(center.select("fp"), bits)
+        ends = ends.join(center.select(F.col("fp").alias("a"), F.col("center").alias("x")), "a").join(center.select(F.col("fp").alias("b"), F.col("center").alias("y")), "b")
+        proposed.append(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    pairs = proposed[0]
+    for more in proposed[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = stored(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
+    # Each node of a pair once with the text of its first document.
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(nodes.select("node", "least"), "node").select("a", "b", F.col("least").alias("doc_id"))
+    texts = rows.join(ends.hint("shuffle_hash"), "doc_id").select("a", "b", "text").mapInArrow(_shingles(k), "a long, b long, shingles binary")
+    held = texts.groupBy("a", "b").agg(F.collect_list("shingles").alias("both")).mapInArrow(_alike(least), "a long, b long")
+    labels = components(stored(held, "shingle-links"))
+    labelled = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    first = labelled.groupBy("label").agg(F.min("least").alias("kept"))
+    kept = labelled.join(first, "label").select(F.col("node").alias("_n"), "kept")
+    gone = stored(prints.join(kept, F.col("node") == F.col("_n")).filter(F.col("doc_id") != F.col("kept")).select("doc_id").distinct(), "shingle-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
