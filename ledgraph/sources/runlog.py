@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The log's columns, in order.
-RUN_LOG_SCHEMA = (
-    "timestamp_utc STRING, run_id STRING, model STRING, phase STRING, config_hash STRING, git_commit STRING, "
-    "git_dirty BOOLEAN, seed INT, data_snapshot_id STRING, metrics_json STRING, wall_clock_s DOUBLE, notes STRING"
+RUN_LOG = T.StructType(
+    [
+        T.StructField("timestamp_utc", T.StringType()),
+        T.StructField("run_id", T.StringType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("phase", T.StringType()),
+        T.StructField("config_hash", T.StringType()),
+        T.StructField("git_commit", T.StringType()),
+        T.StructField("git_dirty", T.BooleanType()),
+        T.StructField("seed", T.IntegerType()),
+        T.StructField("data_snapshot_id", T.StringType()),
+        T.StructField("metrics_json", T.StringType()),
+        T.StructField("wall_clock_s", T.DoubleType()),
+        T.StructField("notes", T.StringType()),
+    ]
 )
-RUN_LOG = T.StructType.fromDDL(RUN_LOG_SCHEMA)
 REQUIRED = ("run_id", "config_hash", "seed", "metrics_json")
 
 
