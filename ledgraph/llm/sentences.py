@@ -15,7 +15,8 @@ from .shared import LOWER_BYTES, table
 
 #: A sentence with the marks and white space that close it; the last may have none. All pieces together are the text.
 PIECE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\n\v\f\r]*|[^.!?\n]+\Z")
-LEAST_SENTENCES, LEAST_WORDS = 2, 20
+#: A span has so many sentences and words at least; one sentence of LONG words is a span of its own.
+LEAST_SENTENCES, LEAST_WORDS, LONG = 2, 20, 40
 
 
 def pieces(text: str | None) -> tuple[list[str], list[bytes]]:
@@ -25,18 +26,22 @@ def pieces(text: str | None) -> tuple[list[str], list[bytes]]:
 
 
 def spans(sentences: list[bytes], least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
-    """(first, number, content) for each sentence with which a run of ``least_sentences`` or more begins that reaches ``least_words``; the shortest such run."""
+    """(first, number, content) for each sentence with which a run of ``least_sentences`` or more begins that reaches ``least_words``; the shortest such run, or the sentence alone if it has LONG words."""
     n = len(sentences)
     upto = [0]
     for s in sentences:
         upto.append(upto[-1] + s.count(b" ") + 1)
     out, j = [], 0
     for i in range(n):
+        if upto[i + 1] - upto[i] >= LONG:
+            out.append((i, 1, sentences[i]))
+            continue
         j = max(j, i + least_sentences)
         while j <= n and upto[j] - upto[i] < least_words:
             j += 1
         if j > n:
-            break
+            j = n
+            continue
         out.append((i, j - i, b"\n".join(sentences[i:j])))
     return out
 
@@ -76,8 +81,8 @@ def repeated_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
 def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """All columns of ``docs`` and n_sentences, n_removed, kept (the text left).
 
-    Every run of ``least_sentences`` or more consecutive sentences that reaches ``least_words`` words is hashed (128 bits
-    of its words); a sentence covered by any run that also begins at an earlier place goes. Earlier: smaller doc_id, then
+    Every run of ``least_sentences`` or more consecutive sentences that reaches ``least_words`` words, and every sentence of
+    LONG words, is hashed (128 bits of its words); a sentence covered by any run that also begins at an earlier place goes. Earlier: smaller doc_id, then
     earlier in the text; a null doc_id is smallest. Pieces without a word are no sentences and stay. Null texts are
     empty and stay null in ``kept``. Rows that repeat a doc_id and its text are one document and get the same result.
     Input columns with these names are replaced.
@@ -117,7 +122,7 @@ w AS (SELECT doc_id, k, piece, regexp_extract_all(translate(piece, 'ABCDEFGHIJKL
 s AS (
   SELECT doc_id, k, array_to_string(words, ' ') AS sentence, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i,
          sum(len(words)) OVER (PARTITION BY doc_id ORDER BY k) AS upto, len(words) AS n FROM w WHERE len(words) > 0),
-e AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + 1 AND a.i + 20 AND b.upto - a.upto + a.n >= 20 GROUP BY a.doc_id, a.i),
+e AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 20 AND (b.i > a.i AND b.upto - a.upto + a.n >= 20 OR b.i = a.i AND a.n >= 40) GROUP BY a.doc_id, a.i),
 r AS (SELECT e.doc_id, e.i, e.j, string_agg(sentence, chr(10) ORDER BY s.i) AS content FROM e JOIN s ON s.doc_id = e.doc_id AND s.i BETWEEN e.i AND e.j GROUP BY e.doc_id, e.i, e.j),
 later AS (SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS rank FROM r) WHERE rank > 1),
 gone AS (SELECT DISTINCT s.doc_id, s.k FROM later JOIN s ON s.doc_id = later.doc_id AND s.i BETWEEN later.i AND later.j),
