@@ -87,11 +87,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, document_s
     text = F.coalesce("text", F.lit(""))
     pieces = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
     head = F.regexp_extract(text, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 0)
-    # Flags of hit words from the sorted spans, as disjoint runs of positions.
-    inside = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["width"] - 1))))
-    left = F.array_except(F.sequence(F.lit(1), F.size(pieces)), inside)
-    cut = F.concat(head, F.array_join(F.transform(left, lambda i: F.element_at(pieces, i)), ""))
+    # The sorted spans as disjoint runs of word positions, then the words outside of them.
+    end = lambda r: r["start"] + r["width"]
+    none = F.array().cast("array<struct<start:int,width:int>>")
+    runs = F.aggregate(
+        "spans",
+        F.struct(none.alias("done"), F.lit(None).cast("struct<start:int,width:int>").alias("open")),
+        lambda a, s: F.when(a["open"].isNull(), F.struct(a["done"].alias("done"), s.alias("open")))
+        .when(s["start"] <= end(a["open"]), F.struct(a["done"].alias("done"), F.struct(a["open"]["start"].alias("start"), (F.greatest(end(a["open"]), end(s)) - a["open"]["start"]).alias("width")).alias("open")))
+        .otherwise(F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), s.alias("open"))),
+        lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))),
+    )
+    left = F.filter(pieces, lambda w, i: ~F.exists("_runs", lambda r: (i + 1 >= r["start"]) & (i + 1 < end(r))))
+    cut = F.concat(head, F.array_join(left, ""))
     found = contamination(docs, benchmark, n).filter(F.col("n_hit") < F.greatest(F.lit(1.0), F.col("n_words") * F.lit(document_share)))
+    found = found.withColumn("_runs", runs)
     return found.withColumn("text", F.when(F.col("n_hit") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
 
 
