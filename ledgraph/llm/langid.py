@@ -74,9 +74,9 @@ class Classifier:
         score is the smallest size's share among likelihoods 2^(-8 size), tempered by length. No letter: ("und", 0, 0).
         Equal sizes: the language with more labelled documents.
         """
-        raw = letters(text)
-        if not raw or not self.names:
+        if not self.names or not any(map(str.isalpha, text or "")):
             return UNKNOWN, 0.0, 0.0
+        raw = letters(text)
         s = np.array(self.sizes(raw), float)
         best = int(s.argmin())
         rest = np.delete(s, best)
