@@ -14,7 +14,7 @@ from .textbytes import flat, mixed, parts, powers, prefix_sums, runs, sliding_mi
 #: Bytes of a match, and of the leading token by which its suffix is partitioned.
 SPAN, TOKEN = 200, 40
 #: Piece of a text that is worked on at once; place in it takes PLACE_BITS.
-PIECE, PLACE_BITS = 1 << 21, 22
+PIECE, PLACE_BITS = 1 << 19, 22
 #: At most this many sampled documents, and the share of them in which a token is common.
 SAMPLE_DOCS, COMMON_SHARE, COMMON_DOCS = 10_000, 0.005, 50
 
@@ -303,6 +303,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, token: int = TOKEN) -> Dat
     sent = texts.mapInArrow(_run_batches(common, span, token), _RUN)
     settled = stored(sent.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, _SETTLED), "suffix-runs")
     wanted = settled.filter("kind = 2").groupBy("text_id").agg(F.collect_list(F.struct("lo", "hi", "at", "key", "multiple")).alias("wanted"))
+    wanted = stored(wanted, "suffix-wanted")  # so that the join may split a text with very many copies
     cut = texts.join(wanted.hint("shuffle_hash"), "text_id").mapInArrow(_cut(span, token), "lead binary, key long, multiple boolean, text_id binary, lo long, hi long, bytes binary")
     cut = stored(cut, "suffix-bytes")
     matched = cut.repartitionByRange("lead").sortWithinPartitions("key").select("key", "text_id", "lo", "hi", "bytes").mapInArrow(_sort_buckets(span), "text_id binary, lo long, hi long")
@@ -321,7 +322,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, token: int = TOKEN) -> Dat
     Input columns named n_bytes, n_removed, n_spans, kept are replaced. An empty table gives none.
     """
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    spans = repeated_spans(docs, span, token).withColumnRenamed("text_id", "_id").withColumnRenamed("spans", "_spans")
+    spans = stored(repeated_spans(docs, span, token), "suffix-spans").withColumnRenamed("text_id", "_id").withColumnRenamed("spans", "_spans")
     rows = docs.select(*names, text_id().alias("_own"))
     rows = rows.join(spans.hint("shuffle_hash"), F.col("_own") == F.col("_id"), "left").select(*names, "_spans")
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])

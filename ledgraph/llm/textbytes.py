@@ -61,7 +61,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def parts(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def parts(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of rows with about ``most`` bytes, one row at least."""
     i, n = 0, len(offsets) - 1
     while i < n:
