@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER_BYTES, table
+from .shared import LOWER_BYTES, stored, table
 
 #: A sentence with the marks and white space that close it; the last may have none. All pieces together are the text.
 PIECE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\n\v\f\r]*|[^.!?\n]+\Z")
@@ -74,6 +74,7 @@ def repeated_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
     found = docs.select("doc_id", "own", "text").mapInArrow(_span_rows(least_sentences, least_words), f"h1 long, h2 long, doc_id {kind}, own long, place long")
     where = F.struct("doc_id", "own", "place")
     ends = found.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select("h1", "h2", "first")
+    ends = stored(ends, "sentence-firsts")  # so that the join may split a very common span
     later = found.join(ends, ["h1", "h2"]).filter(~where.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "own").agg(F.collect_set("place").alias("places"))
 
