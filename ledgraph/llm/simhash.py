@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components, local_labels
@@ -203,8 +204,8 @@ def near_duplicates(docs: DataFrame, bits: int = 3, k: int = 3) -> DataFrame:
 
 # ---- near-duplicates by shingles --------------------------------------------------------------------------------
 
-#: Fingerprints of a text's distinct words that propose pairs, each under hashes of its own.
-TABLES = 4
+#: Shingles (and 100 more for each document) that a task of the exact comparison holds of one block at most.
+BLOCK = 500_000
 
 
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -220,110 +221,165 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(rows)
 
 
-def _sketches(batches):
-    """doc_id, node (hash of the word sequence; null without a word) and the fingerprints of the distinct words."""
+def _nodes(batches):
+    """_row and node (hash of the word sequence) of the texts with a word."""
     for batch in batches:
         h, row = _word_hashes(batch.column("text"))
-        n = batch.num_rows
-        many = np.bincount(row, minlength=n)
+        many = np.bincount(row, minlength=batch.num_rows)
         full = np.flatnonzero(many)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many)
-        node = np.zeros(n, np.uint64)
-        if len(full):
-            node[full] = np.add.reduceat(mixed(h + mixed(place.astype(np.uint64) + np.uint64(1))), (np.cumsum(many) - many)[full])
-        order = np.lexsort((h, row))
-        new = np.ones(len(h), np.bool_)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
-        h, row = h[order][new], row[order][new]
-        many = np.bincount(row, minlength=n)
-        prints = np.zeros((TABLES, n), np.uint64)
-        for i in range(n and TABLES):
-            salted = mixed(h + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            for a, b in parts(np.concatenate(([0], np.cumsum(many))), 200_000):
-                lo, hi = np.searchsorted(row, [a, b])
-                own = full[(full >= a) & (full < b)]
-                if hi > lo:
-                    bits = np.unpackbits(salted[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
-                    ones = np.add.reduceat(bits, np.searchsorted(row[lo:hi], own), axis=0, dtype=np.int32)
-                    prints[i, own] = np.packbits(ones * 2 > many[own][:, None], axis=1).view(np.uint64).ravel()
-        keep = pa.array(many == 0)
-        columns = [pa.array(node.view(np.int64), mask=keep.to_numpy(zero_copy_only=False)), *(pa.array(x.view(np.int64)) for x in prints)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", *(f"fp{i}" for i in range(TABLES))])
-
-
-def _shingles(k: int):
-    """pair, side and the sorted distinct hashes of the text's k-word shingles (of all words where there are fewer)."""
+        first = np.cumsum(many) - many
+        place = np.arange(len(h)) - np.repeat(first, many)
+        node = np.add.reduceat(mixed(h + mixed(place.astype(np.uint64) + np.uint64(1))), first[full]) if len(full) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(full)), pa.array(node.view(np.int64))], ["_row", "node"])
+
+
+def _shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's k-word shingles (of all words where there are fewer)."""
+    h, row = _word_hashes(texts)
+    many = np.bincount(row, minlength=len(texts))
+    first = np.cumsum(many) - many
+    out = []
+    for i in range(len(texts)):
+        w = h[first[i] : first[i] + many[i]]
+        size = min(k, len(w))
+        s = np.zeros(len(w) - size + 1, np.uint64)
+        for t in range(size):
+            s = mixed(s * np.uint64(31) + w[t : t + len(s)])
+        out.append(np.unique(s))
+    return out
+
+
+def _overlap(n: int, least: float) -> int:
+    """Shingles that a set of ``n`` has in common with any other of similarity ``least`` or more, at least."""
+    return max(1, math.ceil(least * n - 1e-9))
+
+
+def _shared(n: int, least: float) -> int:
+    """Shingles that two such sets share among those that ``_samples`` takes; the lesser of the two sets' numbers holds."""
+    return min(n // 10 + 1, _overlap(n, least))
+
+
+def _samples(k: int, least: float):
+    """hash, node, n and shared of each text's least shingles.
+
+    Of two sets with an overlap of o, the first m common shingles in any order are among the first n - o + m of both. So
+    the least n - overlap + shared by hash of each text hold ``shared`` common ones, as few as a partner of least size has.
+    """
 
     def rows(batches):
         for batch in batches:
-            h, row = _word_hashes(batch.column("text"))
-            many = np.bincount(row, minlength=batch.num_rows)
-            first = np.cumsum(many) - many
-            out = []
-            for i in range(batch.num_rows):
-                w = h[first[i] : first[i] + many[i]]
-                size = min(k, len(w))
-                s = np.zeros(len(w) - size + 1, np.uint64)
-                for t in range(size):
-                    s = mixed(s * np.uint64(31) + w[t : t + len(s)])
-                out.append(np.unique(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], ["a", "b", "shingles"])
+            sets = _shingles(batch.column("text"), k)
+            n = np.array([len(s) for s in sets], np.int64)
+            taken = [s[: len(s) - _overlap(len(s), least) + _shared(len(s), least)] for s in sets]
+            many = np.array([len(s) for s in taken], np.int64)
+            shared = np.array([_shared(_overlap(int(x), least), least) for x in n], np.int32)
+            h = np.concatenate([np.zeros(0, np.uint64), *taken]).view(np.int64)
+            at = np.repeat(np.arange(len(sets)), many)
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("node").take(pa.array(at)), pa.array(n.astype(np.int32)[at]), pa.array(shared[at])], ["hash", "node", "n", "shared"])
 
     return rows
 
 
-def _alike(least: float):
+def alike(sets: list[np.ndarray], least: float, block: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sets of similarity ``least`` or more that connect all such pairs; where there are two blocks, pairs across them only.
+
+    In order of size each set is compared with the smaller ones that share one of its rarest shingles, unless they are
+    connected already.
+    """
+    many = np.array([len(s) for s in sets], np.int64)
+    _, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ids = np.split(ids, np.cumsum(many)[:-1])
+    across = bool((block != block[0]).any())
+    label = np.arange(len(sets))
+    mark = np.zeros(len(df), np.bool_)
+    held: dict[int, list[int]] = {}
+    out = []
+    for x in np.argsort(many, kind="stable").tolist():
+        own, n = ids[x], int(many[x])
+        rare = own[np.lexsort((own, df[own]))[: n - _overlap(n, least) + 1]]
+        rare = rare[df[rare] > 1].tolist()
+        near = set().union(*(held[t] for t in rare if t in held))
+        if near:
+            near = np.fromiter(near, np.int64, len(near))
+            near = near[(many[near] >= _overlap(n, least)) & ((block[near] != block[x]) | (not across))]
+            mark[own] = True
+            while len(near := near[label[near] != label[x]]):
+                y, near = int(near[0]), near[1:]
+                common = int(np.count_nonzero(mark[ids[y]]))
+                if common >= least * (n + int(many[y]) - common):
+                    out.append((x, y))
+                    label[label == label[x]] = label[y]
+            mark[own] = False
+        for t in rare:
+            held.setdefault(t, []).append(x)
+    return out
+
+
+def _compare(k: int, least: float):
     def rows(batches):
-        for batch in batches:
-            out = []
-            for both in batch.column("both").to_pylist():
-                x, y = (np.frombuffer(v, np.uint64) for v in (both[0], both[-1]))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(len(both) == 2 and common >= least * (len(x) + len(y) - common))
-            keep = pa.array(out, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+        for t in whole_groups(batches, "task", 1):
+            task = t.column("task").to_numpy()
+            starts = [*np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1]))).tolist(), len(task)]
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                part = t.slice(i, j - i)
+                node = part.column("node").to_numpy()
+                pairs = alike(_shingles(part.column("text").combine_chunks(), k), least, part.column("block").to_numpy())
+                a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     return rows
 
 
-def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8, bits: int = 3) -> DataFrame:
-    """``docs`` with, of each group of near-duplicates, the document of smallest doc_id; all columns.
+def shingle_links(texts: DataFrame, k: int = 5, least: float = 0.8, most: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect exactly the nodes of ``texts`` (node, text; each node once) with sets of ``k``-word shingles of similarity ``least`` or more.
 
-    Texts with equal word sequences are one node. Nodes whose distinct words have fingerprints within ``bits`` bits in
-    any of TABLES tables (``links``) are proposed as pairs; a pair holds if its sets of ``k``-word shingles have a
-    similarity (intersection by union) of ``least`` or more. Equal fingerprints and the members of a link's two sides
-    are tied to one node chosen by hash, another in each table, so pairs grow with the documents and not with the square
-    of a group. Groups are connected over the pairs that hold.
-
-    Documents without a word are no copies of each other and stay, as do rows with a null doc_id. Rows that share a
-    doc_id count as one document. An empty table gives none.
+    Exact: each text gives about three tenths of its shingles, the least by hash, of which two similar texts share about
+    a twelfth of their sizes (``_samples``). A text with too many shingles there that no other text gives is similar to
+    none. Of the rest, the rarest of each text but as many as are shared hold a common one. Texts that meet in one and
+    differ little enough in size are connected to candidates, and all texts of a connected set of candidates are compared
+    in one task (``alike``). Sets over ``most`` are cut by size into blocks, and each two blocks whose sizes allow it
+    are compared in a task of their own, so a task holds two blocks at most.
+    """
+    sampled = texts.mapInArrow(_samples(k, least), "hash long, node long, n int, shared int")
+    met = sampled.withColumn("c", F.count("*").over(Window.partitionBy("hash"))).filter("c > 1")
+    rarest = met.groupBy("node").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.sort_array(F.collect_list(F.struct("c", "hash"))).alias("found")).filter(F.size("found") >= F.col("shared"))
+    rarest = rarest.select("node", "n", F.explode(F.slice("found", F.lit(1), F.size("found") - F.col("shared") + 1)).alias("s")).select("node", "n", "s.hash")
+    rarest = stored(rarest, "shingle-rarest")
+    by_size = Window.partitionBy("hash").orderBy("n", "node")
+    chain = rarest.select("node", F.lag("node").over(by_size).alias("before"), (F.lag("n").over(by_size) >= F.col("n") * least - 1e-9).alias("near"))
+    labels = components(stored(chain.filter("near").select(F.col("node").alias("a"), F.col("before").alias("b")).distinct(), "shingle-candidates"))
+    sets = labels.select("node", "label").unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+    sets = sets.join(rarest.select("node", "n").distinct(), "node")
+    upto = F.sum(F.col("n").cast("long") + 100).over(Window.partitionBy("label").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1))
+    sets = stored(sets.withColumn("block", F.floor(F.coalesce(upto, F.lit(0)) / most).cast("long")), "shingle-sets")
+    blocks = stored(sets.groupBy("label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "shingle-blocks")
+    two = blocks.alias("i").join(blocks.alias("j"), F.col("i.label") == F.col("j.label")).filter("i.block <= j.block").filter(F.col("j.lo") * least - 1e-9 <= F.col("i.hi"))
+    two = two.select(F.col("i.label").alias("label"), F.xxhash64("i.label", "i.block", "j.block").alias("task"), F.explode(F.array_distinct(F.array("i.block", "j.block"))).alias("block"))
+    sent = texts.join(sets.select("node", "label", "block").hint("shuffle_hash"), "node").join(two, ["label", "block"]).select("task", "block", "node", "text")
+    return sent.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(k, least), "a long, b long")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of smallest doc_id; all columns.
+
+    Texts with equal word sequences are one node. Nodes whose sets of ``k``-word shingles have a similarity
+    (intersection by union) of ``least`` or more are linked (``shingle_links``, exact), and groups are connected over links.
+
+    Exactly one row of a group stays, also where rows repeat a doc_id or have none; null ids come last. Documents
+    without a word are no copies of each other and stay. An empty table gives none.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    prints = stored(rows.mapInArrow(_sketches, f"doc_id {kind}, node long, " + ", ".join(f"fp{i} long" for i in range(TABLES))).filter("node is not null"), "shingle-prints")
-    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(f"fp{i}").alias(f"fp{i}") for i in range(TABLES)]), "shingle-nodes")
-    proposed = []
-    for i in range(TABLES):
-        own = nodes.select("node", F.col(f"fp{i}").alias("fp"))
-        center = own.groupBy("fp").agg(F.min_by("node", F.xxhash64("node", F.lit(i))).alias("center"))
-        proposed.append(own.join(center, "fp").select(F.col("node").alias("a"), F.col("center").alias("b")))
-        ends = links(center.select("fp"), bits)
-        ends = ends.join(center.select(F.col("fp").alias("a"), F.col("center").alias("x")), "a").join(center.select(F.col("fp").alias("b"), F.col("center").alias("y")), "b")
-        proposed.append(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    pairs = proposed[0]
-    for more in proposed[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = stored(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
-    # Each node of a pair once with the text of its first document.
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(nodes.select("node", "least"), "node").select("a", "b", F.col("least").alias("doc_id"))
-    texts = rows.join(ends.hint("shuffle_hash"), "doc_id").select("a", "b", "text").mapInArrow(_shingles(k), "a long, b long, shingles binary")
-    held = texts.groupBy("a", "b").agg(F.collect_list("shingles").alias("both")).mapInArrow(_alike(least), "a long, b long")
-    labels = components(stored(held, "shingle-links"))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "shingle-rows")
+    texts = rows.select("_row", F.col("text").cast("string").alias("text"))
+    prints = stored(texts.mapInArrow(_nodes, "_row long, node long"), "shingle-prints")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    nodes = stored(prints.join(rows.select("_row", "doc_id"), "_row").groupBy("node").agg(F.min(rank).alias("least")), "shingle-nodes")
+    unique = texts.join(nodes.select("node", F.col("least._row").alias("_row")).hint("shuffle_hash"), "_row").select("node", "text")
+    labels = components(stored(shingle_links(unique, k, least), "shingle-links"))
     labelled = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     first = labelled.groupBy("label").agg(F.min("least").alias("kept"))
-    kept = labelled.join(first, "label").select(F.col("node").alias("_n"), "kept")
-    gone = stored(prints.join(kept, F.col("node") == F.col("_n")).filter(F.col("doc_id") != F.col("kept")).select("doc_id").distinct(), "shingle-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = labelled.join(first, "label").select("node", F.col("kept._row").alias("kept"))
+    gone = stored(prints.join(kept, "node").filter("_row <> kept").select("_row"), "shingle-gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

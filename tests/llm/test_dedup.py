@@ -223,6 +223,58 @@ def test_one_of_each(spark, odd_docs, no_docs):
     assert simhash.one_of_each(no_docs).count() == 0
 
 
+def brute_groups(texts, least=0.8):
+    """Groups of texts with five-word shingles of similarity ``least`` or more, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    label = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= least * len(x | y) and label[i] != label[j]:
+                label = [label[j] if v == label[i] else v for v in label]
+    return label
+
+
+def edited(seed):
+    """Texts with blocks appended, inserted and removed, and words changed, at similarities on both sides of 0.8; drifting versions."""
+    r = random.Random(seed)
+    texts = []
+    for g in range(40):
+        w = prose(1000 * seed + g, r.randrange(30, 500)).split()
+        texts.append(w)
+        for share in (0.05, 0.1, 0.15, 0.18, 0.22, 0.3):
+            n, at = int(len(w) * share), r.randrange(len(w))
+            other = prose(r.randrange(10**6, 10**7), n).split()
+            texts += [w + other, w[:at] + other + w[at:], w[: int(at * (1 - share))] + w[int(at * (1 - share)) + n :]]
+        few = list(w)
+        for i in r.sample(range(len(w)), max(1, len(w) // 60)):
+            few[i] = "CHANGED"
+        texts.append(few)
+        drift = w
+        for step in range(4):
+            drift = drift[len(w) // 9 :] + prose(10**8 + 100 * g + step, len(w) // 12).split()
+            texts.append(drift)
+    texts = [" ".join(w) for w in texts]
+    r.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("most", [simhash.BLOCK, 1500])
+def test_shingle_links_find_all_pairs(spark, most):
+    texts = edited(3)
+    label = brute_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = {r.node: r.label for r in components.components(simhash.shingle_links(df, most=most)).collect()}
+    got = collections.defaultdict(set)
+    want = collections.defaultdict(set)
+    for i, v in enumerate(label):
+        want[v].add(i)
+        got[found.get(i, i)].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, x) for x in range(1001, 1100)] + [(7, 7)]
     labels = components.components(spark.createDataFrame(edges, "a long, b long"))
