@@ -275,6 +275,15 @@ def test_shingle_links_find_all_pairs(spark, most):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_one_of_each_keeps_one_of_each_group(spark):
+    texts = edited(4)
+    least = {}
+    for i, v in enumerate(brute_groups(texts)):
+        least.setdefault(v, i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(least.values())
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, x) for x in range(1001, 1100)] + [(7, 7)]
     labels = components.components(spark.createDataFrame(edges, "a long, b long"))
