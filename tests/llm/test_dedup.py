@@ -284,6 +284,16 @@ def test_one_of_each_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(least.values())
 
 
+def test_one_of_each_repeated_rows_and_null_ids(spark):
+    a, b, c = prose(71, 300), prose(72, 300), prose(73, 300)
+    rows = [(1, a), (1, a), (2, a + " more"), (None, b), (5, b), (None, c), (None, c), (None, c + " more"), (8, None), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id or 0, (r.text or "")[:20]) for r in simhash.one_of_each(df).collect()))
+    assert kept == [(0, c[:20]), (1, a[:20]), (5, b[:20]), (8, ""), (8, "")]
+    kept = suffix.without_repeats(simhash.one_of_each(df.filter("doc_id IN (1, 5) OR doc_id IS NULL"))).collect()
+    assert {r.doc_id: len(r.text) > 900 for r in kept} == {None: True, 1: True, 5: True}
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, x) for x in range(1001, 1100)] + [(7, 7)]
     labels = components.components(spark.createDataFrame(edges, "a long, b long"))
