@@ -219,19 +219,19 @@ def roc_auc_by_run(spark, sf_dir):
     return rounded(metrics.roc_auc_by(b.scored_orders(spark, sf_dir), "baseline", "seed"), "illicit_auc")
 
 
-def _fitted(spark, sf_dir, baseline, **how):
+def _fitted(spark, sf_dir, baseline):
     parts = split.labelled_split(b.order_features(spark, sf_dir), b.MONTHS)
-    return models.fit_predict(parts, baseline, **how)
+    return models.fit_predict(parts, baseline)
 
 
 @query()
 def rf_floor(spark, sf_dir):
-    return _fitted(spark, sf_dir, "rf", num_trees=20, max_depth=5)
+    return _fitted(spark, sf_dir, "rf")
 
 
 @query()
 def lr_floor(spark, sf_dir):
-    return _fitted(spark, sf_dir, "lr", max_iter=100)
+    return _fitted(spark, sf_dir, "lr")
 
 
 # ---- run log and report -----------------------------------------------------------------------------------------

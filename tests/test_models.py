@@ -143,3 +143,15 @@ def test_cells(spark):
     ).first()
     assert tuple(row)[:4] == ("true", "", '{"a":null,"b":1}', "35-end")
     assert row[4].startswith("m-19700101T000000Z-") and row[5] == "0.5000 ± 0.2500"
+
+
+def test_registered_floors_fit_with_the_full_parameters(monkeypatch):
+    from ledgraph.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog.b, "order_features", lambda *a: None)
+    monkeypatch.setattr(catalog.split, "labelled_split", lambda *a: None)
+    monkeypatch.setattr(catalog.models, "fit_predict", lambda parts, baseline, **how: seen.append((baseline, how)))
+    catalog.QUERIES["rf_floor"](None, "")
+    catalog.QUERIES["lr_floor"](None, "")
+    assert seen == [("rf", {}), ("lr", {})]
