@@ -15,13 +15,15 @@ from .shared import stored, table
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: Metric: (numerator, denominator, least spread, judged below too); all in thousandths.
+#: Metric: (numerator, denominator); its value is their quotient in thousandths.
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 33, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 120, False),
-    "repeats": ("n_repeat_words", "n_words", 100, False),
-    "word_length": ("word_chars", "n_words", 500, True),
+    "symbols": ("n_symbols", "n_words"),
+    "dup_lines": ("n_dup_lines", "n_words"),
+    "repeats": ("n_repeat_words", "n_words"),
+    "word_length": ("word_chars", "n_words"),
 }
+#: Sketched beside the metrics, as it tells what a single event weighs in a group's usual text.
+SIZE = "n_words"
 
 
 def text_counts(text: str | None) -> tuple[int, ...]:
@@ -62,60 +64,83 @@ def bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
 
 
-def fences(counts: DataFrame, least_docs: int = 200, reach: int = 3) -> DataFrame:
-    """Per (lang, source) and metric of METRICS: low, high and docs, the size of the sketch used.
+def value(metric: str) -> Column:
+    """A metric of METRICS in thousandths, 0 where its denominator is 0."""
+    a, b = METRICS[metric]
+    return F.when(F.col(b) > 0, F.expr(f"{a} * 1000 div {b}")).otherwise(F.lit(0).cast("long"))
 
-    A sketch is the count of values per bucket (``bucket``): sketches merge by adding, so those per language and for
-    all documents are rollups of those per language and source, and stand in where a group has under ``least_docs``
-    documents. Fences lie ``reach`` times the distance between the quartiles (the metric's least spread at least) beyond
-    the quartiles. Texts that fail the base rules are left out.
+
+def sketches(counts: DataFrame) -> DataFrame:
+    """lang, source, metric, bucket, n: per group and metric (SIZE too) the documents in each bucket that pass the base rules.
+
+    Sketches merge by adding; those of a language or of all documents are sums of their groups' sketches.
     """
-    values = F.array(*[F.struct(F.lit(k).alias("metric"), F.when(F.col(b) > 0, F.expr(f"{a} * 1000 div {b}")).otherwise(F.lit(0).cast("long")).alias("value")) for k, (a, b, _, _) in METRICS.items()])
-    each = counts.filter(~F.col("base_failed")).select("lang", "source", F.explode(values).alias("v")).select("lang", "source", "v.metric", bucket(F.col("v.value")).alias("bucket"))
-    sketch = each.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
-    # 0: language and source, 1: language, 2: all.
-    levels = [sketch.withColumn("level", F.lit(0))]
-    levels.append(sketch.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n")).withColumn("source", F.lit(None).cast("string")).withColumn("level", F.lit(1)))
-    levels.append(sketch.groupBy("metric", "bucket").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string")).withColumn("level", F.lit(2)))
-    merged = levels[0].unionByName(levels[1]).unionByName(levels[2])
-    group = W.partitionBy("level", "lang", "source", "metric")
+    each = [F.struct(F.lit(k).alias("metric"), value(k).alias("value")) for k in METRICS]
+    each.append(F.struct(F.lit(SIZE).alias("metric"), F.col(SIZE).alias("value")))
+    rows = counts.filter(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*each)).alias("v"))
+    return rows.groupBy("lang", "source", F.col("v.metric").alias("metric"), bucket(F.col("v.value")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """by, metric, docs and the lower ends of the buckets that hold the quartiles."""
+    merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
+    group = W.partitionBy(*by, "metric")
     run = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
-    quartiles = run.groupBy("level", "lang", "source", "metric", "docs").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("docs"), F.col("bucket"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("docs") * 3, F.col("bucket"))).alias("q3")
-    )
-    spread = F.lit(0)
-    below = F.lit(False)
-    for k, (_, _, least, both) in METRICS.items():
-        spread = F.when(F.col("metric") == k, F.greatest(F.col("q3") - F.col("q1"), F.lit(least))).otherwise(spread)
-        below = F.when(F.col("metric") == k, F.lit(both)).otherwise(below)
-    lined = stored(quartiles.select("level", "lang", "source", "metric", "docs", F.when(below, F.col("q1") - spread * reach).alias("low"), (F.col("q3") + spread * reach).alias("high")), "quality-fences")
-    own = lined.filter("level = 0").alias("o")
-    lang, everything = lined.filter("level = 1").alias("l"), lined.filter("level = 2").alias("a")
-    chosen = own.join(lang, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.metric") == F.col("l.metric"))).join(F.broadcast(everything), F.col("o.metric") == F.col("a.metric"))  # as many rows as METRICS
-    pick = lambda c: F.when(F.col("o.docs") >= least_docs, F.col(f"o.{c}")).when(F.col("l.docs") >= least_docs, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
-    return chosen.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.metric").alias("metric"), pick("low"), pick("high"), pick("docs"))
-
-
-def judged(docs: DataFrame, least_words: int = 50, most_repeats: int = 50, least_docs: int = 200, reach: int = 3) -> DataFrame:
+    at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * k, F.col("bucket"))).alias(f"q{k}")
+    return run.groupBy(*by, "metric", "docs").agg(at(1), at(2), at(3))
+
+
+QUANTILES = ("q1", "q2", "q3")
+
+
+def fences(counts: DataFrame, prior_docs: int = 50, reach: int = 15) -> DataFrame:
+    """Per (lang, source) and metric: docs, q1, q2, q3, low and high.
+
+    Every group's quantiles come from its own sketch, drawn toward those of its language, and these toward those of all
+    documents, as if ``prior_docs`` documents more had the parent's quantile: (docs * own + prior_docs * parent) div
+    (docs + prior_docs). So no group's size switches anything. high lies ``reach`` spreads above the upper quartile, so that
+    junk of up to a quarter of a group doesn't move it, low as many below the lower; a spread is the distance to the median, but at least what one event makes in a text of the
+    group's median size (a metric that is 0 in nearly all texts has no other spread).
+    """
+    sketch = stored(sketches(counts), "quality-sketches")
+    own = quantiles(sketch, "lang", "source").alias("o")
+    lang, everything = quantiles(sketch, "lang").alias("l"), quantiles(sketch).alias("a")
+    both = own.join(lang, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.metric") == F.col("l.metric")))
+    both = both.join(F.broadcast(everything), F.col("o.metric") == F.col("a.metric"))  # a row for each of METRICS and SIZE
+
+    def drawn(docs: str, mine: str, parent: str) -> Column:
+        return F.expr(f"({docs} * {mine} + {prior_docs} * ({parent})) div ({docs} + {prior_docs})")
+
+    parent = {q: f"(l.docs * l.{q} + {prior_docs} * a.{q}) div (l.docs + {prior_docs})" for q in QUANTILES}
+    each = both.select("o.lang", "o.source", "o.metric", "o.docs", *[drawn("o.docs", f"o.{q}", parent[q]).alias(q) for q in QUANTILES])
+    group = W.partitionBy("lang", "source")  # a row for each of METRICS and SIZE
+    size = F.max(F.when(F.col("metric") == SIZE, F.col("q2"))).over(group)
+    lined = each.withColumn("size", F.greatest(size, F.lit(1))).filter(F.col("metric").isin(*METRICS)).withColumn("one", F.expr("1000 div size"))
+    low = F.col("q1") - reach * F.greatest(F.col("q2") - F.col("q1"), F.col("one"))
+    high = F.col("q3") + reach * F.greatest(F.col("q3") - F.col("q2"), F.col("one"))
+    return lined.select("lang", "source", "metric", "docs", *QUANTILES, low.alias("low"), high.alias("high"))
+
+
+def judged(docs: DataFrame, least_words: int = 50, most_repeats: int = 50, prior_docs: int = 50, reach: int = 15) -> DataFrame:
     """doc_id, lang, source, COUNTS, base_failed, kept, and reasons (the metrics outside their fences) of every row.
 
     base_failed: under ``least_words`` words, or over ``most_repeats`` percent of words in repeated 3-word windows.
-    kept: not base_failed and every metric inside the fences of the row's language and source. Nulls: a null text is
-    empty and fails; null languages and sources are groups of their own. Repeated rows count and are judged each. An
-    empty table gives no rows. Only counts by bucket are gathered, so one source may hold any share of the rows.
+    kept: not base_failed and every metric inside the fences of the row's language and source (``fences``).
+
+    Nulls: a null text is empty and fails; null languages and sources are groups of their own. Repeated rows count and
+    are judged each. An empty table gives no rows. Other columns of ``docs`` are not read. Only counts by bucket are
+    gathered, so one source may hold any share of the rows.
     """
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeats)
     counts = stored(counted(docs).withColumn("base_failed", failed), "quality-counts")
-    found = fences(counts, least_docs, reach).groupBy(F.col("lang").alias("_l"), F.col("source").alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("_f"))
+    rule = F.struct("metric", F.struct("low", "high"))
+    found = fences(counts, prior_docs, reach).groupBy(F.col("lang").alias("_l"), F.col("source").alias("_s")).agg(F.map_from_entries(F.collect_list(rule)).alias("_f"))
     found = stored(found, "quality-rules")
     if found.count() <= 100_000:  # one row per language and source
         found = F.broadcast(found)
     rows = counts.join(found, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    reasons = []
-    for k, (a, b, _, _) in METRICS.items():
-        v = F.when(F.col(b) > 0, F.expr(f"{a} * 1000 div {b}")).otherwise(F.lit(0))
-        reasons.append(F.when((v > F.col("_f")[k]["high"]) | F.coalesce(v < F.col("_f")[k]["low"], F.lit(False)), F.lit(k)))
-    out = rows.withColumn("reasons", F.filter(F.array(*reasons), lambda x: x.isNotNull()))
+    outside = [F.when((value(k) > F.col("_f")[k]["high"]) | (value(k) < F.col("_f")[k]["low"]), F.lit(k)) for k in METRICS]
+    out = rows.withColumn("reasons", F.filter(F.array(*outside), lambda x: x.isNotNull()))
     return out.select("doc_id", "lang", "source", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"), "reasons")
 
 
@@ -139,21 +164,25 @@ base AS (
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
 v AS (
-  SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS metric, unnest([33, 120, 100, 500]) AS least, unnest([false, false, false, true]) AS below,
-         unnest([CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END,
-                 CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END]) AS value FROM j),
-s AS (SELECT lang, source, metric, least, below, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket FROM v WHERE NOT base_failed),
-m AS (
-  SELECT 0 AS level, lang, source, metric, least, below, bucket FROM s UNION ALL SELECT 1, lang, NULL, metric, least, below, bucket FROM s UNION ALL SELECT 2, NULL, NULL, metric, least, below, bucket FROM s),
+  SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length', 'n_words']) AS metric,
+         unnest([CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN n_dup_lines * 1000 // n_words ELSE 0 END,
+                 CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END, n_words]) AS value FROM j),
+s AS (SELECT lang, source, metric, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket FROM v WHERE NOT base_failed),
+m AS (SELECT 0 AS level, lang, source, metric, bucket FROM s UNION ALL SELECT 1, lang, NULL, metric, bucket FROM s UNION ALL SELECT 2, NULL, NULL, metric, bucket FROM s),
 q AS (
-  SELECT level, lang, source, metric, least, below, max(docs) AS docs, min(bucket) FILTER (WHERE rank * 4 >= docs) AS q1, min(bucket) FILTER (WHERE rank * 4 >= docs * 3) AS q3
-  FROM (SELECT *, row_number() OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS rank, count(*) OVER (PARTITION BY level, lang, source, metric) AS docs FROM m)
-  GROUP BY level, lang, source, metric, least, below),
-f AS (SELECT level, lang, source, metric, docs, CASE WHEN below THEN q1 - 3 * greatest(q3 - q1, least) END AS low, q3 + 3 * greatest(q3 - q1, least) AS high FROM q),
-rule AS (
-  SELECT o.lang, o.source, o.metric, CASE WHEN o.docs >= 200 THEN o.low WHEN l.docs >= 200 THEN l.low ELSE a.low END AS low,
-         CASE WHEN o.docs >= 200 THEN o.high WHEN l.docs >= 200 THEN l.high ELSE a.high END AS high
-  FROM f o JOIN f l ON l.level = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN f a ON a.level = 2 AND o.metric = a.metric WHERE o.level = 0),
+  SELECT level, lang, source, metric, count(*) AS docs, min(bucket) FILTER (WHERE rank * 4 >= n) AS q1, min(bucket) FILTER (WHERE rank * 4 >= n * 2) AS q2, min(bucket) FILTER (WHERE rank * 4 >= n * 3) AS q3
+  FROM (SELECT *, row_number() OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS rank, count(*) OVER (PARTITION BY level, lang, source, metric) AS n FROM m)
+  GROUP BY level, lang, source, metric),
+l AS (
+  SELECT l.lang, l.metric, (l.docs * l.q1 + 50 * a.q1) // (l.docs + 50) AS q1, (l.docs * l.q2 + 50 * a.q2) // (l.docs + 50) AS q2, (l.docs * l.q3 + 50 * a.q3) // (l.docs + 50) AS q3
+  FROM q l JOIN q a ON l.metric = a.metric WHERE l.level = 1 AND a.level = 2),
+o AS (
+  SELECT o.lang, o.source, o.metric, (o.docs * o.q1 + 50 * l.q1) // (o.docs + 50) AS q1, (o.docs * o.q2 + 50 * l.q2) // (o.docs + 50) AS q2, (o.docs * o.q3 + 50 * l.q3) // (o.docs + 50) AS q3
+  FROM q o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric WHERE o.level = 0),
+e AS (
+  SELECT o.*, 1000 // greatest(1, d.q2) AS one FROM o JOIN o d ON o.lang IS NOT DISTINCT FROM d.lang AND o.source IS NOT DISTINCT FROM d.source
+    AND d.metric = 'n_words' WHERE o.metric <> 'n_words'),
+rule AS (SELECT lang, source, metric, q1 - 15 * greatest(q2 - q1, one) AS low, q3 + 15 * greatest(q3 - q2, one) AS high FROM e),
 bad AS (
   SELECT DISTINCT doc_id FROM v JOIN rule ON v.lang IS NOT DISTINCT FROM rule.lang AND v.source IS NOT DISTINCT FROM rule.source AND v.metric = rule.metric
   WHERE value > high OR value < low)
