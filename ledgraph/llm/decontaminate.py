@@ -5,69 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lowered, stored, table
+from .shared import lowered, packed, stored, table, unpacked
 
 #: Words are runs of ASCII letters, digits and non-ASCII characters; this is what lies between them.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a text before its A-Z are in lower case.
+NORMAL_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def normal_words(text: Column) -> Column:
     return F.filter(F.split(lowered(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
+def window_hash(words: Column) -> Column:
+    return F.xxhash64(F.transform(words, lambda w: F.xxhash64(w)))
+
+
 def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """One row per distinct window: hash, window (its words, space-joined), width, items (the ids that hold it)."""
+    """item_id, hash, window (its words, space-joined), width: one row per item and distinct window."""
     words = benchmark.select("item_id", normal_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     width = F.least(F.size("words"), F.lit(n))
-    windows = words.select("item_id", width.alias("width"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.slice("words", i, width))).alias("w"))
-    return windows.groupBy(window_hash(F.col("w")).alias("hash"), F.array_join("w", " ").alias("window"), "width").agg(F.collect_set("item_id").alias("items"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.slice("words", i, width))
+    each = words.select("item_id", width.alias("width"), F.explode(windows).alias("w"))
+    return each.select("item_id", window_hash(F.col("w")).alias("hash"), F.array_join("w", " ").alias("window"), "width").distinct()
 
 
-def window_hash(words: Column) -> Column:
-    return F.xxhash64(F.transform(words, lambda w: F.xxhash64(w)))
+def beside(df: DataFrame, row_bytes: int, most: int) -> DataFrame:
+    """``df`` marked for broadcast if its rows, counted, take ``most`` bytes at most."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_rows: int = 2_000_000, carry: list[str] | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = 64_000_000, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of ``docs`` (None: all) and n_words, spans (word position and width of each window found), items, n_hit.
 
-    The benchmark's windows are a broadcast hash set while there are ``broadcast_rows`` at most (counted first); beyond
-    that the same join shuffles. Each document is read once: its window hashes are exploded next to one sentinel at
-    position 0, which keeps documents without a hit; a hash hit counts only if the words are equal too.
+    First the hashes of each text's windows are exploded, a row being the text's key, a place and a hash, and joined
+    with the set of the benchmark's window hashes, which is broadcast up to ``broadcast_bytes`` (counted first) and
+    shuffled beyond. Then only the texts with a hit are read again and the hit windows' words compared. What is found,
+    a row per text, is joined to the documents, again broadcast only up to that size; texts aren't shuffled below it.
 
     Nulls: a null text has no words; an item with null or empty text has no window; a null item_id marks hits but is
-    no item. Rows are told apart by position, so repeated doc_ids stay apart. Empty benchmark: no hits. Input columns
+    no item. Rows that repeat an id and its text get the same result each. Empty benchmark: no hits. Input columns
     named n_words, spans, items, n_hit are replaced. A window within a document may repeat: each place counts.
     """
     known = stored(benchmark_windows(benchmark, n), "benchmark-windows")
-    widths = [r[0] for r in known.select("width").distinct().orderBy("width").collect()]  # n values at most
-    beside = F.broadcast(known) if known.count() <= broadcast_rows else known
-    kept = [c for c in carry or docs.columns if c not in ("n_words", "spans", "items", "n_hit")]
-
-    hashes = F.transform("_words", lambda w: F.xxhash64(w))
-    d = docs.select(F.struct(*[F.col(c) for c in kept]).alias("_doc"), normal_words(F.col("text")).alias("_words"))
-    d = d.select("_doc", "_words", hashes.alias("_h"), F.size("_words").alias("_n"), F.monotonically_increasing_id().alias("_row"))
+    hashes = stored(known.select("hash", "width").distinct(), "benchmark-hashes")
+    widths = [r[0] for r in hashes.select("width").distinct().orderBy("width").collect()]  # n values at most
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in ("n_words", "spans", "items", "n_hit")]
+    others = [F.col(f"`{c}`").alias(c) for c in kept]
+    own = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
+    rows = docs.select(F.struct(*others).alias("_doc"), own.alias("_own"), F.col("text").alias("_text"))
+
+    # Places of the windows among those of all widths, one width after the other.
     places = lambda k: F.greatest(F.col("_n") - (k - 1), F.lit(0))
-
-    def hashes_of(k: int) -> Column:
-        return F.when(F.col("_n") >= k, F.transform(F.sequence(F.lit(1), places(k)), lambda i: F.xxhash64(F.slice("_h", i, k)))).otherwise(F.array().cast("array<bigint>"))
-
-    windows = [hashes_of(k) for k in widths]
-    exploded = d.select("_row", "_doc", "_words", "_n", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), *windows)).alias("_pos", "_hash"))
-    # Position within its width's own stretch of the exploded windows; 1 is the first word.
-    start, before = F.lit(0), F.lit(1)
+    d = rows.select("_own", F.transform(normal_words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h")).select("_own", "_h", F.size("_h").alias("_n"))
+    each = [F.when(F.col("_n") >= k, F.transform(F.sequence(F.lit(1), places(k)), lambda i: F.xxhash64(F.slice("_h", i, k)))).otherwise(F.array().cast("array<bigint>")) for k in widths]  # noqa: B023
+    none = F.array().cast("array<bigint>")
+    exploded = d.select("_own", "_n", F.posexplode(F.concat(none, *each)).alias("_pos", "hash"))
+    start, before = F.lit(0), F.lit(0)
     for k in widths:
-        start = F.when(F.col("width") == k, F.col("_pos") - before + 1).otherwise(start)
+        start = F.when((F.col("width") == k) & (F.col("_pos") - before < places(k)), F.col("_pos") - before + 1).otherwise(start)
         before = before + places(k)
-    found = (
-        exploded.join(beside, (F.col("_hash") == F.col("hash")) & (F.col("_pos") > 0), "left")
-        .filter((F.col("_pos") == 0) | F.col("hash").isNotNull())
-        .withColumn("_start", start)
-        .withColumn("_hit", F.col("hash").isNotNull() & (F.col("_start") > 0) & (F.array_join(F.slice("_words", F.greatest(F.col("_start"), F.lit(1)), F.greatest(F.col("width"), F.lit(1))), " ") == F.col("window")))
-        .select("_row", F.when(F.col("_pos") == 0, F.col("_doc")).alias("_doc"), "_n", F.when(F.col("_hit"), F.struct(F.col("_start").alias("start"), "width")).alias("span"), F.when(F.col("_hit"), F.col("items")).alias("items"))
-    )
-    grouped = found.groupBy("_row").agg(
-        F.first("_doc", ignorenulls=True).alias("_doc"), F.max("_n").alias("n"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
-    )
+    met = exploded.join(beside(hashes, 16, broadcast_bytes), "hash").select("_own", start.alias("start"), "width").filter("start > 0")
+    met = stored(met.groupBy("_own").agg(F.collect_set(F.struct("start", "width")).alias("places")), "benchmark-hits")
+
+    # The words of what was hit.
+    texts = rows.select("_own", "_text").join(beside(met, 1000, broadcast_bytes), "_own").select("_own", "places", normal_words(F.col("_text")).alias("_words"))
+    cut = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["width"].alias("width"), F.array_join(F.slice("_words", p["start"], p["width"]), " ").alias("window")))
+    cut = texts.filter(F.size("_words") > 0).select("_own", F.explode(cut).alias("c")).select("_own", "c.*").distinct()
+    true = stored(cut.join(beside(known, 200, broadcast_bytes), ["window", "width"]).select("_own", "start", "width", "item_id"), "benchmark-true")
+    spans = true.groupBy("_own").agg(F.array_sort(F.collect_set(F.struct("start", "width"))).alias("spans"), F.collect_set("item_id").alias("items"))
+    spans = stored(spans, "benchmark-spans").withColumnRenamed("_own", "_of")
+
+    full = rows.join(beside(spans, 1000, broadcast_bytes), F.col("_own") == F.col("_of"), "left")
+    no_items = F.array().cast(benchmark.select(F.array("item_id").alias("x")).schema["x"].dataType)
+    no_spans = F.array().cast("array<struct<start:int,width:int>>")
+    found = full.select("_doc", "_text", F.coalesce("spans", no_spans).alias("spans"), F.coalesce("items", no_items).alias("items"))
     # Spans sorted by start: words covered are summed from one end to the next.
     covered = F.aggregate(
         "spans",
@@ -75,37 +87,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
         lambda a, s: F.struct(F.greatest(a["end"], s["start"] + s["width"] - 1).alias("end"), (a["hit"] + F.greatest(F.lit(0), s["start"] + s["width"] - 1 - F.greatest(a["end"], s["start"] - 1))).alias("hit")),
         lambda a: a["hit"],
     )
-    return grouped.select(*[F.col("_doc")[c].alias(c) for c in kept], F.col("n").cast("long").alias("n_words"), "spans", "items", covered.cast("long").alias("n_hit"))
+    n_words = F.coalesce(F.regexp_count("_text", F.lit(NORMAL_WORD)), F.lit(0))
+    return found.select(*[F.col("_doc")[c].alias(c) for c in kept], n_words.cast("long").alias("n_words"), "spans", "items", covered.cast("long").alias("n_hit"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, document_share: float = 0.8) -> DataFrame:
     """``docs`` without benchmark passages: hit words are cut out of the text; a document of which ``document_share`` of the words or more are hit goes.
 
-    Untouched documents come back as they were. In a cut document the words that stay keep their own spelling and the
-    marks between them. Columns as in ``docs``.
+    Untouched documents come back as they were, nulls and empty texts too. In a cut document the words that stay keep
+    their own spelling and the marks between them. Columns, and what others hold, as in ``docs``, whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
     pieces = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
     head = F.regexp_extract(text, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 0)
-    # The sorted spans as disjoint runs of word positions, then the words outside of them.
+    # The sorted spans as disjoint runs of word positions: what lies between them is joined, a slice for each gap.
     end = lambda r: r["start"] + r["width"]
     none = F.array().cast("array<struct<start:int,width:int>>")
-    runs = F.aggregate(
+    gaps = F.aggregate(
         "spans",
-        F.struct(none.alias("done"), F.lit(None).cast("struct<start:int,width:int>").alias("open")),
-        lambda a, s: F.when(a["open"].isNull(), F.struct(a["done"].alias("done"), s.alias("open")))
-        .when(s["start"] <= end(a["open"]), F.struct(a["done"].alias("done"), F.struct(a["open"]["start"].alias("start"), (F.greatest(end(a["open"]), end(s)) - a["open"]["start"]).alias("width")).alias("open")))
-        .otherwise(F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), s.alias("open"))),
-        lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))),
+        F.struct(none.alias("done"), F.lit(1).alias("next")),
+        lambda a, s: F.struct(
+            F.when(s["start"] > a["next"], F.concat(a["done"], F.array(F.struct(a["next"].alias("start"), (s["start"] - a["next"]).alias("width"))))).otherwise(a["done"]).alias("done"),
+            F.greatest(a["next"], end(s)).alias("next"),
+        ),
+        lambda a: F.concat(a["done"], F.array(F.struct(a["next"].alias("start"), F.lit(2**30).alias("width")))),
     )
-    left = F.filter(pieces, lambda w, i: ~F.exists("_runs", lambda r: (i + 1 >= r["start"]) & (i + 1 < end(r))))
-    cut = F.concat(head, F.array_join(left, ""))
-    found = contamination(docs, benchmark, n).filter(F.col("n_hit") < F.greatest(F.lit(1.0), F.col("n_words") * F.lit(document_share)))
-    found = found.withColumn("_runs", runs)
-    return found.withColumn("text", F.when(F.col("n_hit") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
+    cut = F.concat("_head", F.array_join(F.transform("_gaps", lambda g: F.array_join(F.slice("_pieces", g["start"], g["width"]), "")), ""))
+    hit = F.col("n_hit") > 0
+    found = contamination(packed(docs, "doc_id", "text"), benchmark, n).filter(F.col("n_hit") < F.greatest(F.lit(1.0), F.col("n_words") * F.lit(document_share)))
+    found = found.withColumns({"_gaps": F.when(hit, gaps), "_head": F.when(hit, head), "_pieces": F.when(hit, pieces)})
+    return unpacked(found.withColumn("text", F.when(hit & (F.size("_pieces") > 0), cut).otherwise(F.col("text"))), docs, "doc_id", "text")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digest of ``contamination`` over all documents; nulls, ties and repeated rows as there."""
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -55,6 +55,21 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Holds a row's other columns while an operator works on some of them, so that no name clashes.
+OTHERS = "_other_columns"
+
+
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used`` of ``docs``, and all others in one struct."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))).alias(OTHERS))
+
+
+def unpacked(found: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs``, in its order: ``used`` as ``found`` has them, the others as they were."""
+    return found.select(*[F.col(c) if c in used else F.col(f"{OTHERS}.`{c}`").alias(c) for c in docs.columns])
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, at_least: int) -> Iterator[pa.Table]:
     """Cut batches sorted by ``key`` so that no key is spread over two tables, of ``at_least`` rows where there are as many."""
     held: list[pa.RecordBatch] = []

@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 
 import duckdb
@@ -51,10 +53,32 @@ def test_quality_against_sql(spark, odd_docs, no_docs):
     kept = {r.doc_id: r.kept for r in found.collect()}
     assert all(kept[i] for i in range(40)) and not any(kept[i] for i in (100, 101, 102, 103, 200, 201, 202))
     agree(found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"), quality.SQL, documents=df)
-    assert quality.judged(odd_docs).count() == odd_docs.count()
+    odd = quality.judged(odd_docs)
+    assert sorted((r.doc_id or 0, r.n_words) for r in odd.collect()) == sorted((r.doc_id or 0, len((r.text or "").encode().split())) for r in odd_docs.collect())
+    assert {r.doc_id: r.base_failed for r in odd.collect()} == {1: True, 2: True, None: False, 3: True, 4: False, 5: False, 6: False, 7: True, 8: True, 9: True}
     assert quality.judged(no_docs).count() == 0
 
 
+def test_fences_follow_each_source(spark):
+    """Sources with other habits get other fences, for each metric; a small group lies between its own and its language's."""
+    r = random.Random(8)
+
+    def text(i, long, marks, lines, phrase):
+        words = [w + ("ness" if long else "") for w in prose(i, 200).replace(".", "").split()]
+        words = [w + ("#" if marks and r.random() < 0.2 else "") for w in words] + (["of", "this", "very", "kind"] * r.randrange(2, 6) if phrase else [])
+        return "\n".join(" ".join(words[k : k + 20]) for k in range(0, len(words), 20)) + "\nend of line" * (1 + (r.randrange(2, 5) if lines else 0))
+
+    rows = [(i, text(i, False, False, False, False), "en", "plain") for i in range(60)] + [(100 + i, text(i, True, True, True, True), "en", "odd") for i in range(60)]
+    rows += [(200, text(7, True, True, True, True), "en", "tiny")]
+    counts = quality.counted(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).withColumn("base_failed", F.lit(False))
+    high = {(x.source, x.metric): x.high for x in quality.fences(counts).collect()}
+    for k in quality.METRICS:
+        assert high["odd", k] > high["plain", k], k
+    assert high["plain", "symbols"] < high["tiny", "symbols"]
+    few = {(x.source, x.metric): x.q3 for x in quality.fences(counts, prior_docs=10**6).collect()}
+    assert max(abs(few[s, "symbols"] - few["tiny", "symbols"]) for s in ("plain", "odd")) <= 1
+
+
 def test_sketch_buckets(spark):
     values = [0, 1, 63, 64, 65, 127, 128, 999, 123_456]
     got = [r.b for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality.bucket(F.col("v")).alias("b")).collect()]
@@ -158,13 +182,30 @@ def test_decontamination_against_sql(spark, bench, odd_docs, no_docs):
     shown = found.select("doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
     agree(shown, decontaminate.SQL, documents=df, benchmark=bench)
     assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 40, 2: 3, 3: 0, 4: 0, 5: 80, 6: 0, 7: 15}
-    joined = decontaminate.contamination(df, bench, broadcast_rows=0)
+    joined = decontaminate.contamination(df, bench, broadcast_bytes=0)
     assert sorted((r.doc_id, r.n_hit) for r in joined.collect()) == sorted((r.doc_id, r.n_hit) for r in found.collect())
-    assert decontaminate.contamination(odd_docs, bench).count() == odd_docs.count()
-    assert decontaminate.contamination(no_docs, bench).count() == 0
+    odd = decontaminate.contamination(odd_docs, bench)
+    counts = lambda rows: sorted((r.doc_id or 0, r.n_words, r.n_hit, r.note or "") for r in rows)
+    assert counts(odd.collect()) == sorted((r.doc_id or 0, len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").lower())), 0, r.note or "") for r in odd_docs.collect())
+    back = decontaminate.decontaminate(odd_docs, bench)
+    assert back.schema.simpleString() == odd_docs.schema.simpleString() and sorted(map(str, back.collect())) == sorted(map(str, odd_docs.collect()))
+    assert decontaminate.contamination(no_docs, bench).count() == decontaminate.decontaminate(no_docs, bench).count() == 0
     assert decontaminate.contamination(df, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_windows_take_time_in_proportion_to_the_text(spark, bench):
+    def seconds(n):
+        df = spark.createDataFrame([(1, prose(5, n) + " " + prose(71, 40))], "doc_id long, text string")
+        df.cache().count()
+        began = time.perf_counter()
+        assert decontaminate.contamination(df, bench).first().n_hit == 40
+        return time.perf_counter() - began
+
+    seconds(1000)
+    short = seconds(40_000)
+    assert seconds(320_000) < 8 * short + 4
+
+
 def test_cut_texts(spark, bench):
     head, tail = prose(1, 50), prose(2, 30)
     df = spark.createDataFrame([(1, f"«{head} " + prose(71, 40) + f" {tail}", "x"), (2, prose(71, 40), "x"), (3, "Kept as it is, §1.", "x"), (4, None, "x")], "doc_id long, text string, note string")
