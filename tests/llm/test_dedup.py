@@ -102,30 +102,48 @@ def test_op1_digest(spark, tmp_path):
 # ---- sentences
 
 
-def brute_sentences(rows):
-    first, later = {}, collections.defaultdict(set)
-    parts = {}
+def brute_sentences(rows, number=sentences.SENTENCES):
+    """kept by doc_id, from all runs of sentences as lists of words."""
+    first, later, parts = {}, collections.defaultdict(set), {}
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         found, words = sentences.pieces(t)
         index = [i for i, w in enumerate(words) if w]
-        parts[d] = (found, index)
-        for a, n, content in sentences.spans([words[i] for i in index]):
-            if first.setdefault(content, (d, a)) != (d, a):
-                later[d].update(index[a : a + n])
-    return {d: "".join(p for i, p in enumerate(f) if i not in later[d]) for d, (f, _) in parts.items()}
+        parts[d] = found
+        for a in range(len(index) - number + 1):
+            run = tuple(tuple(words[i].split()) for i in index[a : a + number])
+            if first.setdefault(run, (d, a)) != (d, a):
+                later[d].update(index[a : a + number])
+    return {d: "".join(p for i, p in enumerate(f) if i not in later[d]) for d, f in parts.items()}
 
 
 def test_sentences_against_brute_force(spark, odd_docs, no_docs):
     shared = prose(41, 80)
-    rows = [(i, prose(300 + i, 40) + ". " + shared + ". " + prose(400 + i, 40)) for i in range(8)] + [(20, shared + ". " + shared), (21, None), (22, "One. Two. Three.")]
+    rows = [(i, prose(300 + i, 40) + ". " + shared + ". " + prose(400 + i, 40)) for i in range(8)] + [(20, shared + ". " + shared), (21, None), (22, "One. Two. Three."), (23, "One. Two."), (24, "one. TWO. three.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_sentences(rows)
     assert {r.doc_id: r.kept or "" for r in sentences.remove_repeated(df).collect()} == want
-    assert want[0] == rows[0][1] and len(want[1]) < len(rows[1][1]) - 300 and want[22] == "One. Two. Three."
-    assert sentences.remove_repeated(odd_docs).count() == odd_docs.count()
+    assert want[0] == rows[0][1] and len(want[1]) < len(rows[1][1]) - 300 and want[22] == "One. Two. Three." and want[23] == "" and want[24] == ""
+    odd = sentences.remove_repeated(odd_docs)
+    once = {r.doc_id: r.text for r in odd_docs.collect()}
+    want = brute_sentences(list(once.items()))
+    assert sorted((r.doc_id or 0, r.kept or "", r.note or "", r.spans, r.size) for r in odd.collect()) == sorted((r.doc_id or 0, want[r.doc_id], r.note or "", "clash", 7) for r in odd_docs.collect())
     assert sentences.remove_repeated(no_docs).count() == 0
-    one = [r for r in sentences.remove_repeated(odd_docs).collect() if r.doc_id == 6][0]
-    assert one.n_removed > 0 and one.note == "x"
+
+
+@pytest.mark.parametrize("lengths", [[25, 5, 5], [25, 8, 6, 4], [45, 8, 3], [12, 12, 9, 6], [60, 2, 50, 1]])
+def test_sentences_of_unequal_lengths(spark, lengths):
+    """All of a repeated passage goes, its short last sentences too."""
+    passage = " ".join(prose(500 + i, n).replace(".", "") + "." for i, n in enumerate(lengths))
+    rows = [(i, prose(600 + i, 30) + ". " + passage + " " + prose(700 + i, 30)) for i in range(4)]
+    kept = {r.doc_id: r.kept for r in sentences.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept[0] == rows[0][1] and kept == brute_sentences(rows)
+    assert all(prose(500 + i, n).split()[0] not in kept[k].split() or n > 30 for k in (1, 2, 3) for i, n in enumerate(lengths))
+    assert all(len(kept[k]) <= len(rows[k][1]) - len(passage) for k in (1, 2, 3))
+
+
+def test_sentences_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "A. B. C. D.", "x", 5, 2.5)], "doc_id long, text string, own string, places int, d double")
+    assert sentences.remove_repeated(df).first().asDict() == {"doc_id": 1, "text": "A. B. C. D.", "own": "x", "places": 5, "d": 2.5, "n_sentences": 4, "n_removed": 0, "kept": "A. B. C. D."}
 
 
 def test_pieces_make_the_text():
