@@ -249,6 +249,33 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.assemble(warc.read_archives(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_archives_of_string_ids_and_many_revisits(spark, tmp_path):
+    """Ids that are no numbers, with marks that headers may not hold; a payload that most pages share; record ids that Refers-To names."""
+    body = "<p>" + "shared " * 200
+    ids = [f"p{i:03}" for i in range(60)] + ["a%0Ab", "line\nend", "", None, "x: y"]
+    rows = [(i, f"http://h/{k}", body if k % 3 else f"{body} {k}") for k, i in enumerate(ids)] + [("p001", "http://again", body), ("p060", None, "")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(4)
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    found = warc.op9_warc(spark, str(tmp_path))
+    assert found.schema["page_id"].dataType == found.schema["refers_to"].dataType == pages.schema["page_id"].dataType
+    agree(found, warc.SQL, pages=pages)
+    assert found.filter("record_type = 'revisit'").count() > 35
+    warc.write_archives(pages, str(tmp_path / "w"))
+    records = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    ids = {r.record_id for r in records if r.type == "response"}
+    assert all(r.refers_to in ids for r in records if r.type == "revisit")
+    assert all(r.body_length == r.http_length for r in records if r.type == "response")
+
+
+def test_archive_is_read_in_steps():
+    """Members a record, one member, or none; blocks longer than a step."""
+    records = [f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: {n}\r\n\r\n".encode() + bytes(n) + b"\r\n\r\n" for n in (0, 5, 3_000_000, 17)]
+    for raw in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records)), b"".join(map(gzip.compress, records)) + bytes(9)):
+        assert [len(b) for _, _, b in warc.parse_archive(raw)] == [0, 5, 3_000_000, 17]
+    with pytest.raises(ValueError):
+        list(warc.parse_archive(gzip.compress(records[2])[:-2000]))
+
+
 def test_parse_archive():
     one = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 4\r\n\r\nab\r\n\r\n\r\n"
     assert [(f["warc-type"], b) for _, f, b in warc.parse_archive(one + one)] == [("metadata", b"ab\r\n")] * 2
