@@ -30,9 +30,10 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     return each.select("item_id", window_hash(F.col("w")).alias("hash"), F.array_join("w", " ").alias("window"), "width").distinct()
 
 
-def beside(df: DataFrame, row_bytes: int, most: int) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted, take ``most`` bytes at most."""
-    return F.broadcast(df) if df.count() * row_bytes <= most else df
+def beside(df: DataFrame, row_bytes: int, most: int, listed: str | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its rows, counted, take ``most`` bytes at most; ``listed`` is an array column with 32 bytes an entry."""
+    n, entries = df.agg(F.count("*"), F.coalesce(F.sum(F.size(listed)), F.lit(0)) if listed else F.lit(0)).first()
+    return F.broadcast(df) if n * row_bytes + entries * 32 <= most else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = 64_000_000, carry: list[str] | None = None) -> DataFrame:
@@ -69,14 +70,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
     met = stored(met.groupBy("_own").agg(F.collect_set(F.struct("start", "width")).alias("places")), "benchmark-hits")
 
     # The words of what was hit.
-    texts = rows.select("_own", "_text").join(beside(met, 1000, broadcast_bytes), "_own").select("_own", "places", normal_words(F.col("_text")).alias("_words"))
+    texts = rows.select("_own", "_text").join(beside(met, 100, broadcast_bytes, "places"), "_own").select("_own", "places", normal_words(F.col("_text")).alias("_words"))
     cut = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["width"].alias("width"), F.array_join(F.slice("_words", p["start"], p["width"]), " ").alias("window")))
     cut = texts.filter(F.size("_words") > 0).select("_own", F.explode(cut).alias("c")).select("_own", "c.*").distinct()
     true = stored(cut.join(beside(known, 200, broadcast_bytes), ["window", "width"]).select("_own", "start", "width", "item_id"), "benchmark-true")
     spans = true.groupBy("_own").agg(F.array_sort(F.collect_set(F.struct("start", "width"))).alias("spans"), F.collect_set("item_id").alias("items"))
     spans = stored(spans, "benchmark-spans").withColumnRenamed("_own", "_of")
 
-    full = rows.join(beside(spans, 1000, broadcast_bytes), F.col("_own") == F.col("_of"), "left")
+    full = rows.join(beside(spans, 100, broadcast_bytes, "spans"), F.col("_own") == F.col("_of"), "left")
     no_items = F.array().cast(benchmark.select(F.array("item_id").alias("x")).schema["x"].dataType)
     no_spans = F.array().cast("array<struct<start:int,width:int>>")
     found = full.select("_doc", "_text", F.coalesce("spans", no_spans).alias("spans"), F.coalesce("items", no_items).alias("items"))
