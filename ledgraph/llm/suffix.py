@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored, table, whole_groups
+from .shared import OTHERS, packed, stored, table, unpacked, whole_groups
 from .textbytes import flat, mixed, parts, powers, prefix_sums, runs, sliding_min, span_hash
 
 #: Bytes of a match, and of the leading token by which its suffix is partitioned.
 SPAN, TOKEN = 200, 40
 #: Piece of a text that is worked on at once; place in it takes PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 19, 22
-#: At most this many sampled documents, and the share of them in which a token is common.
-SAMPLE_DOCS, COMMON_SHARE, COMMON_DOCS = 10_000, 0.005, 50
+#: Runs of one token that a task sorts together; those of a token with more go on as single suffixes.
+LARGE = 20_000
 
 
 # ---- suffixes and their leading tokens --------------------------------------------------------------------------
@@ -28,8 +28,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, token: int
     Every suffix of ``span`` bytes or more has as leading token the ``token``-byte string with the least hash among
     those that begin in and end by its first ``span`` bytes; the leftmost of equal ones. So suffixes with equal first
     ``span`` bytes have equal tokens, and neighbours mostly share one. Returns row, lo and hi (first and last suffix of
-    the run), at (the token's place), all relative to the row, key (the token's hash) and seg (the hash of the bytes
-    [lo, hi + span), to which all suffixes of the run belong).
+    the run), at (the token's place), all relative to the row, key (the token's hash), seg and seg2 (two hashes of the
+    bytes [lo, hi + span), to which all suffixes of the run belong).
     """
     found: list[tuple[np.ndarray, ...]] = []
     todo: list[tuple[int, int, int, int]] = []  # rows [i, j), from byte a to b
@@ -58,34 +58,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, token: int
         at = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (p[1:] != p[:-1] + 1))))
         lo, hi = p[at], p[np.concatenate((at[1:] - 1, [len(p) - 1]))]
         base = offsets[r[at]] - a
-        found.append((r[at], lo - base, hi - base, q[at] - base, h[q[at]], span_hash(sums, lo, hi + span)))
-    names = ("row", "lo", "hi", "at", "key", "seg")
+        own = span_hash(prefix_sums(part, second=True), lo, hi + span, second=True)
+        found.append((r[at], lo - base, hi - base, q[at] - base, h[q[at]], span_hash(sums, lo, hi + span), own))
+    names = ("row", "lo", "hi", "at", "key", "seg", "seg2")
     if not found:
-        return {k: np.zeros(0, np.uint64 if k in ("key", "seg") else np.int64) for k in names}
+        return {k: np.zeros(0, np.uint64 if k in ("key", "seg", "seg2") else np.int64) for k in names}
     return dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True))
 
 
-def split_common(a: dict[str, np.ndarray], common: np.ndarray, data: np.ndarray, offsets: np.ndarray, span: int) -> dict[str, np.ndarray]:
-    """Runs whose token is in ``common`` (sorted) come apart into single suffixes, partitioned by all their ``span`` bytes instead."""
-    if not len(common) or not len(a["key"]):
-        return a
-    hit = common[np.minimum(np.searchsorted(common, a["key"]), len(common) - 1)] == a["key"]
-    if not hit.any():
-        return a
-    n = (a["hi"] - a["lo"] + 1)[hit]
-    row = np.repeat(a["row"][hit], n)
-    p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a["lo"][hit], n)
-    key = np.zeros(len(p), np.uint64)
-    order = np.argsort(row, kind="stable")
-    row, p = row[order], p[order]
-    for r in np.unique(row):
-        of = slice(*np.searchsorted(row, [r, r + 1]))
-        sums = prefix_sums(data[offsets[r] : offsets[r + 1]])
-        key[of] = span_hash(sums, p[of], p[of] + span)
-    own = {"row": row, "lo": p, "hi": p, "at": p, "key": mixed(key ^ np.uint64(1)), "seg": key}
-    return {k: np.concatenate((a[k][~hit], own[k])) for k in a}
-
-
 def _first_of_each(texts: pa.Array) -> np.ndarray:
     return np.sort(np.unique(np.array(texts.to_pylist(), object).astype("S16"), return_index=True)[1]) if len(texts) else np.zeros(0, np.int64)
 
@@ -100,37 +80,43 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
-# Runs travel as: key (long), seg (long), text (16 bytes), place (lo << 20 | (hi - lo) << 11 | (at - lo) << 2 | flags).
-MULTIPLE, DONE = 1, 2
-_RUN = "key long, seg long, text_id binary, place long"
-
-
-def _pack(lo: np.ndarray, length: np.ndarray, at: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    return (lo << 20) | (length << 11) | (at << 2) | flags
+#: done: a place that the reading task has found twice; else a run, of which at is the token's place.
+_RUN = "done boolean, key long, seg long, seg2 long, t1 long, t2 long, lo long, hi long, at long"
+_RUN_KINDS = [pa.bool_(), *[pa.int64()] * 8]
 
 
-def _run_batches(common: np.ndarray, span: int, token: int):
-    """Documents to runs. Runs that are equal within a batch are settled there: their places go on as done, one of them as a multiple."""
+def _run_batches(span: int, token: int):
+    """Documents to runs. Runs of a batch that are equal, byte by byte, go on as one; their places are done."""
+    names = [x.split()[0] for x in _RUN.split(", ")]
 
     def rows(batches):
         for batch in batches:
             keep = _first_of_each(batch.column("text_id"))  # copies of a text are counted apart
-            ids, texts = batch.column("text_id").take(pa.array(keep)), batch.column("text").take(pa.array(keep))
-            data, offsets = flat(texts)
-            a = split_common(anchors(data, offsets, span, token), common, data, offsets, span)
+            data, offsets = flat(batch.column("text").take(pa.array(keep)))
+            a = anchors(data, offsets, span, token)
             if not len(a["key"]):
                 continue
-            order, group = _grouped(a["key"], a["seg"])
+            ids = np.frombuffer(b"".join(batch.column("text_id").take(pa.array(keep)).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
+            order, group = _grouped(a["key"], a["seg"], a["seg2"])
             a = {k: v[order] for k, v in a.items()}
-            size = np.bincount(group)[group]
-            lead = np.concatenate(([True], group[1:] != group[:-1]))
-            again = np.flatnonzero(size > 1)
-            place = _pack(a["lo"], a["hi"] - a["lo"], a["at"] - a["lo"], np.where(size > 1, MULTIPLE, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(a["key"][lead].view(np.int64)), pa.array(a["seg"][lead].view(np.int64)), ids.take(pa.array(a["row"][lead])), pa.array(place[lead])], ["key", "seg", "text_id", "place"])
-            if len(again):
-                r, lo, hi = _joined(a["row"][again], a["lo"][again], a["hi"][again])
-                own = np.frombuffer(b"".join(x[:8] for x in ids.to_pylist()), np.int64)[r]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(hi), ids.take(pa.array(r)), pa.array(_pack(lo, lo * 0, lo * 0, lo * 0 + DONE))], ["key", "seg", "text_id", "place"])
+            lead = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[group]
+            start, end = (offsets[a["row"]] + a["lo"]).tolist(), (offsets[a["row"]] + a["hi"] + span).tolist()
+            member = np.flatnonzero(lead != np.arange(len(lead)))
+            raw = data.tobytes()
+            same = np.fromiter((raw[start[i] : end[i]] == raw[start[k] : end[k]] for i, k in zip(member.tolist(), lead[member].tolist(), strict=True)), np.bool_, len(member))
+            done = np.union1d(member[same], lead[member[same]])
+            sent = np.setdiff1d(np.arange(len(lead)), member[same])
+
+            def out(flag, t, *values):
+                n = len(t)
+                cols = [np.full(n, flag), *values[:3], t[:, 0], t[:, 1], *values[3:]]
+                return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, k) for c, k in zip(cols, _RUN_KINDS, strict=True)], names)
+
+            yield out(False, ids[a["row"][sent]], *(a[k][sent] for k in ("key", "seg", "seg2", "lo", "hi", "at")))
+            if len(done):
+                r, lo, hi = _joined(a["row"][done], a["lo"][done], a["hi"][done])
+                none = np.zeros(len(r), np.int64)
+                yield out(True, ids[r], ids[r][:, 0], none, none, lo, hi, none)
 
     return rows
 
@@ -143,67 +129,32 @@ def _joined(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return row[at], lo[at], hi[np.concatenate((at[1:] - 1, [len(lo) - 1]))]
 
 
-def _settle(batches):
-    """Runs of equal key together: kind 1 is a settled place, kind 2 a run whose suffixes are to be sorted."""
-    for t in whole_groups(batches, "key", 200_000):
-        key, seg, place = (t.column(c).to_numpy() for c in ("key", "seg", "place"))
-        ids = t.column("text_id").combine_chunks()
-        names = ["kind", "text_id", "lo", "hi", "at", "key", "multiple"]
-
-        def out(kind, i, lo, hi, at, many):
-            n = len(i)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), ids.take(pa.array(i)), pa.array(lo), pa.array(hi), pa.array(at), pa.array(key[i]), pa.array(many)], names)  # noqa: B023
-
-        done = np.flatnonzero(place & DONE)
-        if len(done):
-            yield out(1, done, place[done] >> 20, seg[done], done * 0, np.ones(len(done), np.bool_))
-        i = np.flatnonzero((place & DONE) == 0)
-        text = np.array(ids.take(pa.array(i)).to_pylist(), object).astype("S16") if len(i) else np.zeros(0, "S16")
-        low = np.frombuffer(text.tobytes(), np.uint64).reshape(-1, 2) if len(i) else np.zeros((0, 2), np.uint64)
-        # The same place, sent by several batches that hold copies of a text, counts once.
-        order, same = _grouped(key[i], seg[i], low[:, 0], low[:, 1], place[i] >> 2)
-        many = np.zeros(same[-1] + 1 if len(same) else 0, np.bool_)
-        np.logical_or.at(many, same, (place[i][order] & MULTIPLE) > 0)
-        first = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1]))) if len(same) else same
-        i, many = i[order][first], many
-        if not len(i):
-            continue
-        k, s = key[i], seg[i]
-        newseg = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
-        group = np.cumsum(newseg) - 1
-        multiple = np.bincount(group) > 1
-        np.logical_or.at(multiple, group, many)
-        lo = place[i] >> 20
-        hi, at = lo + ((place[i] >> 11) & 511), lo + ((place[i] >> 2) & 511)
-        settled = multiple[group]
-        yield out(1, i[settled], lo[settled], hi[settled], at[settled], np.ones(int(settled.sum()), np.bool_))
-        lead = np.flatnonzero(newseg)
-        kk = k[lead]
-        newkey = np.concatenate(([True], kk[1:] != kk[:-1]))
-        several = np.bincount(np.cumsum(newkey) - 1)[np.cumsum(newkey) - 1] > 1
-        j = lead[several]
-        yield out(2, i[j], lo[j], hi[j], at[j], multiple[several])
-
-
-_SETTLED = "kind int, text_id binary, lo long, hi long, at long, key long, multiple boolean"
-
-
 def _cut(span: int, token: int):
-    """Joined texts and wanted runs to the runs' bytes."""
+    """Joined texts and wanted runs to the runs' bytes behind their leading token; runs of a large token come apart into suffixes, which lead themselves."""
+    names = ["lead", "key", "seg", "seg2", "t1", "t2", "lo", "first", "bytes"]
+    kinds = [pa.binary(), *[pa.int64()] * 7, pa.binary()]
 
     def rows(batches):
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            out = []
-            for text_id, text, wanted in zip(batch.column("text_id").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                if text_id in seen:
+            out, held = [], 0
+            for t1, t2, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "wanted")), strict=True):
+                if (t1, t2) in seen:
                     continue
-                seen.add(text_id)
+                seen.add((t1, t2))
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                out += [(raw[w["at"] : w["at"] + token], w["key"], w["multiple"], text_id, w["lo"], w["hi"], raw[w["lo"] : w["hi"] + span]) for w in wanted]
+                for w in wanted:
+                    own, lo, hi = (w["key"], w["seg"], w["seg2"], t1, t2), w["lo"], w["hi"]
+                    if w["large"]:
+                        out += [(raw[i : i + span], *own, i, i - lo, b"") for i in range(lo, hi + 1)]
+                    else:
+                        out.append((raw[w["at"] : w["at"] + token], *own, lo, 0, raw[lo : hi + span]))
+                    held += hi - lo + span
+                    if held > 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out, held = [], 0
             if out:
-                kinds = [pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["lead", "key", "multiple", "text_id", "lo", "hi", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return rows
 
@@ -242,28 +193,54 @@ def equal_suffixes(data: np.ndarray, place: np.ndarray, group: np.ndarray, span:
     return out
 
 
+_MATCH = "key long, seg long, seg2 long, first long, last long"
+
+
+def _matches(key, seg, seg2, first, last) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, seg, seg2, first, last)], ["key", "seg", "seg2", "first", "last"])
+
+
 def _sort_buckets(span: int):
+    """Runs sorted by their leading token to those of their suffixes that are equal to another run's or place's; first and last count from the run's beginning."""
+
     def rows(batches):
-        for t in whole_groups(batches, "key", 10_000):
+        for t in whole_groups(batches, "lead", 10_000):
             data, offsets = flat(t.column("bytes").combine_chunks())
-            key, lo, hi = (t.column(c).to_numpy() for c in ("key", "lo", "hi"))
-            ids = t.column("text_id").combine_chunks()
-            text = np.frombuffer(b"".join(ids.to_pylist()), np.uint64).reshape(-1, 2)
-            order, same = _grouped(key, text[:, 0], text[:, 1], lo)
+            key, seg, seg2, t1, t2, lo = (t.column(c).to_numpy() for c in ("key", "seg", "seg2", "t1", "t2", "lo"))
+            lead = t.column("lead").to_numpy(zero_copy_only=False)
+            of = np.cumsum(np.concatenate(([False], lead[1:] != lead[:-1])))
+            order, same = _grouped(of, t1, t2, lo)
             one = order[np.concatenate(([True], same[1:] != same[:-1]))]  # a run cut from several copies of its text
-            n = (hi - lo + 1)[one]
+            n = (np.diff(offsets) - span + 1)[one]
             run = np.repeat(one, n)
             p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            k = key[run]
-            group = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
+            group = np.cumsum(np.concatenate(([False], of[run][1:] != of[run][:-1])))
             hit = np.flatnonzero(equal_suffixes(data, offsets[run] + p, group, span))
             if len(hit):
-                r, a, b = _joined(run[hit], p[hit], p[hit])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(lo[r] + a), pa.array(lo[r] + b)], ["text_id", "lo", "hi"])
+                r, first, last = _joined(run[hit], p[hit], p[hit])
+                yield _matches(key[r], seg[r], seg2[r], first, last)
 
     return rows
 
 
+def _adjacent(batches):
+    """Single suffixes sorted by their bytes to those that are equal to a neighbour; a neighbour may be in the batch before. No group is held."""
+    last = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch if last is None else last, *([] if last is None else [batch])]).combine_chunks()
+        n = t.num_rows
+        if not n:
+            continue
+        lead, t1, t2, lo = t.column("lead").to_numpy(zero_copy_only=False), *(t.column(c).to_numpy() for c in ("t1", "t2", "lo"))
+        # A suffix cut from several copies of its text is one place.
+        pair = (lead[1:] == lead[:-1]) & ((t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (lo[1:] != lo[:-1]))
+        hit = np.flatnonzero(np.concatenate((pair, [False])) | np.concatenate(([False], pair)))
+        if len(hit):
+            first = t.column("first").to_numpy()[hit]
+            yield _matches(*(t.column(c).to_numpy()[hit] for c in ("key", "seg", "seg2")), first, first)
+        last = t.slice(n - 1).to_batches()[0]
+
+
 # ---- the operator -----------------------------------------------------------------------------------------------
 
 
@@ -271,46 +248,37 @@ def text_id(text="text"):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def common_tokens(texts: DataFrame, span: int, token: int) -> list[int]:
-    """Tokens found in COMMON_SHARE of a sample of about SAMPLE_DOCS distinct documents (COMMON_DOCS at least); their number is bounded by tokens per document / COMMON_SHARE."""
-    n = texts.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
-    sample = texts.filter(F.pmod(F.xxhash64("text_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-
-    def rows(batches):
-        for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            a = anchors(data, offsets, span, token)
-            pairs = np.unique(np.stack((a["row"].astype(np.uint64), a["key"])), axis=1) if len(a["key"]) else np.zeros((2, 0), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("text_id").take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], ["text_id", "key"])
-
-    least = max(COMMON_DOCS, int(COMMON_SHARE * n * share))
-    counts = sample.mapInArrow(rows, "text_id binary, key long").distinct().groupBy("key").count()
-    return [r[0] for r in counts.filter(F.col("count") >= least).select("key").collect()]
-
-
 def repeated_spans(docs: DataFrame, span: int = SPAN, token: int = TOKEN) -> DataFrame:
     """text_id, spans: for each distinct text with repeats, its suffixes [lo, hi] (as lo << 32 | hi) whose first ``span`` bytes also begin elsewhere.
 
-    Suffixes are partitioned by their leading token (``anchors``) and travel as runs. Equal runs are counted where they
-    meet, first in the task that reads them. Tokens with different runs go on to the sort: their runs' bytes are
-    range-partitioned by token, with the splitters that Spark samples, so that no token and no equal pair of suffixes
-    lies across a boundary, and sorted bucket by bucket (``equal_suffixes``). Tokens that a sample shows to be common
-    are replaced by the whole suffix, which spreads them.
+    Suffixes with the same leading token (``anchors``) travel as runs; only tokens that occur twice can lead to a match.
+    Of the runs with equal bytes (two 64-bit hashes) two are sorted for all: their bytes are range-partitioned by the
+    token's bytes, with the splitters that Spark samples, and sorted bucket by bucket (``equal_suffixes``). A splitter is a
+    whole token, so no equal pair lies across a boundary. Runs of a token with over LARGE of them come apart into
+    suffixes, which are range-partitioned and sorted by all their bytes; so no token is held whole.
     """
+    halves = [F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), i, 16), 16, -10).cast("long") for i in (1, 17)]
     texts = docs.select(text_id().alias("text_id"), F.col("text").cast("string").alias("text"))
-    common = np.sort(np.array(common_tokens(texts, span, token), np.int64).view(np.uint64))
-    sent = texts.mapInArrow(_run_batches(common, span, token), _RUN)
-    settled = stored(sent.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, _SETTLED), "suffix-runs")
-    wanted = settled.filter("kind = 2").groupBy("text_id").agg(F.collect_list(F.struct("lo", "hi", "at", "key", "multiple")).alias("wanted"))
+    sent = texts.mapInArrow(_run_batches(span, token), _RUN).repartition("key")
+    rank = F.dense_rank().over(Window.partitionBy("key", "seg", "seg2").orderBy("done", "t1", "t2", "lo"))  # copies of a text are one place
+    many = F.count("*").over(Window.partitionBy("key"))
+    settled = stored(sent.withColumn("rank", rank).withColumn("many", many).filter("done OR many > 1"), "suffix-runs")
+    found = settled.filter("NOT done")
+    wanted = found.filter("rank <= 2").groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi", "at", "key", "seg", "seg2", (F.col("many") > LARGE).alias("large"))).alias("wanted"))
     wanted = stored(wanted, "suffix-wanted")  # so that the join may split a text with very many copies
-    cut = texts.join(wanted.hint("shuffle_hash"), "text_id").mapInArrow(_cut(span, token), "lead binary, key long, multiple boolean, text_id binary, lo long, hi long, bytes binary")
+    own = docs.select(halves[0].alias("t1"), halves[1].alias("t2"), F.col("text").cast("string").alias("text"))
+    cut = own.join(wanted.hint("shuffle_hash"), ["t1", "t2"]).mapInArrow(_cut(span, token), "lead binary, key long, seg long, seg2 long, t1 long, t2 long, lo long, first long, bytes binary")
     cut = stored(cut, "suffix-bytes")
-    matched = cut.repartitionByRange("lead").sortWithinPartitions("key").select("key", "text_id", "lo", "hi", "bytes").mapInArrow(_sort_buckets(span), "text_id binary, lo long, hi long")
-    copies = docs.select(text_id().alias("text_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).groupBy("text_id").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    copies = copies.filter((F.col("c") > 1) & (F.col("n") >= span)).select("text_id", F.lit(0).cast("long").alias("lo"), (F.col("n") - span).alias("hi"))
-    spans = settled.filter("kind = 1").select("text_id", "lo", "hi").unionByName(matched).unionByName(copies)
-    return spans.groupBy("text_id").agg(F.collect_list(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("spans"))
+    matched = cut.filter(F.length("lead") < span).repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_sort_buckets(span), _MATCH)
+    single = cut.filter(F.length("lead") == span).repartitionByRange("lead").sortWithinPartitions("lead", "t1", "t2", "lo").mapInArrow(_adjacent, _MATCH)
+    same = matched.unionByName(single).groupBy("key", "seg", "seg2").agg(F.collect_set(F.struct("first", "last")).alias("of"))
+    same = stored(same, "suffix-matches")  # so that the join may split a very common run
+    places = found.join(same.hint("shuffle_hash"), ["key", "seg", "seg2"]).select("t1", "t2", "lo", F.explode("of").alias("m"))
+    places = places.select("t1", "t2", (F.col("lo") + F.col("m.first")).alias("lo"), (F.col("lo") + F.col("m.last")).alias("hi"))
+    copies = docs.select(halves[0].alias("t1"), halves[1].alias("t2"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).groupBy("t1", "t2").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    copies = copies.filter((F.col("c") > 1) & (F.col("n") >= span)).select("t1", "t2", F.lit(0).cast("long").alias("lo"), (F.col("n") - span).alias("hi"))
+    spans = settled.filter("done").select("t1", "t2", "lo", "hi").unionByName(places).unionByName(copies)
+    return spans.groupBy("t1", "t2").agg(F.collect_list(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, token: int = TOKEN) -> DataFrame:
@@ -319,18 +287,21 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, token: int = TOKEN) -> Dat
     Each byte covered by a ``span``-byte string that also begins anywhere else in the corpus, in the same text too, is
     removed; all places of a repeat go. Texts are UTF-8 bytes, null is empty, and no match crosses rows. Repeated rows
     are copies of each other: all their bytes go if there are ``span`` or more. Texts under ``span`` bytes stay.
-    Input columns named n_bytes, n_removed, n_spans, kept are replaced. An empty table gives none.
+    Ids are not read. Input columns named n_bytes, n_removed, n_spans, kept are replaced; others come through, whatever
+    their names. An empty table gives none.
     """
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    spans = stored(repeated_spans(docs, span, token), "suffix-spans").withColumnRenamed("text_id", "_id").withColumnRenamed("spans", "_spans")
-    rows = docs.select(*names, text_id().alias("_own"))
-    rows = rows.join(spans.hint("shuffle_hash"), F.col("_own") == F.col("_id"), "left").select(*names, "_spans")
-    schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    new = ("n_bytes", "n_removed", "n_spans", "kept")
+    names = [c for c in docs.columns if c not in new]
+    spans = stored(repeated_spans(docs.select("text"), span, token), "suffix-spans").withColumnRenamed("t1", "s1").withColumnRenamed("t2", "s2")
+    halves = [F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), i, 16), 16, -10).cast("long") for i in (1, 17)]
+    rows = packed(docs.select(*[f"`{c}`" for c in names]), "text").select("text", OTHERS, halves[0].alias("t1"), halves[1].alias("t2"))
+    rows = rows.join(spans.hint("shuffle_hash"), (F.col("t1") == F.col("s1")) & (F.col("t2") == F.col("s2")), "left").select("text", OTHERS, "spans")
+    schema = T.StructType([*(rows.schema[c] for c in ("text", OTHERS)), *(T.StructField(c, T.LongType()) for c in new[:3]), T.StructField("kept", T.BinaryType())])
 
     def removed(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans"), strict=True):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans"), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if not found.is_valid:
                     out.append((len(raw), 0, 0, raw))
@@ -339,20 +310,26 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, token: int = TOKEN) -> Dat
                 a, b = runs(v >> 32, (v & 0xFFFFFFFF) + span)
                 edges = [0, *np.stack((a, b), axis=1).ravel().tolist(), len(raw)]
                 out.append((len(raw), int((b - a).sum()), len(a), b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))))
-            new = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.binary()], strict=True)] if out else [pa.array([], k) for k in [pa.int64()] * 3 + [pa.binary()]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            kinds = [pa.int64()] * 3 + [pa.binary()]
+            found = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column(OTHERS), *found], schema.names)
 
-    return rows.mapInArrow(removed, schema)
+    found = rows.mapInArrow(removed, schema)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"{OTHERS}.`{c}`").alias(c) for c in names], *new)
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``docs`` with repeated bytes cut from the texts; characters of which a cut left a part go too. Texts of which nothing but white space is left, though something was cut, go."""
-    found = remove_repeats(docs, span)
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).otherwise(F.col("text"))
-    return found.withColumn("text", text).filter((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    """``docs`` with repeated bytes cut from the texts; characters of which a cut left a part go too. Texts of which nothing but white space is left, though something was cut, go.
+
+    Null and empty texts stay as they are. Columns, and what others hold, as in ``docs``, whatever their names.
+    """
+    found = remove_repeats(packed(docs, "text"), span)
+    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).otherwise(F.col("text"))
+    return unpacked(found.withColumn("text", text).filter((F.col("n_removed") == 0) | (F.trim("text") != "")), docs, "text")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digest of ``remove_repeats`` over all documents."""
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

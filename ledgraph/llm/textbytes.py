@@ -9,22 +9,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 SPACES = np.zeros(256, np.bool_)
 SPACES[list(b" \t\n\v\f\r")] = True
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+@lru_cache(maxsize=4)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64 and of its inverse, ``n`` at least."""
-    return _powers(max(1 << 16, 1 << (n - 1).bit_length()))
+    return _powers(max(1 << 16, 1 << (n - 1).bit_length()), _BASES[second])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,16 +36,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, second: bool = False) -> np.ndarray:
     """Polynomial sums of all prefixes, for ``span_hash``."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1, second)[0][: len(data)], out=out[1:])
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
     """Hashes of the spans [start, end), equal for equal bytes."""
-    return mixed((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
+    return mixed((sums[end] - sums[start]) * powers(len(sums), second)[1][start] + (end - start).astype(np.uint64))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

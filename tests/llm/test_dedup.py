@@ -56,13 +56,44 @@ def test_suffix_overlaps_and_near_copies(spark):
     same(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4))
 
 
-def test_suffix_common_token_comes_apart(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "COMMON_DOCS", 5)
+def test_suffix_large_token_comes_apart(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "LARGE", 5)
     shared = prose(21, 60)
-    texts = [prose(100 + i, 30) + shared + prose(200 + i, 30) for i in range(30)]
+    texts = [prose(100 + i, 30) + shared + prose(200 + i, 30) for i in range(30)] + [prose(101, 30) + shared + prose(201, 30)] * 3
     same(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3))
 
 
+def test_all_but_whole_copies_come_from_the_sort(spark, monkeypatch):
+    """With nothing sorted, only copies of whole texts go, and repeats that one reading task compares byte by byte."""
+    shared = prose(22, 60)
+    texts = [prose(300 + i, 30) + shared + prose(400 + i, 30) for i in range(4)] + ["c" + shared] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6, "doc_id")
+    monkeypatch.setattr(suffix, "_sort_buckets", lambda span: lambda batches: iter(()))
+    one_row_batches(monkeypatch)
+    gone = [r.n_removed for r in suffix.remove_repeats(df).orderBy("doc_id").collect()]
+    assert gone == [0, 0, 0, 0, len(texts[4]), len(texts[5])]
+
+
+def one_row_batches(monkeypatch):
+    whole = suffix._run_batches
+    monkeypatch.setattr(suffix, "_run_batches", lambda span, token: lambda batches: (b for x in batches for i in range(x.num_rows) for b in whole(span, token)(iter([x.slice(i, 1)]))))
+
+
+def test_suffix_copies_that_no_task_sees_together(spark, monkeypatch):
+    one_row_batches(monkeypatch)
+    base = prose(24, 200)
+    texts = [base] * 5 + [prose(500 + i, 40) + base[100:600] + prose(600 + i, 40) for i in range(2)] + [base[100:600] + "tail"] * 2
+    same(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    monkeypatch.setattr(suffix, "LARGE", 3)
+    same(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+
+
+def test_suffix_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, prose(23, 90), "x", 2.5, 7), (2, prose(23, 90), "y", 1.5, 8), (3, None, None, None, None)], "doc_id long, text string, kept string, t1 double, n_removed int")
+    left = suffix.without_repeats(df)
+    assert left.schema == df.schema and [tuple(r) for r in left.collect()] == [(3, None, None, None, None)]
+
+
 def test_suffix_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 1000)
     text = prose(31, 1500).encode()
