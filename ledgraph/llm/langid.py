@@ -10,12 +10,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_mod, table
+from .shared import crc_mod, packed, table, unpacked
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: Bounds of the fit: sampled documents per language, characters of each, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 1000, 110_000
+#: Bounds of the fit: languages, sampled documents of each, and characters of each of these.
+LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 256, 64, 250
+#: Bytes that are compressed at once, so that the dictionary, not the text before, is what they are held against.
 PIECE = 1500
 
 
@@ -24,35 +25,36 @@ def letters(text: str | None) -> bytes:
     return " ".join(LETTERS.findall((text or "").lower())).encode("utf-8", "surrogatepass")
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Per lang value the content of its dictionary, most frequent language first.
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """Per lang value the content of its dictionary, most frequent language first; the ``languages`` most frequent values are learned.
 
-    From at most about ``sample_docs`` documents per language, chosen by the hash of doc_id, and of each up to
-    ``sample_chars`` characters from a place that depends on the hash. Rows with null lang or text don't count.
+    A dictionary is all of a bounded sample: the ``sample_docs`` documents of a language with the least hashes of doc_id
+    and text, and of each ``sample_chars`` characters from a place that depends on the hash. Rows with null lang or text
+    don't count; repeated rows are one.
     """
-    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row per language
-    if not counts:
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not found:
         return {}
-    h = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_003))
-    share = F.map_from_arrays(F.array(*[F.lit(k) for k in counts]), F.array(*[F.lit(min(1_000_003, int(1_000_003 * sample_docs / n) + 1)) for n in counts.values()]))
+    # Enough rows by hash that every language has its sample among them; the least of these are taken.
+    n = 1_000_003
+    h = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(n))
+    share = F.map_from_arrays(F.array(*[F.lit(r[0]) for r in found]), F.array(*[F.lit(min(n, int(n * 4 * sample_docs / r[1]) + 1)) for r in found]))
     start = F.pmod(h, F.greatest(F.length("text") - sample_chars, F.lit(1))) + 1
-    sample = known.filter(h < share[F.col("lang")]).select("lang", h.alias("h"), F.substring(F.col("text"), start.cast("int"), F.lit(sample_chars)).alias("text")).collect()
-    content: dict[str, list[bytes]] = {k: [] for k in sorted(counts, key=lambda k: (-counts[k], k))}
+    sample = known.filter(h < share[F.col("lang")]).select("lang", h.alias("h"), F.substring(F.col("text"), start.cast("int"), F.lit(sample_chars)).alias("text")).distinct().collect()
+    content: dict[str, list[bytes]] = {r[0]: [] for r in found}
     for r in sorted(sample, key=lambda r: (r.h, r.text)):
-        content[r.lang].append(letters(r.text))
-    return {k: (b" ".join(dict.fromkeys(v)))[:dict_bytes] for k, v in content.items() if v}
+        if len(content[r.lang]) < sample_docs:
+            content[r.lang].append(letters(r.text))
+    return {k: b" ".join(v) for k, v in content.items() if v}
 
 
 class Classifier:
     """Sizes of a text under each language's raw-content dictionary."""
 
-    def __init__(self, content: dict[str, bytes], level: int = 6, short_level: int = 9, short_bytes: int = 400, short_dict: int = 4000):
+    def __init__(self, content: dict[str, bytes], level: int = 6):
         self.names = list(content)
-        self.short_bytes = short_bytes
-        self.long = [self._compressor(v, level) for v in content.values()]
-        # In a short text, matches only pay if they are cheap to point at: its dictionaries are small.
-        self.short = [self._compressor(v[:short_dict], short_level) for v in content.values()]
+        self.compressors = [self._compressor(v, level) for v in content.values()]
 
     @staticmethod
     def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -66,7 +68,7 @@ class Classifier:
         n = max(1, -(-len(text) // PIECE))
         step = -(-len(text) // n)
         pieces = [text[i : i + step] for i in range(0, len(text), step)]
-        return [sum(len(c.compress(p)) for p in pieces) for c in (self.short if len(text) <= self.short_bytes else self.long)]
+        return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin): margin is by how much the second smallest size is larger than the smallest, as a share of it.
@@ -89,8 +91,8 @@ def identify(docs: DataFrame, content: dict[str, bytes], least_margin: float = 0
     """All columns of ``docs`` and lang_pred, score (0 to 1), margin, rejected.
 
     Each whole text is compressed with every language's dictionary; the smallest total names the language. rejected:
-    no letter, or a margin under ``least_margin``. Null texts: und. Repeated rows are judged alike; input columns
-    with these names are replaced. ``content`` is bounded by the number of languages times DICT_BYTES.
+    no letter, or a margin under ``least_margin``. Null and empty texts: und. Repeated rows are judged alike; an empty
+    table gives none; input columns with these names are replaced. ``content`` is bounded as ``fit`` says.
     """
     new = {"lang_pred": "string", "score": "double", "margin": "double", "rejected": "boolean"}
     names = [c for c in docs.columns if c not in new]
@@ -114,7 +116,13 @@ def trained(docs: DataFrame, folds: int = 4, held: int = 2) -> dict[str, bytes]:
     return fit(docs.select("doc_id", "lang", "text").filter(crc_mod(F.col("doc_id"), folds) != held))
 
 
+def without_rejected(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``identify`` rejects (null and empty texts too); learned from ``docs`` itself. Columns as in ``docs``, whatever their names."""
+    return unpacked(identify(packed(docs, "text"), trained(docs)).filter("NOT rejected"), docs, "text")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of ``identify`` over all documents, and margin and rejected."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), trained(docs))
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
