@@ -7,17 +7,17 @@ import os
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER_BYTES, crc_mod, stored, table
+from .shared import LOWER_BYTES, crc_mod, stored, table, whole_groups
 from .textbytes import flat, mixed, parts, prefix_sums, span_hash, words
 
 LOWER = np.frombuffer(LOWER_BYTES, np.uint8)
 END = np.uint64(0xE0D)  # the hash that stands for the end token
 START = np.uint64(0x57A27)  # the context of a text's first token
 #: Tokens of a block of documents that one task holds at once.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 1_500_000
 #: Contexts are pooled by the bit length of their count: CLASSES buckets.
 CLASSES = 64
 #: Log ratios of estimates to the uniform one are binned for EM: half octaves, from 2^-512 to 2^511, which holds all doubles that counts can give.
@@ -123,38 +123,84 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return known, place, counts, learn
 
 
+def _ask(keys: np.ndarray, n: np.ndarray, block: int, ranges: int):
+    """A row per hash range (``ranges`` is a power of two): sorted keys and the training tokens of each in the block."""
+    ends = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << np.uint64(65 - ranges.bit_length()), side="left").tolist()
+    for part, (a, b) in enumerate(zip([0, *ends], [*ends, len(keys)], strict=True)):
+        if b > a:
+            yield part, block, packed_keys(keys[a:b]), packed(n[a:b].astype(np.int32))
+
+
+_ASK = "part int, block long, keys binary, n binary"
+
+
+def _ask_batch(rows: list) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "block", "keys", "n"])
+
+
+def _ask_words(ranges: int):
+    def rows(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                known, place, _, learn = _opened(row)
+                yield _ask_batch(list(_ask(known, np.bincount(place[learn], minlength=len(known)), row["block"], ranges)))
+
+    return rows
+
+
 def _pairs(known: np.ndarray, place: np.ndarray, counts: np.ndarray) -> np.ndarray:
     tokens = known[place]
     return pair_hash(contexts(tokens, counts), tokens)
 
 
-def _distinct(batches):
-    """kind (0: words, 1: pairs), key, block, n: the distinct words and pairs of each block with their training tokens there."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            known, place, counts, learn = _opened(row)
-            pairs, at = np.unique(_pairs(known, place, counts), return_inverse=True)
-            for kind, keys, which in ((0, known, place), (1, pairs, at)):
-                n = np.bincount(which[learn], minlength=len(keys)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), row["block"], np.int64)), pa.array(n)], ["kind", "key", "block", "n"])
-
+def _ask_pairs(ranges: int):
+    def rows(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                known, place, counts, learn = _opened(row)
+                keys, at = np.unique(_pairs(known, place, counts), return_inverse=True)
+                yield _ask_batch(list(_ask(keys, np.bincount(at[learn], minlength=len(keys)), row["block"], ranges)))
 
-_BLOCK = "block long, words binary, tokens binary, counts binary, learn binary, ids array<{}>"
+    return rows
 
 
-def _counted(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block with the counts over all blocks of its words and of its pairs, in the order of their keys; keys that ``right`` hasn't are the block's alone."""
-    row = left.to_pylist()[0]
-    known, place, counts, learn = _opened(row)
-    pairs, at = np.unique(_pairs(known, place, counts), return_inverse=True)
-    kind, key, total = (right.column(c).to_numpy() for c in ("kind", "key", "total"))
-    out = []
-    for k, keys, which in ((0, known, place), (1, pairs, at)):
-        n = np.bincount(which[learn], minlength=len(keys)).astype(np.int64)
-        own = kind == k
-        n[np.searchsorted(keys, key[own].view(np.uint64))] = total[own]
-        out.append(packed(n))
-    return left.append_column("word_counts", pa.array([out[0]], pa.binary())).append_column("pair_counts", pa.array([out[1]], pa.binary()))
+def _answer(batches):
+    """All rows of a hash range together: per block the counts over all blocks, in the order of its keys."""
+    for t in whole_groups(batches, "part", 1):
+        rows = t.to_pylist()
+        # Small key ranges one after another, so that no more than a share of the range is open at once.
+        opened = [(unpacked_keys(r["keys"]), unpacked(r["n"], np.int32)) for r in rows]
+        total = sum(len(k) for k, _ in opened)
+        steps = max(1, total // 4_000_000)
+        low, high = min(int(k[0]) for k, _ in opened), max(int(k[-1]) for k, _ in opened) + 1
+        found = [[] for _ in rows]
+        types = tokens = 0
+        for s in range(steps):
+            edges = np.array([low + (high - low) * s // steps, low + (high - low) * (s + 1) // steps - 1], np.uint64)
+            cut = [slice(int(np.searchsorted(k, edges[0])), int(np.searchsorted(k, edges[1], side="right"))) for k, _ in opened]
+            keys = np.concatenate([k[c] for (k, _), c in zip(opened, cut, strict=True)])
+            n = np.concatenate([v[c] for (_, v), c in zip(opened, cut, strict=True)]).astype(np.int64)
+            order = np.argsort(keys, kind="stable")
+            group = np.cumsum(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) - 1 if len(keys) else order
+            sums = np.bincount(group, weights=n[order]).astype(np.int64) if len(keys) else n
+            types, tokens = types + int((sums > 0).sum()), tokens + int(sums.sum())
+            back = np.empty(len(keys), np.int64)
+            back[order] = sums[group] if len(keys) else sums
+            at = 0
+            for f, c in zip(found, cut, strict=True):
+                f.append(back[at : at + c.stop - c.start])
+                at += c.stop - c.start
+        blobs = [packed(np.concatenate(f)) for f in found]
+        k = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r["part"] for r in rows], pa.int32()), pa.array([r["block"] for r in rows], pa.int64()), pa.array(blobs, pa.binary()), pa.array([types] + [0] * (k - 1), pa.int64()), pa.array([tokens] + [0] * (k - 1), pa.int64())], ["part", "block", "found", "types", "tokens"])
+
+
+_ANSWER = "part int, block long, found binary, types long, tokens long"
+
+
+def _counts_of(row: dict, kind: str) -> np.ndarray:
+    return np.concatenate([unpacked(x["found"], np.int64) for x in sorted(row[kind], key=lambda x: x["part"])])
 
 
 # ---- mixture ----------------------------------------------------------------------------------------------------
@@ -168,9 +214,9 @@ def context_class(count: np.ndarray) -> np.ndarray:
 def _estimates(row: dict, texts: int):
     """(tokens per text, is each a training token, context count, pair count, word count)."""
     known, place, counts, learn = _opened(row)
-    w = unpacked(row["word_counts"], np.int64)[place]
+    w = _counts_of(row, "word_counts")[place]
     _, at = np.unique(_pairs(known, place, counts), return_inverse=True)
-    pair = unpacked(row["pair_counts"], np.int64)[at]
+    pair = _counts_of(row, "pair_counts")[at]
     c = np.concatenate(([0], w[:-1]))
     c[np.cumsum(counts) - counts] = texts  # START stands before every training text
     return counts, learn, c, pair, w
@@ -257,26 +303,35 @@ def score_texts(docs: DataFrame, learn) -> DataFrame:
     w2 c(v t)/c(v) + w1 c(t)/N + w0/(V + 1), v the token before (the first token's is a start), with weights by the size
     class of c(v). base_score: add-one unigrams. All counts cover all training rows and tokens are known by 64-bit hashes.
 
-    Documents are encoded in blocks. The distinct words and pairs of each block, with their counts there, are summed over
-    all blocks by key and go back to their blocks, but for those that only one block has; so a frequent word costs a row
-    a block, and rows grow with the input. Weights are learned from held-out counts: each training token is taken out of
-    all counts in turn, and a table whose size is bounded (context class by binned estimates) goes to the driver.
+    Documents are encoded in blocks. Each block asks for the training counts of its distinct words, then of its distinct
+    pairs, in one row per hash range, and gets them back in the same order; so a frequent word costs one entry a block.
+    Weights are learned from held-out counts: each training token is taken out of all counts in turn, and a table
+    whose size is bounded (context class by binned estimates) goes to the driver.
 
     Nulls: a null text is empty and has the end only; null doc_ids stay null. Repeated rows count and score each. With
     no training rows the score is uniform. An empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    blocks = stored(rows.mapInArrow(_encode, _BLOCK.format(kind)), "lm-blocks")
+    blocks = stored(rows.mapInArrow(_encode, f"block long, words binary, tokens binary, counts binary, learn binary, ids array<{kind}>"), "lm-blocks")
     texts = rows.filter("learn").count()
-    each = blocks.drop("ids").mapInArrow(_distinct, "kind byte, key long, block long, n int")
-    counted = each.repartition("key").withColumn("total", F.sum("n").over(Window.partitionBy("key", "kind")))
-    shared = stored(counted.select("kind", "key", "block", "total", "n", (F.row_number().over(Window.partitionBy("key", "kind").orderBy("block")) == 1).alias("first")).filter("kind = 0 OR total <> n"), "lm-counts")
-    distinct, total = shared.filter("kind = 0 AND first AND total > 0").agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
-    totals = shared.filter("total <> n").select("kind", "key", "block", "total")
-    full = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_counted, _BLOCK.format(kind) + ", word_counts binary, pair_counts binary")
-    full = stored(full, "lm-counted")
-    table_ = full.drop("ids").mapInArrow(_histogram(texts, total, distinct), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CLASSES * 4^BIN_BITS cells at most
+
+    # As many hash ranges as blocks, so that a range holds about as many entries as a block, whatever the input's size.
+    ranges = 1 << max(4, (blocks.count() - 1).bit_length())
+
+    def counted(ask, label):
+        asked = blocks.select("block", "words", "tokens", "counts", "learn").mapInArrow(ask(ranges), _ASK)
+        return stored(asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answer, _ANSWER), label)
+
+    found = counted(_ask_words, "lm-words")
+    distinct, total = found.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    pairs = counted(_ask_pairs, "lm-pairs")
+
+    def answers(df, name):
+        return df.groupBy("block").agg(F.collect_list(F.struct("part", "found")).alias(name))
+
+    full = blocks.join(answers(found, "word_counts"), "block").join(answers(pairs, "pair_counts"), "block")
+    table_ = full.mapInArrow(_histogram(texts, total, distinct), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CLASSES * 4^BIN_BITS cells at most
     weights = mixture_weights(np.array([r.cell for r in table_], np.int64), np.array([r.n for r in table_], np.float64))
     return full.mapInArrow(_score(texts, total, distinct, weights), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double").withColumn("train_tokens", F.lit(total).cast("long"))
 

@@ -197,16 +197,6 @@ def test_bins_hold_every_ratio():
     assert lm.ratio_bin(np.array([0.0]))[0] == 0 and 0 < lm.ratio_bin(np.array([1e-30]))[0] < lm.ratio_bin(np.array([1e30]))[0] < 1 << lm.BIN_BITS
 
 
-def test_rows_exchanged_grow_with_the_blocks(spark, monkeypatch):
-    """Each block sends a row for each of its distinct words and pairs, whatever the number of blocks."""
-    monkeypatch.setattr(lm, "BLOCK_TOKENS", 500)
-    rows = []
-    for n in (40, 160):
-        docs = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([prose(i, 100) for i in range(n)]), pa.array([True] * n)], ["doc_id", "text", "learn"])
-        rows.append(sum(b.num_rows for b in lm._distinct(lm._encode(iter([docs])))))
-    assert rows[1] < 4.5 * rows[0]
-
-
 def test_packed_numbers():
     x = np.array([0, 1, 255, 256, 1 << 40, (1 << 64) - 1], np.uint64)
     assert np.array_equal(lm.unpacked_keys(lm.packed_keys(x)), x) and np.array_equal(lm.unpacked(lm.packed(x), np.uint64), x)
@@ -275,7 +265,12 @@ def test_mix_against_sql(spark, odd_docs, no_docs):
     for s in found.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target"), F.max("size").alias("most"), F.sum("size").alias("n")).collect():
         assert abs(s.t - s.target) <= s.most and s.target <= 2 * s.n + 1e-6
     assert found.filter("taken > 2 * size").count() == 0
-    assert mixing.mix(odd_docs).count() == odd_docs.count() and mixing.mix(no_docs).count() == 0
+    odd = mixing.mix(odd_docs).collect()
+    assert sorted((r.doc_id or 0, r.size, r.note or "", r.spans, r.kept) for r in odd) == sorted((r.doc_id or 0, len((r.text or "").encode().split()), r.note or "", "clash", "clash") for r in odd_docs.collect())
+    assert all(0 <= r.taken <= 2 * r.size and r.source_size >= r.size for r in odd)
+    assert mixing.mix(no_docs).count() == 0
+    named = spark.createDataFrame([(1, "a b", "s", 1.5, "h")], "doc_id long, text string, source string, _size double, _s string")
+    assert [(r._size, r._s, r.size) for r in mixing.mix(named).select("_size", "_s", "size").collect()] == [(1.5, "h", 2)]
 
 
 # ---- archives
