@@ -32,16 +32,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round rewires links to the least neighbour (first of the larger, then of the smaller neighbours), which ends
     with one star per component after a number of rounds that grows as the logarithm of its size. The least neighbour is
-    an aggregate joined back, so a hub with many links is a skewed join key against one row and no collected group.
-    Each round is written to the shared folder. Links of a node to itself are ignored.
+    an aggregate, written before it is joined back, so a hub with many links is a skewed join key against one row, which
+    adaptive execution splits, and no collected group. Each round is written to the shared folder. Links of a node to itself are ignored.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, "links")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = stored(small.filter("a <> b").distinct(), "links")
         seen = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import n_words, stored, table
+from .shared import OTHERS, n_words, packed, stored, table
 
 #: Bits of the hash in all, and those that a histogram level resolves.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -51,9 +51,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 
     Nulls: a null text has size 0; null sources are one source, last; a null doc_id hashes as empty text. Words are
     runs other than ASCII white space. Empty input gives an empty result. Columns size, source_size, target and taken
-    of the input are replaced.
+    of the input are replaced, others come through, whatever their names.
     """
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    docs = packed(docs.select(*[f"`{c}`" for c in keep]), "doc_id", "source", "text")
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))), 1, HASH_BITS // 4), 16, 10).cast("long")
     sizes = stored(docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), hashed.alias("hash")), "mix-sizes")
     targets = stored(source_targets(sizes, weights, share, most).withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("budget", F.col("target") - F.col("base") * F.col("source_size")), "mix-targets")
@@ -105,15 +106,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 
     per_source = stored(targets.join(thresholds.select(F.col("source").alias("s"), "threshold"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("_s"), "source_size", "target", "base", F.coalesce("threshold", F.lit(0)).alias("threshold")), "mix-thresholds")
     return (
-        docs.select(*keep)
-        .withColumn("_size", n_words(F.col("text")))
+        docs.withColumn("_size", n_words(F.col("text")))
         .withColumn("_hash", hashed)
         .join(beside(per_source), F.col("source").eqNullSafe(F.col("_s")), "left")
-        .select(*keep, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("base") + (F.col("_hash") < F.col("threshold")).cast("long"))).cast("long").alias("taken"))
+        .select(*[F.col(c) if c in ("doc_id", "source", "text") else F.col(f"{OTHERS}.`{c}`").alias(c) for c in keep], F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("base") + (F.col("_hash") < F.col("threshold")).cast("long"))).cast("long").alias("taken"))
     )
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of ``mix`` over all documents."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -255,7 +255,12 @@ def test_op4_against_brute_force(spark, odd_docs, no_docs):
     fps = [plain_fingerprint(t) for _, t in rows]
     want = {rows[i][0]: rows[c][0] for i, c in enumerate(brute_components(fps))}
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
-    assert simhash.near_duplicates(odd_docs).count() == odd_docs.count()
+    odd = odd_docs.collect()
+    fps = [plain_fingerprint(r.text) for r in odd]
+    label = brute_components(fps)
+    least = {c: min((odd[i].doc_id for i in range(len(odd)) if label[i] == c and odd[i].doc_id is not None), default=None) for c in label}
+    got = sorted((r.doc_id or 0, r.fp % (1 << 64), r.component_id or 0) for r in simhash.near_duplicates(odd_docs).collect())
+    assert got == sorted((r.doc_id or 0, f, least[c] or 0) for r, f, c in zip(odd, fps, label, strict=True))
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
@@ -343,6 +348,11 @@ def test_one_of_each_repeated_rows_and_null_ids(spark):
     assert {r.doc_id: len(r.text) > 900 for r in kept} == {None: True, 1: True, 5: True}
 
 
+def test_one_of_each_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, prose(74, 60), "x", 5), (2, prose(74, 60), "y", 6)], "doc_id long, text string, node string, _row int")
+    assert [tuple(r) for r in simhash.one_of_each(df).collect()] == [(1, prose(74, 60), "x", 5)]
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, x) for x in range(1001, 1100)] + [(7, 7)]
     labels = components.components(spark.createDataFrame(edges, "a long, b long"))

@@ -46,6 +46,26 @@ def test_stages(spark, corpus):
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == set(seen["mixture"])
 
 
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_each_stage_on_odd_rows_and_none(spark, odd_docs, no_docs, k, tmp_path):
+    """Nulls, repeated rows, very long texts and clashing names: rows that stay hold what they held, but for the text and what the mixture adds."""
+    spark.createDataFrame([(1, prose(77, 30)), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    name, stage = corpus_pipeline.STAGES[k]
+    kept = stage(spark, odd_docs, str(tmp_path))
+    old = [c for c in odd_docs.columns if c != "size"]
+    if name != "mixture":
+        assert kept.schema.simpleString() == odd_docs.schema.simpleString()
+    if name == "repeated_passages":
+        old.remove("text")
+    assert set(map(str, kept.select(*old).collect())) <= set(map(str, odd_docs.select(*old).collect()))
+    ids = sorted(r.doc_id or 0 for r in kept.collect())
+    # Rejected languages; one of the repeated rows; its 17 bytes are no passage; no benchmark words; empty texts have no words to take.
+    assert ids == {"near_duplicates": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9], "repeated_passages": [0, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9] if 9 in ids else ids, "benchmark_passages": [0, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9]}.get(name, ids)
+    assert name != "language" or not {2, 3, 7} & set(ids)
+    assert name != "mixture" or not {2, 3, 7} & set(ids)
+    assert stage(spark, no_docs, str(tmp_path)).count() == 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
