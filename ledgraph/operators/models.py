@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 BASELINES = ("rf", "lr")
 
 
@@ -36,15 +38,23 @@ def standardise(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.withColumn("features", F.transform("features", lambda x, i: (x.cast("double") - F.get(mean, i)) / F.get(scale, i)))
 
 
-def fit_predict(parts: DataFrame, baseline: str, seed: int = 0, num_trees: int = 300, max_depth: int = 30, max_iter: int = 2000, key: str = "tx_id") -> DataFrame:
+def fit_predict(
+    parts: DataFrame, baseline: str, seed: int = 0, num_trees: int = 300, max_depth: int = 30, max_iter: int = 2000, key: str = "tx_id", memory_mb: int = 2048
+) -> DataFrame:
     """key, y, score (probability of the positive class), pred of the test part, fitted on the train part.
 
     ``parts`` has features, y (0 or 1) and split. Classes are weighted evenly. 'rf': a forest on the features as they
     are; 'lr': logistic regression with an L2 penalty of 1 on train-standardised features. Time is no feature. ValueError
     for another name, or if train has not both classes.
+
+    ``parts`` is written once and read for the weights, the scaler, the fit and the prediction. A forest grows
+    level by level; ``memory_mb`` bounds the statistics that a pass gathers, so more of it means fewer passes. Its nodes are
+    held by the driver: with labels that features don't explain, 300 trees to depth 30 take up to twice as many nodes as
+    300 times the rows, so beyond some millions of rows pass a smaller ``max_depth``.
     """
     if baseline not in BASELINES:
         raise ValueError(f"no baseline {baseline!r}; there are {BASELINES}")
+    parts = stored(parts.select(key, "features", "y", "split"), "floor-parts")
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
     weights = {r["y"]: (r["weight"], r["n"]) for r in class_weights(train).collect()}  # one row per class
     if set(weights) != {0, 1}:
@@ -57,7 +67,7 @@ def fit_predict(parts: DataFrame, baseline: str, seed: int = 0, num_trees: int =
     fit_on = train.select(vector.alias("x"), F.col("y").cast("double").alias("label"), weight.alias("w"))
     common = {"featuresCol": "x", "labelCol": "label", "weightCol": "w"}
     if baseline == "rf":
-        model = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed, **common)
+        model = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=memory_mb, **common)
     else:
         model = LogisticRegression(maxIter=max_iter, regParam=1.0 / sum(n for _, n in weights.values()), elasticNetParam=0.0, standardization=False, tol=1e-9, **common)
     scored = model.fit(fit_on).transform(test.withColumn("x", vector))

@@ -13,7 +13,7 @@ from ..operators import checks, edges, inductive, metrics, models, nodes, split
 from ..sources import graph, runlog
 from ..sources.store import shared_dir, stored
 from . import bindings as b
-from . import report
+from . import floor, report
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -269,10 +269,94 @@ def _log(spark, sf_dir, format="parquet", times=1):
     return path
 
 
-@query(f"{LOG} SELECT run_id, 'orders' AS model, config_hash, false AS git_dirty, seed, data_snapshot_id, 0.5::DOUBLE AS wall_clock_s, notes FROM log")
+SUPPORT = "k AS (SELECT count(*) FILTER (time_step <= 55) AS n_train, count(*) FILTER (time_step BETWEEN 56 AND 80) AS n_test, count(*) FILTER (time_step BETWEEN 56 AND 80 AND y = 1) AS n_test_illicit FROM o WHERE y <> -1)"
+
+
+@query(
+    f"{LOG}, {SUPPORT} SELECT '2024-02-01T00:00:00+00:00' AS timestamp_utc, run_id, 'orders' AS model, CAST(NULL AS VARCHAR) AS phase, config_hash, CAST(NULL AS VARCHAR) AS git_commit, false AS git_dirty, seed, data_snapshot_id, "
+    "baseline, illicit_auc, illicit_f1, illicit_precision, illicit_recall, n_test, n_test_illicit, n_train, '56-80' AS test_window, 0.5::DOUBLE AS wall_clock_s, notes FROM log, k"
+)
 def run_log_roundtrip(spark, sf_dir):
+    """All columns of a log written as CSV and read back; the JSON cell as its fields."""
     log = runlog.read_runs(spark, _log(spark, sf_dir, "csv"), format="csv")
-    return log.select("run_id", "model", "config_hash", "git_dirty", "seed", "data_snapshot_id", "wall_clock_s", "notes")
+    cells = [f"m.{c}" if c == "metrics_json" else c for c in log.columns]
+    return log.withColumn("m", scalar.parse_metrics(F.col("metrics_json"))).select(*["m.*" if c == "m.metrics_json" else c for c in cells])
+
+
+@query(f"{LOG} SELECT run_id, seed FROM log WHERE seed = 1")
+def run_log_lost(spark, sf_dir):
+    """Rows that a log which was rewritten no longer has: those of seed 1 are gone, and another row came in."""
+    before = stored(run_rows(spark, sf_dir), "runs-before")
+    after = before.filter("seed <> 1").unionByName(before.filter("seed = 0").withColumn("notes", F.lit("again")))
+    return runlog.lost_rows(before, after).select("run_id", "seed")
+
+
+@query(f"{LOG} SELECT baseline || '-' || seed AS notes FROM log WHERE seed <> 2")
+def run_log_invalid(spark, sf_dir):
+    """Rows with an empty or missing required cell."""
+    rows = run_rows(spark, sf_dir)
+    named = rows.withColumn("notes", F.regexp_replace("run_id", "^orders-", ""))
+    broken = named.withColumn("run_id", F.when(F.col("seed") == 0, F.lit("")).otherwise(F.col("run_id")))
+    broken = broken.withColumn("metrics_json", F.when(F.col("seed") == 1, F.lit(None)).otherwise(F.col("metrics_json")))
+    return runlog.invalid_rows(broken).select("notes")
+
+
+@query(f"{LOG} SELECT config_hash, 2 AS runs, CASE WHEN baseline = 'mod_a' THEN 2 ELSE 1 END AS n_metrics, baseline <> 'mod_a' AS reproducible FROM log")
+def repro_conflict(spark, sf_dir):
+    """Every configuration run twice; one scorer's second runs have another result."""
+    rows = stored(run_rows(spark, sf_dir), "runs-first")
+    other = F.when(F.col("run_id").contains("mod_a"), F.lit("{}")).otherwise(F.col("metrics_json"))
+    return runlog.reproducibility_check(rows.unionByName(rows.withColumn("metrics_json", other)))
+
+
+@query(
+    """SELECT o_orderkey, 'orders-' || strftime(CAST(o_orderdate AS TIMESTAMP), '%Y%m%dT%H%M%SZ') || '-' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS run_id,
+  CAST(o_orderkey AS VARCHAR) AS key_cell, CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS flag_cell, CASE WHEN o_orderstatus = 'P' THEN o_orderstatus ELSE '' END AS null_cell,
+  CAST(o_orderkey AS VARCHAR) || '-' || CASE WHEN o_orderstatus = 'P' THEN 'end' ELSE CAST(o_custkey AS VARCHAR) END AS test_window FROM orders"""
+)
+def run_cells(spark, sf_dir):
+    """Run ids, log cells and test windows as columns."""
+    o = b.table(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    return o.select(
+        "o_orderkey", scalar.run_id(F.lit("orders"), F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey")).alias("run_id"), scalar.serialise(F.col("o_orderkey")).alias("key_cell"),
+        scalar.serialise(status == "F").alias("flag_cell"), scalar.serialise(F.when(status == "P", status)).alias("null_cell"), scalar.test_window(F.col("o_orderkey"), F.when(status != "P", F.col("o_custkey"))).alias("test_window"),
+    )
+
+
+@query(
+    f"WITH {ORDERS}, {SUPPORT}, b AS (SELECT unnest(['lr', 'lr', 'unknown']) AS baseline, unnest([0, 1, 0]) AS seed, unnest([false, false, true]) AS errored) "
+    "SELECT baseline, seed, errored, CASE WHEN NOT errored THEN CAST(n_train AS VARCHAR) END AS n_train, CASE WHEN NOT errored THEN CAST(n_test AS VARCHAR) END AS n_test, CASE WHEN NOT errored THEN CAST(n_test_illicit AS VARCHAR) END AS n_test_illicit, CASE WHEN NOT errored THEN '56-80' END AS test_window, NOT errored AS scored FROM b, k"
+)
+def floor_grid(spark, sf_dir):
+    """Two seeds of one baseline fitted, scored, evaluated and logged in one append; then a run of an unknown baseline, which leaves an errored row."""
+    path = f"{shared_dir(spark)}/grid-{uuid.uuid4().hex}"
+    n = stored(b.order_features(spark, sf_dir), "grid-nodes")
+    floor.run_floor_grid(n, b.MONTHS, path, ("lr",), (0, 1))
+    try:
+        floor.run_floor(split.labelled_split(n, b.MONTHS), b.MONTHS, "unknown", 0, path)
+    except ValueError:
+        pass
+    log = runlog.read_runs(spark, path).withColumn("m", scalar.parse_metrics(F.col("metrics_json")))
+    scored = F.col("m.illicit_f1").between(0, 1) & F.col("m.illicit_auc").between(0, 1)
+    return log.select(
+        F.regexp_extract("notes", r"floor: (\w+)", 1).alias("baseline"), "seed", F.col("notes").endswith(" ERRORED").alias("errored"), *[F.col(f"m.{c}").cast("string").alias(c) for c in ("n_train", "n_test", "n_test_illicit")], "m.test_window", F.coalesce(scored, F.lit(False)).alias("scored"),
+    )
+
+
+@query(
+    f"{LOG}, {SUPPORT} SELECT n_train, n_test, n_test_illicit, (SELECT string_agg(run_id, ', ' ORDER BY run_id) FROM log) AS run_ids, 'tables' AS snapshot, CAST((SELECT count(*) FROM log) + (SELECT count(DISTINCT baseline) FROM log) AS BIGINT) AS rows FROM k"
+)
+def gate_report(spark, sf_dir):
+    """The written report, read back: its support line, run ids, snapshot and the rows of its table."""
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    text = report.write_gate_report(stored(run_rows(spark, sf_dir), "runs-report"), path)
+    lines = spark.createDataFrame([(text,)], "text string")
+    number = lambda pattern: F.regexp_extract("text", pattern, 1).cast("long")
+    rows = spark.read.option("header", True).csv(path).agg(F.count("*").alias("rows"))
+    return lines.select(
+        number(r"train (\d+),").alias("n_train"), number(r"test (\d+) \(").alias("n_test"), number(r"\((\d+) positive").alias("n_test_illicit"), F.regexp_extract("text", r"runs: ([^\n]*)", 1).alias("run_ids"), F.regexp_extract("text", r"data (\w+)", 1).alias("snapshot"),
+    ).join(F.broadcast(rows))  # fmt: skip  # one row each
 
 
 @query(f"{LOG} SELECT run_id, config_hash, seed FROM log WHERE baseline = 'mod_b'")
@@ -318,14 +402,31 @@ def config_hash(spark, sf_dir):
     return rows.select(F.concat(F.lit("orders-"), "baseline", F.lit("-"), F.col("seed").cast("string")).alias("run_id"), scalar.config_hash_json(text).alias("config_hash"))
 
 
-@query(f"WITH {ORDERS}, {EDGES} SELECT kind, n FROM (SELECT 'nodes' AS kind, count(*) AS n FROM o UNION ALL SELECT 'labelled', count(*) FROM o WHERE y <> -1 UNION ALL SELECT 'edges', 2 * count(*) FROM e)")
-def graph_files(spark, sf_dir):
-    """Tables written as the three CSV files and loaded again."""
+def _graph(spark, sf_dir):
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     n = b.order_features(spark, sf_dir)
     n.select("tx_id", "time_step", *[F.col("features")[i].alias(f"f{i}") for i in range(5)]).write.csv(f"{path}/features")
     b.order_classes(spark, sf_dir).select(F.col("tx_id").alias("txId"), "class").write.option("header", True).csv(f"{path}/classes")
     b.order_edges(spark, sf_dir).select(F.col("src").alias("txId1"), F.col("dst").alias("txId2")).write.option("header", True).csv(f"{path}/edges")
-    loaded, e = graph.load_graph(spark, f"{path}/features", f"{path}/classes", f"{path}/edges")
+    return graph.load_graph(spark, f"{path}/features", f"{path}/classes", f"{path}/edges")
+
+
+@query(f"WITH {ORDERS}, {FEATURES} SELECT tx_id, time_step, y, y <> -1 AS labelled, {', '.join(f'round(CAST(f{i} AS FLOAT)::DOUBLE, 2) AS f{i}' for i in range(5))} FROM f")
+def graph_file_nodes(spark, sf_dir):
+    """The nodes of the three CSV files, with what they hold."""
+    loaded, _ = _graph(spark, sf_dir)
+    return loaded.select("tx_id", "time_step", "y", "labelled", *[F.round(F.col("features")[i].cast("double"), 2).alias(f"f{i}") for i in range(5)])
+
+
+@query(f"WITH {ORDERS}, {EDGES} SELECT src, dst FROM e UNION SELECT dst, src FROM e")
+def graph_file_edges(spark, sf_dir):
+    """The edges of the three CSV files, in both directions."""
+    return _graph(spark, sf_dir)[1].select("src", "dst")
+
+
+@query(f"WITH {ORDERS}, {EDGES} SELECT kind, n FROM (SELECT 'nodes' AS kind, count(*) AS n FROM o UNION ALL SELECT 'labelled', count(*) FROM o WHERE y <> -1 UNION ALL SELECT 'edges', 2 * count(*) FROM e)")
+def graph_files(spark, sf_dir):
+    """Tables written as the three CSV files and loaded again."""
+    loaded, e = _graph(spark, sf_dir)
     count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
     return count(loaded, "nodes").unionByName(count(loaded.filter("labelled"), "labelled")).unionByName(count(e, "edges"))
