@@ -100,7 +100,7 @@ def fences(counts: DataFrame, prior_docs: int = 50, reach: int = 15) -> DataFram
     documents, as if ``prior_docs`` documents more had the parent's quantile: (docs * own + prior_docs * parent) div
     (docs + prior_docs). So no group's size switches anything. high lies ``reach`` spreads above the upper quartile, so that
     junk of up to a quarter of a group doesn't move it, low as many below the lower; a spread is the distance to the median, but at least what one event makes in a text of the
-    group's median size (a metric that is 0 in nearly all texts has no other spread).
+    group's median size and the sketch's resolution (a metric that is 0 in nearly all texts has no other spread).
     """
     sketch = stored(sketches(counts), "quality-sketches")
     own = quantiles(sketch, "lang", "source").alias("o")
@@ -116,8 +116,8 @@ def fences(counts: DataFrame, prior_docs: int = 50, reach: int = 15) -> DataFram
     group = W.partitionBy("lang", "source")  # a row for each of METRICS and SIZE
     size = F.max(F.when(F.col("metric") == SIZE, F.col("q2"))).over(group)
     lined = each.withColumn("size", F.greatest(size, F.lit(1))).filter(F.col("metric").isin(*METRICS)).withColumn("one", F.expr("1000 div size"))
-    low = F.col("q1") - reach * F.greatest(F.col("q2") - F.col("q1"), F.col("one"))
-    high = F.col("q3") + reach * F.greatest(F.col("q3") - F.col("q2"), F.col("one"))
+    low = F.col("q1") - reach * F.greatest(F.col("q2") - F.col("q1"), F.col("one"), F.expr("q2 div 32"))
+    high = F.col("q3") + reach * F.greatest(F.col("q3") - F.col("q2"), F.col("one"), F.expr("q3 div 32"))
     return lined.select("lang", "source", "metric", "docs", *QUANTILES, low.alias("low"), high.alias("high"))
 
 
@@ -182,7 +182,7 @@ o AS (
 e AS (
   SELECT o.*, 1000 // greatest(1, d.q2) AS one FROM o JOIN o d ON o.lang IS NOT DISTINCT FROM d.lang AND o.source IS NOT DISTINCT FROM d.source
     AND d.metric = 'n_words' WHERE o.metric <> 'n_words'),
-rule AS (SELECT lang, source, metric, q1 - 15 * greatest(q2 - q1, one) AS low, q3 + 15 * greatest(q3 - q2, one) AS high FROM e),
+rule AS (SELECT lang, source, metric, q1 - 15 * greatest(q2 - q1, one, q2 // 32) AS low, q3 + 15 * greatest(q3 - q2, one, q3 // 32) AS high FROM e),
 bad AS (
   SELECT DISTINCT doc_id FROM v JOIN rule ON v.lang IS NOT DISTINCT FROM rule.lang AND v.source IS NOT DISTINCT FROM rule.source AND v.metric = rule.metric
   WHERE value > high OR value < low)
