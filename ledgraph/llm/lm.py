@@ -18,6 +18,8 @@ END = np.uint64(0xE0D)  # the hash that stands for the end token
 START = np.uint64(0x57A27)  # the context of a text's first token
 #: Tokens of a block of documents that one task holds at once.
 BLOCK_TOKENS = 1_500_000
+#: Up to so many hash ranges a block asks each of them in one row; beyond that counts travel in two steps.
+MOST_RANGES = 4096
 #: Contexts are pooled by the bit length of their count: CLASSES buckets.
 CLASSES = 64
 #: Log ratios of estimates to the uniform one are binned for EM: half octaves, from 2^-512 to 2^511, which holds all doubles that counts can give.
@@ -123,12 +125,14 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return known, place, counts, learn
 
 
-def _ask(keys: np.ndarray, n: np.ndarray, block: int, ranges: int):
-    """A row per hash range (``ranges`` is a power of two): sorted keys and the training tokens of each in the block."""
-    ends = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << np.uint64(65 - ranges.bit_length()), side="left").tolist()
-    for part, (a, b) in enumerate(zip([0, *ends], [*ends, len(keys)], strict=True)):
+def _ask(keys: np.ndarray, n: np.ndarray, block: int, ranges: int, within: range | None = None, kind: type = np.int32):
+    """A row per hash range (``ranges`` is a power of two), of those ``within`` which all keys lie: sorted keys and the training tokens of each in the block."""
+    within = within or range(ranges)
+    edges = np.arange(within.start + 1, within.stop, dtype=np.uint64) << np.uint64(65 - ranges.bit_length())
+    ends = np.searchsorted(keys, edges, side="left").tolist()
+    for part, a, b in zip(within, [0, *ends], [*ends, len(keys)], strict=True):
         if b > a:
-            yield part, block, packed_keys(keys[a:b]), packed(n[a:b].astype(np.int32))
+            yield part, block, packed_keys(keys[a:b]), packed(n[a:b].astype(kind))
 
 
 _ASK = "part int, block long, keys binary, n binary"
@@ -165,40 +169,112 @@ def _ask_pairs(ranges: int):
     return rows
 
 
-def _answer(batches):
-    """All rows of a hash range together: per block the counts over all blocks, in the order of its keys."""
-    for t in whole_groups(batches, "part", 1):
-        rows = t.to_pylist()
-        # Small key ranges one after another, so that no more than a share of the range is open at once.
-        opened = [(unpacked_keys(r["keys"]), unpacked(r["n"], np.int32)) for r in rows]
-        total = sum(len(k) for k, _ in opened)
-        steps = max(1, total // 4_000_000)
-        low, high = min(int(k[0]) for k, _ in opened), max(int(k[-1]) for k, _ in opened) + 1
-        found = [[] for _ in rows]
-        types = tokens = 0
-        for s in range(steps):
-            edges = np.array([low + (high - low) * s // steps, low + (high - low) * (s + 1) // steps - 1], np.uint64)
-            cut = [slice(int(np.searchsorted(k, edges[0])), int(np.searchsorted(k, edges[1], side="right"))) for k, _ in opened]
-            keys = np.concatenate([k[c] for (k, _), c in zip(opened, cut, strict=True)])
-            n = np.concatenate([v[c] for (_, v), c in zip(opened, cut, strict=True)]).astype(np.int64)
-            order = np.argsort(keys, kind="stable")
-            group = np.cumsum(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) - 1 if len(keys) else order
-            sums = np.bincount(group, weights=n[order]).astype(np.int64) if len(keys) else n
-            types, tokens = types + int((sums > 0).sum()), tokens + int(sums.sum())
-            back = np.empty(len(keys), np.int64)
-            back[order] = sums[group] if len(keys) else sums
-            at = 0
-            for f, c in zip(found, cut, strict=True):
-                f.append(back[at : at + c.stop - c.start])
-                at += c.stop - c.start
-        blobs = [packed(np.concatenate(f)) for f in found]
-        k = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r["part"] for r in rows], pa.int32()), pa.array([r["block"] for r in rows], pa.int64()), pa.array(blobs, pa.binary()), pa.array([types] + [0] * (k - 1), pa.int64()), pa.array([tokens] + [0] * (k - 1), pa.int64())], ["part", "block", "found", "types", "tokens"])
+def _answer(kind: type):
+    """All rows of a hash range together: per block the counts over all blocks, in the order of its keys. ``kind`` is that of the packed counts."""
+
+    def answered(batches):
+        for t in whole_groups(batches, "part", 1):
+            rows = t.to_pylist()
+            # Small key ranges one after another, so that no more than a share of the range is open at once.
+            opened = [(unpacked_keys(r["keys"]), unpacked(r["n"], kind)) for r in rows]
+            total = sum(len(k) for k, _ in opened)
+            steps = max(1, total // 4_000_000)
+            low, high = min(int(k[0]) for k, _ in opened), max(int(k[-1]) for k, _ in opened) + 1
+            found = [[] for _ in rows]
+            types = tokens = 0
+            for s in range(steps):
+                edges = np.array([low + (high - low) * s // steps, low + (high - low) * (s + 1) // steps - 1], np.uint64)
+                cut = [slice(int(np.searchsorted(k, edges[0])), int(np.searchsorted(k, edges[1], side="right"))) for k, _ in opened]
+                keys = np.concatenate([k[c] for (k, _), c in zip(opened, cut, strict=True)])
+                n = np.concatenate([v[c] for (_, v), c in zip(opened, cut, strict=True)]).astype(np.int64)
+                order = np.argsort(keys, kind="stable")
+                group = np.cumsum(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) - 1 if len(keys) else order
+                sums = np.bincount(group, weights=n[order]).astype(np.int64) if len(keys) else n
+                types, tokens = types + int((sums > 0).sum()), tokens + int(sums.sum())
+                back = np.empty(len(keys), np.int64)
+                back[order] = sums[group] if len(keys) else sums
+                at = 0
+                for f, c in zip(found, cut, strict=True):
+                    f.append(back[at : at + c.stop - c.start])
+                    at += c.stop - c.start
+            blobs = [packed(np.concatenate(f)) for f in found]
+            k = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r["part"] for r in rows], pa.int32()), pa.array([r["block"] for r in rows], pa.int64()), pa.array(blobs, pa.binary()), pa.array([types] + [0] * (k - 1), pa.int64()), pa.array([tokens] + [0] * (k - 1), pa.int64())], ["part", "block", "found", "types", "tokens"])
+
+    return answered
 
 
 _ANSWER = "part int, block long, found binary, types long, tokens long"
 
 
+def coarse_ranges(ranges: int) -> int:
+    """The hash ranges that a block asks, itself a power of two: all, or about the root of their number beyond MOST_RANGES."""
+    return ranges if ranges <= MOST_RANGES else 1 << (ranges.bit_length() // 2)
+
+
+def _by(batches, key: str):
+    """Lists of all rows that share ``key``, from batches sorted by it."""
+    for t in whole_groups(batches, key, 1):
+        held: dict = {}
+        for r in t.to_pylist():
+            held.setdefault(r[key], []).append(r)
+        yield from held.values()
+
+
+def _merged(coarse: int, ranges: int):
+    """The rows of one side's blocks for one coarse range to a row per fine range in it: their distinct keys and summed counts, with the side as block."""
+    fine = ranges // coarse
+
+    def rows(batches):
+        for asked in _by(batches, "at"):
+            keys, at = np.unique(np.concatenate([unpacked_keys(r["keys"]) for r in asked]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([unpacked(r["n"], np.int32) for r in asked]), minlength=len(keys))
+            first = asked[0]["part"] * fine
+            yield _ask_batch(list(_ask(keys, n, asked[0]["at"] // coarse, ranges, range(first, first + fine), np.int64)))
+
+    return rows
+
+
+def _looked_up(batches):
+    """One side's keys with their counts in one coarse range, and its blocks' keys there: per block the counts, in the order of its keys."""
+    for rows in _by(batches, "at"):
+        known = sorted((r for r in rows if r["found"] is not None), key=lambda r: r["part"])
+        keys = np.concatenate([unpacked_keys(r["keys"]) for r in known])
+        counts = np.concatenate([unpacked(r["found"], np.int64) for r in known])
+        asked = [r for r in rows if r["found"] is None]
+        found = [packed(counts[np.searchsorted(keys, unpacked_keys(r["keys"]))]) for r in asked]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r["part"] for r in asked], pa.int32()), pa.array([r["block"] for r in asked], pa.int64()), pa.array(found, pa.binary())], ["part", "block", "found"]
+        )
+
+
+def _grouped(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(key).sortWithinPartitions(key)
+
+
+def in_one_step(asked: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(part, block and found of every asked row, types and tokens by range): every range holds rows of all blocks."""
+    found = stored(_grouped(asked, "part").mapInArrow(_answer(np.int32), _ANSWER), label)
+    return found, found
+
+
+def in_two_steps(asked: DataFrame, coarse: int, ranges: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """As ``in_one_step``, for blocks that asked ``coarse`` ranges only.
+
+    Blocks are dealt to ``ranges / coarse`` sides. A side's rows for a coarse range are merged and split by the fine ranges
+    in it; the counts of all sides are summed by fine range, go back to the sides, and from these to their blocks. With
+    B blocks and as many ranges these are about 3 B^1.5 rows instead of B^2, and no task holds more than about a block's entries.
+    """
+    sides = fine = ranges // coarse
+    asked = stored(asked.withColumn("at", F.pmod("block", F.lit(sides)) * coarse + F.col("part")), f"{label}-asked")
+    merged = stored(_grouped(asked, "at").mapInArrow(_merged(coarse, ranges), _ASK), f"{label}-merged")
+    answers = stored(_grouped(merged, "part").mapInArrow(_answer(np.int64), _ANSWER), f"{label}-answers")
+    own = (F.col("block") * coarse + F.floor(F.col("part") / fine)).alias("at")
+    known = merged.join(answers, ["part", "block"]).select(own, "part", "block", "keys", "found")
+    both = known.unionByName(asked.select("at", "part", "block", "keys", F.lit(None).cast("binary").alias("found")))
+    return stored(_grouped(both, "at").mapInArrow(_looked_up, "part int, block long, found binary"), label), answers
+
+
 def _counts_of(row: dict, kind: str) -> np.ndarray:
     return np.concatenate([unpacked(x["found"], np.int64) for x in sorted(row[kind], key=lambda x: x["part"])])
 
@@ -305,6 +381,7 @@ def score_texts(docs: DataFrame, learn) -> DataFrame:
 
     Documents are encoded in blocks. Each block asks for the training counts of its distinct words, then of its distinct
     pairs, in one row per hash range, and gets them back in the same order; so a frequent word costs one entry a block.
+    Beyond MOST_RANGES ranges this goes in two steps (``in_two_steps``), with the same counts.
     Weights are learned from held-out counts: each training token is taken out of all counts in turn, and a table
     whose size is bounded (context class by binned estimates) goes to the driver.
 
@@ -319,13 +396,15 @@ def score_texts(docs: DataFrame, learn) -> DataFrame:
     # As many hash ranges as blocks, so that a range holds about as many entries as a block, whatever the input's size.
     ranges = 1 << max(4, (blocks.count() - 1).bit_length())
 
+    coarse = coarse_ranges(ranges)
+
     def counted(ask, label):
-        asked = blocks.select("block", "words", "tokens", "counts", "learn").mapInArrow(ask(ranges), _ASK)
-        return stored(asked.repartition("part").sortWithinPartitions("part").mapInArrow(_answer, _ANSWER), label)
+        asked = blocks.select("block", "words", "tokens", "counts", "learn").mapInArrow(ask(coarse), _ASK)
+        return in_one_step(asked, label) if coarse == ranges else in_two_steps(asked, coarse, ranges, label)
 
-    found = counted(_ask_words, "lm-words")
-    distinct, total = found.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    pairs = counted(_ask_pairs, "lm-pairs")
+    found, sums = counted(_ask_words, "lm-words")
+    distinct, total = sums.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    pairs, _ = counted(_ask_pairs, "lm-pairs")
 
     def answers(df, name):
         return df.groupBy("block").agg(F.collect_list(F.struct("part", "found")).alias(name))

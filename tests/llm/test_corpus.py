@@ -178,6 +178,17 @@ def test_language_model_against_plain_counts(spark, tmp_path, monkeypatch, odd_d
     assert all(math.isfinite(r.score) and r.score < 0 for r in odd)
     assert lm.score_texts(no_docs, F.lit(True)).count() == 0
     assert lm.score_texts(df, F.lit(False)).first().train_tokens == 0
+    monkeypatch.setattr(lm, "MOST_RANGES", 8)  # fewer than the least number of ranges
+    two_steps = {r.doc_id: r for r in lm.score_texts(df.repartition(12), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).collect()}
+    assert two_steps.keys() == found.keys()
+    for d, r in two_steps.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (found[d].n_tokens, found[d].n_known, found[d].train_tokens)
+        assert (r.base_score, r.score) == pytest.approx((found[d].base_score, found[d].score))
+    assert lm.score_texts(no_docs, F.lit(True)).count() == 0
+
+
+def test_rows_of_a_block_grow_with_the_root_of_all_blocks():
+    assert [lm.coarse_ranges(1 << k) for k in (4, 12, 13, 24)] == [16, 4096, 128, 4096]
 
 
 def test_weights_by_maximisation():
