@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
@@ -35,13 +37,21 @@ def roc_auc(scored: DataFrame) -> float | None:
     return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="y", numBins=0).evaluate(scored.select("score", F.col("y").cast("double").alias("y")))
 
 
-def roc_auc_by(scored: DataFrame, *by: str) -> DataFrame:
+def roc_auc_by(scored: DataFrame, *by: str, slices: int = 64) -> DataFrame:
     """illicit_auc per ``by`` columns, from counts per distinct score; null with one class only.
 
-    The window holds one row per distinct score of a group. For a group with very many, take ``roc_auc``.
+    Distinct scores are cut into ``slices`` at approximate quantiles of them all, so that a window holds about that share of
+    them at most, even if one group has nearly all; a second window over a group's slices gives the negatives below each.
     """
-    each = scored.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    below = W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    ranked = each.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    each = stored(scored.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")), "scores")
+    cuts = each.approxQuantile("score", [k / slices for k in range(1, slices)], 0.1 / slices)
+    piece = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("score"))) if cuts else F.lit(0)
+    sliced = each.withColumn("_slice", piece)
+    inside = W.partitionBy(*by, "_slice").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    ranked = sliced.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    parts = ranked.groupBy(*by, "_slice").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), area.alias("area"))
+    before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
     total = F.sum("pos") * F.sum("neg")
-    return ranked.groupBy(*by).agg(F.when(total > 0, F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / total).alias("illicit_auc"))
+    return parts.groupBy(*by).agg(F.when(total > 0, F.sum(F.col("area") + F.col("pos") * F.col("below")) / total).alias("illicit_auc"))

@@ -61,11 +61,22 @@ def test_auc(spark):
     rows = [("a", 1, 0.9), ("a", 0, 0.5), ("a", 1, 0.5), ("a", 0, 0.1), ("b", 1, 0.3), ("b", 1, 0.4)]
     scored = spark.createDataFrame(rows, "k string, y int, score double")
     assert {r.k: r.illicit_auc for r in metrics.roc_auc_by(scored, "k").collect()} == {"a": 0.875, "b": None}
+    assert {r.k: r.illicit_auc for r in metrics.roc_auc_by(scored, "k", slices=2).collect()} == {"a": 0.875, "b": None}
+    assert metrics.roc_auc_by(scored.limit(0), "k").count() == 0
     assert metrics.roc_auc(scored.filter("k = 'a'")) == pytest.approx(0.875)
     assert metrics.roc_auc(scored.filter("k = 'b'")) is None
     assert metrics.roc_auc(scored.limit(0)) is None
 
 
+def test_auc_by_group_against_pairs(spark):
+    rows = [(k, (i * 7 + len(k)) % 3 == 0, (i * i * 13 % 41) / 10 if i % 29 else None) for k, n in (("large", 400), ("small", 9)) for i in range(n)]
+    scored = spark.createDataFrame([(k, int(y), s) for k, y, s in rows], "k string, y int, score double")
+    found = {r.k: r.illicit_auc for r in metrics.roc_auc_by(scored, "k").collect()}
+    for k in found:
+        pos, neg = ([-1.0 if s is None else s for g, y, s in rows if g == k and y == want] for want in (True, False))  # null scores come first
+        assert found[k] == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)))
+
+
 def test_scaler(spark):
     train = spark.createDataFrame([([1.0, 5.0],), ([3.0, 5.0],)], "features array<float>")
     stats = models.scaler_stats(train)
