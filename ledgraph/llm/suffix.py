@@ -334,5 +334,22 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Every start of a 200-byte string in every text, as hexadecimal digits.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT row, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400),
+r AS (SELECT row, i FROM (SELECT row, i, substr(h, 2 * i + 1, 400) AS s FROM p) QUALIFY count(*) OVER (PARTITION BY s) > 1),
+n AS (SELECT row, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT row, i, sum(fresh) OVER (PARTITION BY row ORDER BY i) AS span FROM n),
+s AS (SELECT row, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY row, span),
+t AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS z FROM s),
+k AS (
+  SELECT row, h, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(h, 2 * max(b) + 1) AS kept
+  FROM t JOIN d USING (row) GROUP BY row, h)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN k USING (row)
+"""
+
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
-ORACLES: dict = {}
+ORACLES = {"op1_suffix_dedup": SQL}
