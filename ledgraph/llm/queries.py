@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("suffix", "quality", "sentences", "simhash", "lm", "decontaminate", "langid", "mixing", "warc", "toxicity", "trie", "merkle")
+MODULES = ("suffix", "quality", "sentences", "simhash", "lm", "decontaminate", "langid", "mixing", "warc", "toxicity", "chat", "trie", "merkle")
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
     _module = import_module(f"{__package__}.{_name}")
