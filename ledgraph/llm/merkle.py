@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import LOWER, UPPER, crc_mod, stored, table, whole_groups
+from .shared import LOWER, OTHERS, UPPER, crc_mod, packed, stored, table, whole_groups
 from .trie import CRC32
 
 #: Children of a node.
@@ -63,14 +64,14 @@ def manifest(leaves: DataFrame, leaf_rows: int = LEAVES) -> dict[str, DataFrame]
     range-partitioned by sampled splitters into leaf partitions of about ``leaf_rows`` rows and numbered there, so
     groups of any size, and equal rows, are spread. An empty table gives empty frames:
 
-    * ``leaves``: the given columns, part, rank (of the group), pos and size (place in the group, its rows), near (within
-      a run of the ends of its part's range);
+    * ``leaves``: grp, key, leaf, the other columns in one struct, part, rank (of the group), pos and size (place in the
+      group, its rows), near (within a run of the ends of its part's range);
     * ``ranges``: a row per part and group: part, rank, name (of the group), lo, hi (places), size, groups (number of them);
     * ``nodes``: grp (rank of a group; OVER for the tree over the groups' subroots), level, size (of the level), idx, hash.
       Of level 0 only the leaves that are near: no multiproof asks for others;
     * ``groups``: rank, name, subroot.
     """
-    spark = leaves.sparkSession
+    spark, leaves = leaves.sparkSession, packed(leaves, "grp", "key", "leaf")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-leaves.count() // leaf_rows))
     order = [F.col("grp").asc_nulls_first(), F.col("key").asc_nulls_first(), F.col("leaf").asc(), F.col("tie").asc()]
     dealt = leaves.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -214,7 +215,9 @@ def _prove(rows: pa.Table):
 
 
 def proofs(made: dict[str, DataFrame]) -> DataFrame:
-    """Of each leaf of a ``manifest``: its columns, subroot, root (the manifest's) and proof, an array of (before, after): the joined hashes of its siblings left and right of it, level by level up to the root.
+    """Of each leaf of a ``manifest``: its columns, subroot, root (the manifest's) and proof, an array of (before, after):
+    the joined hashes of its siblings left and right of it, level by level up to the root. Given columns of these three
+    names give way to them.
 
     Per leaf partition (octopus): the union of the coordinates that its leaves' proofs need and its leaves don't give is
     made from its ranges alone - at most two runs a level of its first and last group and of the tree over the groups -
@@ -226,16 +229,18 @@ def proofs(made: dict[str, DataFrame]) -> DataFrame:
     asked = ranges.select("part", F.col("rank").alias("grp"), "lo", "hi", "size").unionByName(over)
     wanted = stored(asked.mapInArrow(_wanted, "part bigint, grp bigint, level int, idx bigint"), "merkle-wanted")
     fetched = wanted.join(made["nodes"].drop("size"), ["grp", "level", "idx"])
-    given = [c for c in leaves.columns if c not in ("part", "rank", "pos", "size", "near")]
-    payload = F.struct(*given)
-    kind = leaves.select(payload.alias("x")).schema["x"].dataType.simpleString()
+    payload = F.struct("grp", "key", "leaf", OTHERS)
+    kind = leaves.select(payload.alias("x")).schema["x"].dataType
+    proof = T.ArrayType(T.StructType().add("before", "string").add("after", "string"))
     groups = ranges.groupBy("part").agg(F.max("groups").alias("groups"))
     no = lambda kind, name: F.lit(None).cast(kind).alias(name)
     body = leaves.join(groups, "part").select("part", F.lit(True).alias("own"), F.col("rank").alias("grp"), no("int", "level"), F.col("pos").alias("idx"), F.col("leaf").alias("hash"), "size", "groups", payload.alias("payload"))
     head = fetched.select("part", F.lit(False).alias("own"), "grp", "level", "idx", "hash", no("long", "size"), no("long", "groups"), no(kind, "payload"))
     rows = body.unionByName(head).repartition("part").sortWithinPartitions("part", "own", "grp", "idx")
-    found = rows.mapInArrow(_proven, f"payload {kind}, subroot string, root string, proof array<struct<before:string,after:string>>")
-    return found.select("payload.*", "subroot", "root", "proof")
+    found = rows.mapInArrow(_proven, T.StructType().add("payload", kind).add("subroot", "string").add("root", "string").add("proof", proof))
+    names = leaves.schema[OTHERS].dataType.names
+    given = [c for c in names if c not in ("subroot", "root", "proof")] if names != ["none"] else []
+    return found.select("payload.grp", "payload.key", "payload.leaf", *[F.col(f"payload.{OTHERS}.`{c}`").alias(c) for c in given], "subroot", "root", "proof")
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
