@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
+from . import forest
 
 BASELINES = ("rf", "lr")
 
@@ -38,37 +39,75 @@ def standardise(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.withColumn("features", F.transform("features", lambda x, i: (x.cast("double") - F.get(mean, i)) / F.get(scale, i)))
 
 
+def _parts(parts: DataFrame, key: str) -> tuple[DataFrame, DataFrame, dict]:
+    """Train and test of ``parts``, written once, and of each class (weight, rows). ValueError if train has not both classes."""
+    parts = stored(parts.select(key, "features", "y", "split"), "floor-parts")
+    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
+    weights = {r["y"]: (r["weight"], r["n"]) for r in class_weights(train).collect()}  # one row per class
+    if set(weights) != {0, 1}:
+        raise ValueError(f"train needs both classes; it has {sorted(weights)}")
+    return train, test, weights
+
+
+def _weight(weights: dict) -> Column:
+    return F.when(F.col("y") == 1, weights[1][0]).otherwise(weights[0][0])
+
+
+_VECTOR = "features_as_vector"
+
+
+def _logistic(train: DataFrame, weights: dict, max_iter: int):
+    """The logistic model of standardised ``train``: L2 penalty of 1 on all but the intercept, the loss summed over weighted rows."""
+    rows = train.select(_vector().alias(_VECTOR), F.col("y").cast("double").alias("label"), _weight(weights).alias("w"))
+    penalty = 1.0 / sum(n for _, n in weights.values())
+    return LogisticRegression(featuresCol=_VECTOR, labelCol="label", weightCol="w", maxIter=max_iter, regParam=penalty, elasticNetParam=0.0, standardization=False, tol=1e-9).fit(rows)
+
+
+def _vector() -> Column:
+    return array_to_vector(F.col("features").cast("array<double>"))
+
+
 def fit_predict(
-    parts: DataFrame, baseline: str, seed: int = 0, num_trees: int = 300, max_depth: int = 30, max_iter: int = 2000, key: str = "tx_id", memory_mb: int = 2048
+    parts: DataFrame, baseline: str, seed: int = 0, num_trees: int = 300, max_depth: int | None = None, max_iter: int = 2000, key: str = "tx_id", tree_rows: int = forest.TREE_ROWS
 ) -> DataFrame:
     """key, y, score (probability of the positive class), pred of the test part, fitted on the train part.
 
-    ``parts`` has features, y (0 or 1) and split. Classes are weighted evenly. 'rf': a forest on the features as they
-    are; 'lr': logistic regression with an L2 penalty of 1 on train-standardised features. Time is no feature. ValueError
-    for another name, or if train has not both classes.
+    ``parts`` has features, y (0 or 1) and split. Classes are weighted evenly. 'rf': a forest of trees of any depth on the
+    features as they are; 'lr': logistic regression with an L2 penalty of 1 on train-standardised features. Time is no
+    feature. ValueError for another name, or if train has not both classes. A score of one half is no positive.
 
-    ``parts`` is written once and read for the weights, the scaler, the fit and the prediction. A forest grows
-    level by level; ``memory_mb`` bounds the statistics that a pass gathers, so more of it means fewer passes. Its nodes are
-    held by the driver: with labels that features don't explain, 300 trees to depth 30 take up to twice as many nodes as
-    300 times the rows, so beyond some millions of rows pass a smaller ``max_depth``.
+    ``parts`` is written once and read for the weights, the scaler, the fit and the prediction. Trees are grown in tasks
+    (``forest``), each on a bootstrap of all train rows up to ``tree_rows`` and of a random part of them beyond.
     """
     if baseline not in BASELINES:
         raise ValueError(f"no baseline {baseline!r}; there are {BASELINES}")
-    parts = stored(parts.select(key, "features", "y", "split"), "floor-parts")
-    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
-    weights = {r["y"]: (r["weight"], r["n"]) for r in class_weights(train).collect()}  # one row per class
-    if set(weights) != {0, 1}:
-        raise ValueError(f"train needs both classes; it has {sorted(weights)}")
-    if baseline == "lr":
-        stats = scaler_stats(train)
-        train, test = standardise(train, stats), standardise(test, stats)
-    vector = array_to_vector(F.col("features").cast("array<double>"))
-    weight = F.when(F.col("y") == 1, weights[1][0]).otherwise(weights[0][0])
-    fit_on = train.select(vector.alias("x"), F.col("y").cast("double").alias("label"), weight.alias("w"))
-    common = {"featuresCol": "x", "labelCol": "label", "weightCol": "w"}
+    train, test, weights = _parts(parts, key)
     if baseline == "rf":
-        model = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=memory_mb, **common)
-    else:
-        model = LogisticRegression(maxIter=max_iter, regParam=1.0 / sum(n for _, n in weights.values()), elasticNetParam=0.0, standardization=False, tol=1e-9, **common)
-    scored = model.fit(fit_on).transform(test.withColumn("x", vector))
+        keyed = train.select(F.xxhash64(key).alias("key"), "features", "y")
+        model = forest.fit(keyed, (weights[0][0], weights[1][0]), seed, num_trees, max_depth, tree_rows)
+        scored = forest.predict(model, test.select(F.col(key).alias("key"), "features", "y"))
+        return scored.select(F.col("key").alias(key), "y", "score", (F.col("score") > 0.5).cast("int").alias("pred"))
+    stats = scaler_stats(train)
+    model = _logistic(standardise(train, stats), weights, max_iter)
+    scored = model.setFeaturesCol(_VECTOR).transform(standardise(test, stats).withColumn(_VECTOR, _vector()))
     return scored.select(key, "y", vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("pred"))
+
+
+def logistic_gradient(parts: DataFrame, max_iter: int = 2000, key: str = "tx_id") -> DataFrame:
+    """coefficient (the feature's place, the intercept last), value, gradient: of the objective of 'lr' at the fitted coefficients, over all train rows, divided by their weight.
+
+    The objective is strictly convex, so a gradient of 0 says that the fit is its only optimum, without another fit to
+    compare with. One pass of sums.
+    """
+    train, _, weights = _parts(parts, key)
+    train = standardise(train, scaler_stats(train))
+    model = _logistic(train, weights, max_iter)
+    w = [float(x) for x in model.coefficients] + [float(model.intercept)]
+    n, total = len(w) - 1, sum(weight * rows for weight, rows in weights.values())
+    x = F.concat("features", F.array(F.lit(1.0)))
+    margin = F.aggregate(F.zip_with(x, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    error = _weight(weights) * (1 / (1 + F.exp(-margin)) - F.col("y"))
+    row = train.select(x.alias("x"), error.alias("e")).agg(*[F.sum(F.col("e") * F.col("x")[i]).alias(f"g{i}") for i in range(n + 1)])
+    penalty = [*w[:n], 0.0]
+    each = F.array(*[F.struct(F.lit(i).alias("coefficient"), F.lit(w[i]).alias("value"), ((F.col(f"g{i}") + penalty[i]) / total).alias("gradient")) for i in range(n + 1)])
+    return row.select(F.inline(each))

@@ -43,6 +43,7 @@ METRICS = """m AS (SELECT baseline, seed, CASE WHEN 2 * tp + fp + fn = 0 THEN 0
 AUC = """g AS (SELECT baseline, seed, score, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM s GROUP BY ALL),
 a AS (SELECT baseline, seed, CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) END AS auc FROM (
   SELECT *, coalesce(sum(neg) OVER (PARTITION BY baseline, seed ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) GROUP BY ALL)"""
+SUPPORT = "k AS (SELECT count(*) FILTER (time_step <= 55) AS n_train, count(*) FILTER (time_step BETWEEN 56 AND 80) AS n_test, count(*) FILTER (time_step BETWEEN 56 AND 80 AND y = 1) AS n_test_illicit FROM o WHERE y <> -1)"
 RUNS = f"{ORDERS}, {SCORED}, {COUNTS}, {METRICS}, {AUC}"
 
 
@@ -226,14 +227,44 @@ def _fitted(spark, sf_dir, baseline):
 
 @query()
 def rf_floor(spark, sf_dir):
+    """The forest's score of every labelled test order, 300 trees of any depth."""
     return _fitted(spark, sf_dir, "rf")
 
 
+@query(f"WITH {ORDERS} SELECT tx_id, y, true AS scored, true AS pred_follows FROM o WHERE y <> -1 AND time_step BETWEEN 56 AND 80")
+def rf_floor_protocol(spark, sf_dir):
+    """What a plain rule can say of ``rf_floor``: its rows, their labels, scores that are probabilities, predictions that follow them."""
+    found = _fitted(spark, sf_dir, "rf")
+    return found.select("tx_id", "y", F.col("score").between(0, 1).alias("scored"), (F.col("pred") == (F.col("score") > 0.5).cast("int")).alias("pred_follows"))
+
+
+@query(
+    f"WITH {ORDERS}, {FEATURES} SELECT count(*) FILTER (time_step <= 55) AS n_train, count(*) FILTER (time_step >= 56) AS n_test, count(*) FILTER (time_step >= 56 AND f1 >= 4) AS n_test_illicit, "
+    "CAST(1 AS DOUBLE) AS illicit_f1, CAST(1 AS DOUBLE) AS illicit_recall, CAST(1 AS DOUBLE) AS illicit_precision, CAST(1 AS DOUBLE) AS illicit_auc FROM f WHERE time_step <= 80"
+)
+def rf_separable(spark, sf_dir):
+    """The forest where each feature tells the label: an order's lines, four or more being positive. Every test order is right."""
+    lines = F.col("features")[1]
+    told = b.order_features(spark, sf_dir).select("tx_id", "time_step", F.array(lines, lines * 2 + 1, -lines).alias("features"), (lines >= 4).cast("int").alias("y"), F.lit(True).alias("labelled"))
+    parts = stored(split.labelled_split(told, b.MONTHS), "separable")
+    scored = stored(models.fit_predict(parts, "rf"), "separable-scored")
+    auc = F.lit(metrics.roc_auc(scored)).cast("double").alias("illicit_auc")
+    return split.support_counts(parts).join(F.broadcast(metrics.floor_metrics(scored))).select("n_train", "n_test", "n_test_illicit", "illicit_f1", "illicit_recall", "illicit_precision", auc)  # one row each
+
+
 @query()
 def lr_floor(spark, sf_dir):
     return _fitted(spark, sf_dir, "lr")
 
 
+@query(f"WITH {ORDERS}, {SUPPORT} SELECT CAST(unnest(range(6)) AS INT) AS coefficient, n_train, CAST(0 AS DOUBLE) AS gradient FROM k")
+def lr_gradient(spark, sf_dir):
+    """The gradient of the penalised logistic loss at the coefficients of ``lr_floor``, to six digits: 0 only at its one optimum."""
+    parts = stored(split.labelled_split(b.order_features(spark, sf_dir), b.MONTHS), "gradient-parts")
+    found = models.logistic_gradient(parts).select("coefficient", (F.round("gradient", 6) + 0.0).alias("gradient"))
+    return found.join(F.broadcast(split.support_counts(parts).select("n_train")))  # one row
+
+
 # ---- run log and report -----------------------------------------------------------------------------------------
 
 
@@ -269,7 +300,6 @@ def _log(spark, sf_dir, format="parquet", times=1):
     return path
 
 
-SUPPORT = "k AS (SELECT count(*) FILTER (time_step <= 55) AS n_train, count(*) FILTER (time_step BETWEEN 56 AND 80) AS n_test, count(*) FILTER (time_step BETWEEN 56 AND 80 AND y = 1) AS n_test_illicit FROM o WHERE y <> -1)"
 
 
 @query(
@@ -325,14 +355,14 @@ def run_cells(spark, sf_dir):
 
 
 @query(
-    f"WITH {ORDERS}, {SUPPORT}, b AS (SELECT unnest(['lr', 'lr', 'unknown']) AS baseline, unnest([0, 1, 0]) AS seed, unnest([false, false, true]) AS errored) "
+    f"WITH {ORDERS}, {SUPPORT}, b AS (SELECT unnest(['rf', 'rf', 'rf', 'lr', 'lr', 'lr', 'unknown']) AS baseline, unnest([0, 1, 2, 0, 1, 2, 0]) AS seed, unnest([false, false, false, false, false, false, true]) AS errored) "
     "SELECT baseline, seed, errored, CASE WHEN NOT errored THEN CAST(n_train AS VARCHAR) END AS n_train, CASE WHEN NOT errored THEN CAST(n_test AS VARCHAR) END AS n_test, CASE WHEN NOT errored THEN CAST(n_test_illicit AS VARCHAR) END AS n_test_illicit, CASE WHEN NOT errored THEN '56-80' END AS test_window, NOT errored AS scored FROM b, k"
 )
 def floor_grid(spark, sf_dir):
-    """Two seeds of one baseline fitted, scored, evaluated and logged in one append; then a run of an unknown baseline, which leaves an errored row."""
+    """Both baselines with three seeds fitted, scored, evaluated and logged in one append; then a run of an unknown baseline, which leaves an errored row."""
     path = f"{shared_dir(spark)}/grid-{uuid.uuid4().hex}"
     n = stored(b.order_features(spark, sf_dir), "grid-nodes")
-    floor.run_floor_grid(n, b.MONTHS, path, ("lr",), (0, 1))
+    floor.run_floor_grid(n, b.MONTHS, path)
     try:
         floor.run_floor(split.labelled_split(n, b.MONTHS), b.MONTHS, "unknown", 0, path)
     except ValueError:

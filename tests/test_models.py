@@ -2,11 +2,12 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgraph.functions import scalar
-from ledgraph.operators import metrics, models, split
+from ledgraph.operators import forest, metrics, models, split
 from ledgraph.plans import floor, report
 from ledgraph.sources import runlog
 
@@ -166,3 +167,101 @@ def test_registered_floors_fit_with_the_full_parameters(monkeypatch):
     catalog.QUERIES["rf_floor"](None, "")
     catalog.QUERIES["lr_floor"](None, "")
     assert seen == [("rf", {}), ("lr", {})]
+
+
+def plain_tree(codes, y, count, weights, max_depth=None, depth=0):
+    """Nested (feature, cut, left, right) or the share of class 1, by trying every cut of every feature."""
+    sums = lambda at: [count[at & (y == c)].sum() * weights[c] for c in (0, 1)]
+    share = lambda at: (sums(at)[0] ** 2 + sums(at)[1] ** 2) / sum(sums(at))
+    zero, one = sums(y >= 0)
+    found = []
+    for f in range(codes.shape[1]):
+        values = np.unique(codes[:, f])
+        found += [(share(codes[:, f] <= a) + share(codes[:, f] > a), f, (int(a) + int(b)) // 2) for a, b in zip(values[:-1], values[1:], strict=True)]
+    if zero == 0 or one == 0 or not found or depth == max_depth:
+        return round(float(one / (zero + one)), 5)
+    best = max(x[0] for x in found)
+    _, f, cut = next(x for x in found if x[0] == best)
+    left = codes[:, f] <= cut
+    return f, cut, plain_tree(codes[left], y[left], count[left], weights, max_depth, depth + 1), plain_tree(codes[~left], y[~left], count[~left], weights, max_depth, depth + 1)
+
+
+def nested(tree, at=0):
+    if tree["feature"][at] < 0:
+        return round(float(tree["p"][at]), 5)
+    child = int(tree["child"][at])
+    return int(tree["feature"][at]), int(tree["cut"][at]), nested(tree, child), nested(tree, child + 1)
+
+
+@pytest.mark.parametrize("max_depth", [None, 3])
+def test_a_tree_against_trying_every_cut(max_depth):
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        codes = rng.integers(0, 256, (60, 1)).astype(np.uint8)  # one feature, so that every node looks at the same
+        y, count = rng.integers(0, 2, 60), rng.poisson(1, 60)
+        used = count > 0
+        tree = forest.grow(codes, y, count, (0.7, 1.9), 1, max_depth, rng)
+        assert nested(tree) == plain_tree(codes[used], y[used], count[used], (0.7, 1.9), max_depth)
+
+
+def test_a_tree_tells_its_rows_apart():
+    """With any features at a node, rows that differ end in pure leaves; equal rows of both classes share a leaf."""
+    rng = np.random.default_rng(2)
+    codes, y = rng.integers(0, 9, (500, 4)).astype(np.uint8), rng.integers(0, 2, 500)
+    tree = forest.grow(codes, y, np.ones(500, int), (1.0, 1.0), 2, None, rng)
+    for row, label in zip(codes, y, strict=True):
+        at = 0
+        while tree["feature"][at] >= 0:
+            at = tree["child"][at] + (row[tree["feature"][at]] > tree["cut"][at])
+        alike = y[(codes == row).all(axis=1)]
+        assert tree["p"][at] == pytest.approx(alike.mean()) and (label in alike)
+
+
+def test_draws_are_a_bootstrap():
+    key = np.arange(200_000)
+    a, b = forest.draws(key, 0, 7, 1.0), forest.draws(key, 1, 7, 1.0)
+    assert abs(a.mean() - 1) < 0.01 and abs(a.var() - 1) < 0.02 and abs(np.corrcoef(a, b)[0, 1]) < 0.01
+    assert np.array_equal(a[::-1], forest.draws(key[::-1], 0, 7, 1.0)) and abs(forest.draws(key, 0, 7, 0.1).mean() - 0.1) < 0.005
+
+
+def curved(spark, n):
+    """Labels that the features explain but no line does, on rows of three features, one of them null at times."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 3))
+    y = (np.hypot(x[:, 0], x[:, 1]) > 1.2).astype(int)
+    rows = [(f"k{i}", [float(v) if j < 2 or i % 7 else None for j, v in enumerate(r)], int(c), "train" if i % 3 else "test") for i, (r, c) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(rows, "tx_id string, features array<float>, y int, split string")
+
+
+def test_forest_on_curved_classes(spark, monkeypatch):
+    parts = curved(spark, 3000)
+    whole = models.fit_predict(parts, "rf", seed=5, num_trees=24)
+    found = floor.evaluate(whole)
+    assert found["illicit_f1"] > 0.93 and found["illicit_auc"] > 0.98
+    again = {r.tx_id: r.score for r in models.fit_predict(parts.repartition(7), "rf", seed=5, num_trees=24).collect()}
+    assert {r.tx_id: r.score for r in whole.collect()} == again
+    assert {r.tx_id: r.score for r in models.fit_predict(parts, "rf", seed=6, num_trees=24).collect()} != again
+    # Trees on a part of the rows each, and a pass for each tree, give a forest of the same kind.
+    monkeypatch.setattr(forest.predict, "__defaults__", (1,))
+    assert {r.tx_id: round(r.score, 9) for r in models.fit_predict(parts, "rf", seed=5, num_trees=24).collect()} == {k: round(v, 9) for k, v in again.items()}
+    small = floor.evaluate(models.fit_predict(parts, "rf", seed=5, num_trees=24, tree_rows=400))
+    assert small["illicit_auc"] > 0.96
+
+
+def test_logistic_fit_is_the_optimum(spark):
+    parts = curved(spark, 600).select("tx_id", F.transform("features", lambda v: F.coalesce(v, F.lit(0.5))).alias("features"), "y", "split")
+    rows = models.logistic_gradient(parts).collect()
+    assert len(rows) == 4 and all(abs(r.gradient) < 1e-7 for r in rows)
+    early = models.logistic_gradient(parts, max_iter=1).collect()
+    assert max(abs(r.gradient) for r in early) > 1e-4
+
+
+def test_grid_fits_a_seedless_baseline_once(spark, separable, tmp_path, monkeypatch):
+    fits, fit = [], floor.fit_predict
+    monkeypatch.setattr(floor, "fit_predict", lambda parts, baseline, seed, **how: fits.append((baseline, seed)) or fit(parts, baseline, seed, **how))
+    path = str(tmp_path / "log")
+    floor.run_floor_grid(separable, SPLIT, path, num_trees=8)
+    assert fits == [("rf", 0), ("rf", 1), ("rf", 2), ("lr", 0)]
+    log = runlog.read_runs(spark, path).collect()
+    assert len(log) == 6 and len({r.config_hash for r in log}) == 6 and len({r.run_id for r in log}) == 6
+    assert {json.loads(r.metrics_json)["illicit_f1"] for r in log} == {1.0}
