@@ -37,21 +37,27 @@ def roc_auc(scored: DataFrame) -> float | None:
     return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="y", numBins=0).evaluate(scored.select("score", F.col("y").cast("double").alias("y")))
 
 
-def roc_auc_by(scored: DataFrame, *by: str, slices: int = 64) -> DataFrame:
+#: Distinct scores up to which a group's are summed by one window.
+WINDOW_SCORES = 1_000_000
+
+
+def roc_auc_by(scored: DataFrame, *by: str, window_scores: int = WINDOW_SCORES) -> DataFrame:
     """illicit_auc per ``by`` columns, from counts per distinct score; null with one class only.
 
-    Distinct scores are cut into ``slices`` at approximate quantiles of them all, so that a window holds about that share of
-    them at most, even if one group has nearly all; a second window over a group's slices gives the negatives below each.
+    The negatives below a score are a running sum in a group. Beyond ``window_scores`` distinct scores, rows are
+    range-partitioned by group and score, summed within each part, and a second window over a group's parts, one row
+    each, adds what earlier parts hold; so a group of any size is spread.
     """
     each = stored(scored.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")), "scores")
-    cuts = each.approxQuantile("score", [k / slices for k in range(1, slices)], 0.1 / slices)
-    piece = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("score"))) if cuts else F.lit(0)
-    sliced = each.withColumn("_slice", piece)
-    inside = W.partitionBy(*by, "_slice").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    ranked = sliced.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    part = F.lit(0)
+    if each.count() > window_scores:
+        each = stored(each.repartitionByRange(*by, "score").withColumn("_part", F.spark_partition_id()), "scores")
+        part = F.col("_part")
+    inside = W.partitionBy(*by, "_part").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    ranked = each.withColumn("_part", part).withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
     area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    parts = ranked.groupBy(*by, "_slice").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), area.alias("area"))
-    before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    parts = ranked.groupBy(*by, "_part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), area.alias("area"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
     total = F.sum("pos") * F.sum("neg")
     return parts.groupBy(*by).agg(F.when(total > 0, F.sum(F.col("area") + F.col("pos") * F.col("below")) / total).alias("illicit_auc"))

@@ -56,11 +56,18 @@ def _weight(weights: dict) -> Column:
 _VECTOR = "features_as_vector"
 
 
-def _logistic(train: DataFrame, weights: dict, max_iter: int):
-    """The logistic model of standardised ``train``: L2 penalty of 1 on all but the intercept, the loss summed over weighted rows."""
+def _logistic(train: DataFrame, weights: dict, max_iter: int) -> list[float]:
+    """Coefficients, the intercept last, of standardised ``train``: L2 penalty of 1 on all but the intercept, the loss summed over weighted rows."""
     rows = train.select(_vector().alias(_VECTOR), F.col("y").cast("double").alias("label"), _weight(weights).alias("w"))
     penalty = 1.0 / sum(n for _, n in weights.values())
-    return LogisticRegression(featuresCol=_VECTOR, labelCol="label", weightCol="w", maxIter=max_iter, regParam=penalty, elasticNetParam=0.0, standardization=False, tol=1e-9).fit(rows)
+    model = LogisticRegression(featuresCol=_VECTOR, labelCol="label", weightCol="w", maxIter=max_iter, regParam=penalty, elasticNetParam=0.0, standardization=False, tol=1e-9).fit(rows)
+    return [float(x) for x in model.coefficients] + [float(model.intercept)]
+
+
+def _margin(w: list[float]) -> Column:
+    """The linear part of the model, from features and coefficients of which the last is the intercept."""
+    products = F.zip_with("features", F.array(*map(F.lit, w[:-1])), lambda a, b: a * b)
+    return F.aggregate(products, F.lit(w[-1]), lambda a, b: a + b)
 
 
 def _vector() -> Column:
@@ -88,9 +95,8 @@ def fit_predict(
         scored = forest.predict(model, test.select(F.col(key).alias("key"), "features", "y"))
         return scored.select(F.col("key").alias(key), "y", "score", (F.col("score") > 0.5).cast("int").alias("pred"))
     stats = scaler_stats(train)
-    model = _logistic(standardise(train, stats), weights, max_iter)
-    scored = model.setFeaturesCol(_VECTOR).transform(standardise(test, stats).withColumn(_VECTOR, _vector()))
-    return scored.select(key, "y", vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("pred"))
+    margin = _margin(_logistic(standardise(train, stats), weights, max_iter))
+    return standardise(test, stats).select(key, "y", (1 / (1 + F.exp(-margin))).alias("score"), (margin > 0).cast("int").alias("pred"))
 
 
 def logistic_gradient(parts: DataFrame, max_iter: int = 2000, key: str = "tx_id") -> DataFrame:
@@ -101,12 +107,10 @@ def logistic_gradient(parts: DataFrame, max_iter: int = 2000, key: str = "tx_id"
     """
     train, _, weights = _parts(parts, key)
     train = standardise(train, scaler_stats(train))
-    model = _logistic(train, weights, max_iter)
-    w = [float(x) for x in model.coefficients] + [float(model.intercept)]
+    w = _logistic(train, weights, max_iter)
     n, total = len(w) - 1, sum(weight * rows for weight, rows in weights.values())
     x = F.concat("features", F.array(F.lit(1.0)))
-    margin = F.aggregate(F.zip_with(x, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    error = _weight(weights) * (1 / (1 + F.exp(-margin)) - F.col("y"))
+    error = _weight(weights) * (1 / (1 + F.exp(-_margin(w))) - F.col("y"))
     row = train.select(x.alias("x"), error.alias("e")).agg(*[F.sum(F.col("e") * F.col("x")[i]).alias(f"g{i}") for i in range(n + 1)])
     penalty = [*w[:n], 0.0]
     each = F.array(*[F.struct(F.lit(i).alias("coefficient"), F.lit(w[i]).alias("value"), ((F.col(f"g{i}") + penalty[i]) / total).alias("gradient")) for i in range(n + 1)])

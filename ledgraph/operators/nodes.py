@@ -31,7 +31,10 @@ def unique_classes(classes: DataFrame, order_col: str | None = None) -> DataFram
 
 
 def attach_labels(nodes: DataFrame, classes: DataFrame, order_col: str | None = None) -> DataFrame:
-    """``nodes`` and y, labelled. Nodes without a class are unknown; classes of unknown ids don't matter."""
+    """``nodes`` and y, labelled. Nodes without a class are unknown; classes of unknown ids don't matter.
+
+    From nodes that ``store.bucketed`` has written by tx_id, only classes are shuffled; features stay where they are.
+    """
     known = unique_classes(classes, order_col).select("tx_id", encode_label(F.col("class")).alias("y"))
     return nodes.join(known, "tx_id", "left").withColumn("y", F.coalesce("y", F.lit(UNKNOWN))).withColumn("labelled", labelled_mask(F.col("y")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import checks, edges, inductive, metrics, models, nodes, split
 from ..sources import graph, runlog
-from ..sources.store import shared_dir, stored
+from ..sources.store import bucketed, shared_dir, stored
 from . import bindings as b
 from . import floor, report
 
@@ -63,6 +63,14 @@ def node_labels(spark, sf_dir):
     return labelled_orders(spark, sf_dir)
 
 
+@query(f"WITH {ORDERS}, {FEATURES} SELECT tx_id, time_step, y, y <> -1 AS labelled, round(f0, 2) AS f0, round(f3, 2) AS f3 FROM f")
+def node_labels_bucketed(spark, sf_dir):
+    """Labels joined to nodes with features that lie in a table bucketed by id: the features aren't moved."""
+    held = bucketed(b.order_features(spark, sf_dir).select("tx_id", "time_step", "features"), "tx_id", "orders")
+    found = nodes.attach_labels(held, b.order_classes(spark, sf_dir), order_col="class")
+    return found.select("tx_id", "time_step", "y", "labelled", *[F.round(F.col("features")[i], 2).alias(f"f{i}") for i in (0, 3)])
+
+
 @query(f"WITH {ORDERS} SELECT y, count(*) AS n FROM o GROUP BY y")
 def label_profile(spark, sf_dir):
     return nodes.label_profile(labelled_orders(spark, sf_dir))
@@ -151,6 +159,24 @@ def induced_train_subgraph(spark, sf_dir):
     return inductive.induced_train_subgraph(b.order_edges(spark, sf_dir), b.order_nodes(spark, sf_dir), b.MONTHS)
 
 
+@query(
+    f"WITH {ORDERS}, {EDGES} SELECT count(*) AS n_edges, count(*) FILTER (a.time_step > 55 OR z.time_step > 55) AS n_leaking, count(*) FILTER (a.time_step <= 55 AND z.time_step <= 55) AS n_induced "
+    "FROM e JOIN o a ON a.tx_id = src JOIN o z ON z.tx_id = dst"
+)
+def induced_with_leakage(spark, sf_dir):
+    """The induced edges written, and the raw edges' leakage, counted by the same job."""
+    inside, seen = inductive.induced_and_leakage(b.order_edges(spark, sf_dir), b.order_nodes(spark, sf_dir), b.MONTHS)
+    n = stored(inside, "induced").count()
+    return spark.createDataFrame([(seen.get["n_edges"], seen.get["n_leaking"], n)], "n_edges long, n_leaking long, n_induced long")
+
+
+@query("SELECT l_suppkey AS src, l_partkey AS dst, a.p_size AS src_time, z.p_size AS dst_time FROM lineitem LEFT JOIN part a ON a.p_partkey = l_suppkey LEFT JOIN part z ON z.p_partkey = l_partkey")
+def hub_endpoint_times(spark, sf_dir):
+    """End times of a graph in which a few ids hold all edges' sources: their rows are dealt to parts."""
+    times = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tx_id"), F.col("p_size").alias("time_step"))
+    return inductive.edge_endpoint_times(b.part_edges(spark, sf_dir), times, hub_rows=200)
+
+
 @query(f"WITH {ORDERS} SELECT tx_id, time_step, time_step <= 55 AS train_mask FROM o")
 def induced_train_nodes(spark, sf_dir):
     return inductive.train_nodes(b.order_nodes(spark, sf_dir), b.MONTHS)
@@ -300,8 +326,6 @@ def _log(spark, sf_dir, format="parquet", times=1):
     return path
 
 
-
-
 @query(
     f"{LOG}, {SUPPORT} SELECT '2024-02-01T00:00:00+00:00' AS timestamp_utc, run_id, 'orders' AS model, CAST(NULL AS VARCHAR) AS phase, config_hash, CAST(NULL AS VARCHAR) AS git_commit, false AS git_dirty, seed, data_snapshot_id, "
     "baseline, illicit_auc, illicit_f1, illicit_precision, illicit_recall, n_test, n_test_illicit, n_train, '56-80' AS test_window, 0.5::DOUBLE AS wall_clock_s, notes FROM log, k"
@@ -425,6 +449,20 @@ def append_only_check(spark, sf_dir):
     return one.join(count(runlog.invalid_rows(after), "n_invalid"))
 
 
+@query(f"{LOG} SELECT 2 * count(*) AS n_rows, true AS appended, true AS found_rewritten FROM log")
+def run_log_parts(spark, sf_dir):
+    """A log judged by its part files: appending breaks none, writing the log anew breaks every one."""
+    path = _log(spark, sf_dir, times=1)
+    known = stored(runlog.part_digests(spark, path), "parts")
+    runlog.append_runs(run_rows(spark, sf_dir), path)
+    appended = runlog.broken_parts(spark, path, known).isEmpty()
+    every = stored(runlog.part_digests(spark, path, known), "parts")
+    n = runlog.read_runs(spark, path).count()
+    stored(runlog.read_runs(spark, path), "log").write.mode("overwrite").parquet(path)
+    broken = runlog.broken_parts(spark, path, every).count()
+    return spark.createDataFrame([(n, appended, broken == every.count())], "n_rows long, appended boolean, found_rewritten boolean")
+
+
 @query(f"{LOG} SELECT run_id, config_hash FROM log")
 def config_hash(spark, sf_dir):
     rows = b.scored_orders(spark, sf_dir).select("baseline", "seed").distinct()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, edges, nodes
+from .store import bucketed, stored
 
 
 def fold_features(df: DataFrame, id_type: str = "long") -> DataFrame:
@@ -45,10 +46,17 @@ def load_graph(
     """(nodes, edges): nodes with label y and flag labelled, unknown ones too; edges checked and, by default, symmetrised.
 
     ``strict`` holds the expected n_nodes, n_steps, max_step and n_features of ``checks.assert_canonical``.
+
+    Each file is read once: nodes become a table bucketed by tx_id (their features are shuffled then, and in no later join
+    on it), edges a table of two columns. Dimensions are observed while nodes are written; only the distinct time steps
+    and the edges' ends are read again, as columns of these tables.
     """
-    n = nodes.attach_labels(read_node_features(spark, features, format=format), read_classes(spark, classes, format=format))
-    e = read_edges(spark, edge_list, format=format)
-    edges.assert_no_dangling(e, n)
+    seen = Observation()
+    read = checks.observed(read_node_features(spark, features, format=format), seen)
+    held = bucketed(read, "tx_id", "graph_nodes")
+    n = nodes.attach_labels(held, read_classes(spark, classes, format=format))
+    e = stored(read_edges(spark, edge_list, format=format), "graph-edges")
     if strict is not None:
-        checks.assert_canonical(n, **strict)
+        checks.assert_observed(seen, held, **strict)
+    edges.assert_no_dangling(e, held)
     return n, edges.symmetrise_edges(e) if symmetrise else e

@@ -65,6 +65,47 @@ def assert_append_only(before: DataFrame, after: DataFrame) -> None:
         raise AssertionError("the log has lost or changed rows")
 
 
+def _parts(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, length, modified, content of part files; content is read only where it is asked for."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(paths))
+    return files.select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"), "content")
+
+
+def part_digests(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """file, length, modified, digest (SHA-256) of every part file of the log at ``path``; those of ``known`` are taken over, only other files are read."""
+    names = _parts(spark, path).select("file")
+    if known is not None:
+        names = names.join(known.select("file"), "file", "left_anti")
+    new = [r.file for r in names.collect()]  # a log's part files, which the driver lists anyway
+    empty = names.sparkSession.createDataFrame([], "file string, length long, modified timestamp, digest string")
+    found = _parts(spark, *new).select("file", "length", "modified", F.sha2("content", 256).alias("digest")) if new else empty
+    return found if known is None else known.unionByName(found)
+
+
+def broken_parts(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """file, fault of the files in ``known`` (``part_digests`` of an earlier time) that are ``lost`` or ``rewritten``.
+
+    Names, lengths and times are compared; a file is read only if its length is the same and its time another. Rows
+    of the log are never compared, so the work grows with the number of files.
+    """
+    now = _parts(spark, path).select("file", F.col("length").alias("length_"), F.col("modified").alias("modified_"))
+    both = known.join(now, "file", "left")
+    fault = F.when(F.col("length_").isNull(), "lost").when(F.col("length_") != F.col("length"), "rewritten")
+    found = both.select("file", fault.alias("fault")).filter("fault IS NOT NULL")
+    touched = [r.file for r in both.filter("length_ = length AND modified_ <> modified").select("file").collect()]
+    if not touched:
+        return found
+    again = _parts(spark, *touched).join(known.select("file", "digest"), "file").filter(F.sha2("content", 256) != F.col("digest"))
+    return found.unionByName(again.select("file", F.lit("rewritten").alias("fault")))
+
+
+def assert_parts_kept(spark: SparkSession, path: str, known: DataFrame) -> None:
+    """AssertionError if a part file of an earlier log was lost or rewritten."""
+    bad = broken_parts(spark, path, known).take(3)
+    if bad:
+        raise AssertionError("; ".join(f"{r.file} is {r.fault}" for r in bad))
+
+
 def invalid_rows(rows: DataFrame) -> DataFrame:
     """Rows in which a required cell is null or empty."""
     bad = F.lit(False)

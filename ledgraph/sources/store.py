@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a temporary folder if all runs on this machine, else ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
@@ -24,3 +24,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, label: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written once as a table bucketed and sorted by ``key``: joins on it then move the other side only.
+
+    As many buckets as shuffle partitions if not given. One file a bucket; the table is external, in the shared folder.
+    """
+    spark = df.sparkSession
+    n, name = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)

@@ -3,9 +3,13 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgraph.operators import checks, edges, inductive, nodes, split
+from ledgraph.operators import checks, edges, hubs, inductive, nodes, split
 from ledgraph.sources import graph
+from ledgraph.sources.store import bucketed
+
+SPLIT = split.TemporalSplit(34, 35, 49)
 
 
 @pytest.fixture
@@ -132,3 +136,106 @@ def test_unknown_times_leak(spark, crossing):
 def test_local_features(spark):
     n = spark.createDataFrame([([1.0, 2.0, 3.0],), ([],), (None,)], "features array<float>")
     assert [r.features for r in split.local_features(n, 2).collect()] == [[1.0, 2.0], [], None]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanged(df) -> str:
+    """The exchanges of a plan and what stands below them, line by line."""
+    lines, out, depth = plan_of(df).splitlines(), [], None
+    for line in lines:
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at <= depth:
+            depth = None
+        if depth is None and "Exchange" in line:
+            depth = at
+        if depth is not None:
+            out.append(line)
+    return "\n".join(out)
+
+
+def test_labels_join_without_moving_features(spark):
+    wide = spark.range(300).select(F.col("id").alias("tx_id"), F.lit(1).alias("time_step"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("features"))
+    classes = spark.range(0, 300, 2).select(F.col("id").alias("tx_id"), F.lit("1").alias("class"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = bucketed(wide, "tx_id", "wide")
+        found = nodes.attach_labels(held, classes, order_col="class")
+        assert "Exchange" in plan_of(found) and "features" not in exchanged(found)
+        assert "features" in exchanged(nodes.attach_labels(wide, classes, order_col="class"))
+        rows = {r.tx_id: (r.y, r.features[1]) for r in found.collect()}
+        assert rows == {i: (1 if i % 2 == 0 else -1, float(i)) for i in range(300)}
+        # The ends' times come from it without moving its rows either.
+        e = spark.range(100).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+        assert "features" not in exchanged(inductive.edge_endpoint_times(e, held)) and inductive.edge_endpoint_times(e, held).count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def hub_graph(spark):
+    """60,000 edges; one id begins half of them, and a sixth have no begin."""
+    src = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 6 == 1, F.lit(None)).otherwise(F.col("id") % 900)
+    e = spark.range(60_000, numPartitions=6).select(src.cast("long").alias("src"), (F.col("id") % 1100).alias("dst"))
+    n = spark.range(1000).select(F.col("id").alias("tx_id"), (F.col("id") % 50).cast("int").alias("time_step"))
+    return e, n
+
+
+def test_hubs_are_dealt_to_parts(spark):
+    e, n = hub_graph(spark)
+    assert {(r["_hub"], r["_salts"]) for r in hubs.hub_ids(e, "src", 2_000).collect()} == {(7, 15), (None, 5)}
+    assert hubs.hub_ids(e, "dst", 2_000) is None and hubs.hub_ids(e.limit(0), "src", 10) is None
+    count = lambda df: sorted(map(str, df.collect()))
+    assert count(inductive.edge_endpoint_times(e, n, hub_rows=2_000)) == count(inductive.edge_endpoint_times(e, n))
+    assert count(inductive.induced_train_subgraph(e, n, SPLIT, 2_000)) == count(inductive.induced_train_subgraph(e, n, SPLIT))
+    index = n.select("tx_id", (F.col("tx_id") + 5).alias("node_idx"))
+    assert count(edges.remap_edges(e, index, 2_000)) == count(edges.remap_edges(e, index))
+
+
+def test_no_task_has_a_whole_hub(spark):
+    """Rows a partition of the joined rows, dealt to 32 by a shuffle: with the hub in one task it were 30,000 at least."""
+    e, n = hub_graph(spark)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        src = n.select(F.col("tx_id").alias("src"), "time_step")
+        most = lambda rows: hubs.join_end(e, src, "src", "left", rows).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most(None) >= 30_000 and most(2_000) < 10_000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_induced_edges_and_leaks_from_one_join(spark):
+    e, n = hub_graph(spark)
+    inside, seen = inductive.induced_and_leakage(e, n, SPLIT)
+    rows = sorted(map(str, inside.collect()))
+    assert rows == sorted(map(str, inductive.induced_train_subgraph(e, n, SPLIT).collect()))
+    assert seen.get == inductive.leakage_report(e, n, SPLIT).first().asDict()
+
+
+def test_dangling_edges_do_not_move_edges(spark):
+    e, n = hub_graph(spark)
+    found = edges.dangling_edges(e, n)
+    want = [r for r in e.collect() if r.src is None or r.dst is None or r.dst >= 1000]
+    assert sorted(map(str, found.collect())) == sorted(map(str, want)) and edges.dangling_edges(e.filter("src < 5 AND dst < 5"), n).count() == 0
+    assert "Exchange hashpartitioning" not in plan_of(found)
+
+
+def test_loading_reads_each_file_once(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("".join(f"{i},{i % 4},0.5,{i}\n" for i in range(40)))
+    (tmp_path / "c.csv").write_text("txId,class\n" + "".join(f"{i},{i % 3}\n" for i in range(40)))
+    (tmp_path / "e.csv").write_text("txId1,txId2\n" + "".join(f"{i},{i + 1}\n" for i in range(39)))
+    paths = [str(tmp_path / x) for x in ("f.csv", "c.csv", "e.csv")]
+    n, e = graph.load_graph(spark, *paths, strict={"n_nodes": 40, "n_steps": 4, "max_step": 3, "n_features": 2})
+    (tmp_path / "f.csv").unlink()
+    (tmp_path / "e.csv").unlink()
+    assert (n.count(), n.filter("labelled").count(), e.count(), n.agg(F.sum(F.col("features")[1])).first()[0]) == (40, 26, 78, sum(range(40)))
+    (tmp_path / "f.csv").write_text("1,1,0.5,1\n2,1,0.5,2\n")
+    (tmp_path / "e.csv").write_text("txId1,txId2\n1,2\n")
+    with pytest.raises(AssertionError, match="n_nodes is 2, not 40; n_steps is 1, not 4"):
+        graph.load_graph(spark, *paths, strict={"n_nodes": 40, "n_steps": 4, "max_step": 1, "n_features": 2})

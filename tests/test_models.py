@@ -10,6 +10,7 @@ from ledgraph.functions import scalar
 from ledgraph.operators import forest, metrics, models, split
 from ledgraph.plans import floor, report
 from ledgraph.sources import runlog
+from ledgraph.sources.store import stored
 
 SPLIT = split.TemporalSplit(34, 35, 49)
 
@@ -62,7 +63,7 @@ def test_auc(spark):
     rows = [("a", 1, 0.9), ("a", 0, 0.5), ("a", 1, 0.5), ("a", 0, 0.1), ("b", 1, 0.3), ("b", 1, 0.4)]
     scored = spark.createDataFrame(rows, "k string, y int, score double")
     assert {r.k: r.illicit_auc for r in metrics.roc_auc_by(scored, "k").collect()} == {"a": 0.875, "b": None}
-    assert {r.k: r.illicit_auc for r in metrics.roc_auc_by(scored, "k", slices=2).collect()} == {"a": 0.875, "b": None}
+    assert {r.k: r.illicit_auc for r in metrics.roc_auc_by(scored, "k", window_scores=2).collect()} == {"a": 0.875, "b": None}
     assert metrics.roc_auc_by(scored.limit(0), "k").count() == 0
     assert metrics.roc_auc(scored.filter("k = 'a'")) == pytest.approx(0.875)
     assert metrics.roc_auc(scored.filter("k = 'b'")) is None
@@ -265,3 +266,35 @@ def test_grid_fits_a_seedless_baseline_once(spark, separable, tmp_path, monkeypa
     log = runlog.read_runs(spark, path).collect()
     assert len(log) == 6 and len({r.config_hash for r in log}) == 6 and len({r.run_id for r in log}) == 6
     assert {json.loads(r.metrics_json)["illicit_f1"] for r in log} == {1.0}
+
+
+def test_part_files_tell_a_rewritten_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    row = lambda k: spark.createDataFrame([(f"t{k}", f"r{k}", "m", None, "h", None, False, k, "d", "{}", 1.0, "n")], runlog.RUN_LOG).coalesce(1)
+    runlog.append_runs(row(0), path)
+    known = stored(runlog.part_digests(spark, path), "parts")
+    runlog.append_runs(row(1), path)
+    runlog.assert_parts_kept(spark, path, known)
+    every = stored(runlog.part_digests(spark, path, known), "parts")
+    assert (known.count(), every.count(), every.join(known, ["file", "digest"]).count()) == (1, 2, 1)
+    first = tmp_path / "log" / known.first().file.rsplit("/", 1)[1]
+    held = first.read_bytes()
+    (first.parent / f".{first.name}.crc").unlink()  # or the local file system itself would refuse what is written below
+    first.touch()
+    runlog.assert_parts_kept(spark, path, every)  # another time, the same content
+    first.write_bytes(held[:-1] + bytes([held[-1] ^ 1]))
+    with pytest.raises(AssertionError, match="is rewritten"):
+        runlog.assert_parts_kept(spark, path, every)
+    first.write_bytes(held + b"x")
+    assert [r.fault for r in runlog.broken_parts(spark, path, every).collect()] == ["rewritten"]
+    first.unlink()
+    assert [r.fault for r in runlog.broken_parts(spark, path, every).collect()] == ["lost"]
+
+
+def test_auc_by_range_parts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(rng.integers(0, 2)), float(rng.integers(0, 300)) / 300) for k in ("a", "a", "a", "b") for _ in range(400)]
+    scored = spark.createDataFrame(rows, "k string, y int, score double").repartition(5)
+    one = {r.k: round(r.illicit_auc, 12) for r in metrics.roc_auc_by(scored, "k").collect()}
+    assert one == {r.k: round(r.illicit_auc, 12) for r in metrics.roc_auc_by(scored, "k", window_scores=10).collect()}
+    assert one == {k: round(metrics.roc_auc(scored.filter(f"k = '{k}'")), 12) for k in "ab"}
