@@ -325,7 +325,19 @@ def _compare(k: int, least: float):
     return rows
 
 
-def shingle_links(texts: DataFrame, k: int = 5, least: float = 0.8, most: int = BLOCK) -> DataFrame:
+#: Texts whose number is a multiple of this tell which shingles are common.
+ONE_IN = 64
+#: A shingle in more than this part of these texts, and in two at least, is common.
+COMMON = 1_000
+
+
+def common_shingles(few: DataFrame, n: int, k: int, least: float) -> DataFrame:
+    """hash of the shingles that more than one in COMMON of ``few``, ``n`` texts, have: at most COMMON times a text's own number of them."""
+    found = few.mapInArrow(_samples(k, least), "hash long, node long, n int, shared int").groupBy("hash").agg(F.count("*").alias("c"))
+    return stored(found.filter(F.col("c") > max(1, n // COMMON)).select("hash", F.lit(True).alias("common")), "shingle-common")
+
+
+def shingle_links(texts: DataFrame, k: int = 5, least: float = 0.8, most: int = BLOCK, common: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that connect exactly the nodes of ``texts`` (node, text; each node once) with sets of ``k``-word shingles of similarity ``least`` or more.
 
     Exact: each text gives about three tenths of its shingles, the least by hash, of which two similar texts share about
@@ -334,9 +346,15 @@ def shingle_links(texts: DataFrame, k: int = 5, least: float = 0.8, most: int =
     differ little enough in size are connected to candidates, and all texts of a connected set of candidates are compared
     in one task (``alike``). Sets over ``most`` are cut by size into blocks, and each two blocks whose sizes allow it
     are compared in a task of their own, so a task holds two blocks at most.
+
+    How rare a shingle is only has to put all shingles in one order. Those of ``common`` (hash, common), which surely
+    occur twice, come last in it without being counted, so their rows needn't meet; results don't depend on what it holds.
     """
     sampled = texts.mapInArrow(_samples(k, least), "hash long, node long, n int, shared int")
-    met = sampled.withColumn("c", F.count("*").over(Window.partitionBy("hash"))).filter("c > 1")
+    sampled = sampled.withColumn("common", F.lit(False)) if common is None else sampled.join(common, "hash", "left")
+    known = F.coalesce("common", F.lit(False))
+    count = F.count("*").over(Window.partitionBy("hash", F.when(known, F.col("node"))))
+    met = sampled.withColumn("c", F.when(known, F.lit((1 << 63) - 1)).otherwise(count)).filter("c > 1")
     rarest = met.groupBy("node").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.sort_array(F.collect_list(F.struct("c", "hash"))).alias("found")).filter(F.size("found") >= F.col("shared"))
     rarest = rarest.select("node", "n", F.explode(F.slice("found", F.lit(1), F.size("found") - F.col("shared") + 1)).alias("s")).select("node", "n", "s.hash")
     rarest = stored(rarest, "shingle-rarest")
@@ -372,7 +390,9 @@ def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
     nodes = stored(prints.join(rows.select("_row", "doc_id"), "_row").groupBy("node").agg(F.min(rank).alias("least")), "shingle-nodes")
     unique = texts.join(nodes.select("node", F.col("least._row").alias("_row")).hint("shuffle_hash"), "_row").select("node", "text")
-    labels = components(stored(shingle_links(unique, k, least), "shingle-links"))
+    few = nodes.filter(F.pmod("node", F.lit(ONE_IN)) == 0).select("node", F.col("least._row").alias("_row"))
+    common = common_shingles(texts.join(few, "_row").select("node", "text"), few.count(), k, least)
+    labels = components(stored(shingle_links(unique, k, least, common=common), "shingle-links"))
     labelled = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     first = labelled.groupBy("label").agg(F.min("least").alias("kept"))
     kept = labelled.join(first, "label").select("node", F.col("kept._row").alias("kept"))

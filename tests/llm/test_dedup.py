@@ -368,3 +368,15 @@ def test_whole_groups():
     assert [k for t in tables for k in t.column("k").to_pylist()] == keys
     owners = [set(t.column("k").to_pylist()) for t in tables]
     assert all(not a & b for i, a in enumerate(owners) for b in owners[:i])
+
+
+def test_common_shingles_change_no_link(spark, monkeypatch):
+    """A passage in most texts, and pairs whose rarest shingles are few: the same groups with and without it told apart."""
+    shared = prose(900, 60)
+    texts = [(i, prose(i // 2, 60) + " " + shared + f" end {i}") for i in range(60)] + [(100 + i, shared + f" tail{i}") for i in range(6)]
+    df = spark.createDataFrame(texts, "node long, text string").repartition(4)
+    common = simhash.common_shingles(df, len(texts), 5, 0.8)
+    assert common.count() > 10
+    links = lambda found: sorted((r.node, r.label) for r in components.components(simhash.stored(found, "test-links")).collect())
+    plain = links(simhash.shingle_links(df, 5, 0.8))
+    assert plain and links(simhash.shingle_links(df, 5, 0.8, common=common)) == plain
