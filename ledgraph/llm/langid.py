@@ -95,8 +95,9 @@ def identify(docs: DataFrame, content: dict[str, bytes], least_margin: float = 0
     table gives none; input columns with these names are replaced. ``content`` is bounded as ``fit`` says.
     """
     new = {"lang_pred": "string", "score": "double", "margin": "double", "rejected": "boolean"}
-    names = [c for c in docs.columns if c not in new]
-    schema = docs.select(*names).schema
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    held = packed(docs, "text")
+    names, schema = held.columns, held.select("*").schema  # a copy of the schema, as it grows
     for c, k in new.items():
         schema = schema.add(c, k)
 
@@ -108,7 +109,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], least_margin: float = 0
             out = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array([m < least_margin or k == UNKNOWN for k, m in zip(lang, margin, strict=True)], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *out], [*names, *new])
 
-    return docs.select(*names).mapInArrow(rows, schema)
+    return unpacked(held.mapInArrow(rows, schema), docs, "text", new=tuple(new))
 
 
 def trained(docs: DataFrame, folds: int = 4, held: int = 2) -> dict[str, bytes]:

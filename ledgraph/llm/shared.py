@@ -67,9 +67,9 @@ def packed(docs: DataFrame, *used: str) -> DataFrame:
     return docs.select(*used, (F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))).alias(OTHERS))
 
 
-def unpacked(found: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
-    """The columns of ``docs``, in its order: ``used`` as ``found`` has them, the others as they were."""
-    return found.select(*[F.col(c) if c in used else F.col(f"{OTHERS}.`{c}`").alias(c) for c in docs.columns])
+def unpacked(found: DataFrame, docs: DataFrame, *used: str, new: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``docs``, in its order: ``used`` as ``found`` has them, the others as they were; then those of ``new``."""
+    return found.select(*[F.col(c) if c in used else F.col(f"{OTHERS}.`{c}`").alias(c) for c in docs.columns], *new)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, at_least: int) -> Iterator[pa.Table]:

@@ -61,7 +61,8 @@ def archive_lines(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     the record id of its response, which depends on page_id and payload alone.
     """
     p = plan_records(pages, least_bytes)
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    named = lambda i: F.coalesce(F.concat(F.lit("id "), i.cast("string")), F.lit("none"))  # noqa: E731  no id is another than an empty one
+    page = named(F.col("page_id"))
     revisit = F.col("canonical").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("canonical")))
     response_id = lambda i: urn(F.lit("response"), i, F.col("digest"))
     own = F.when(revisit, urn(F.lit("revisit"), page, F.col("url"), F.col("digest"))).otherwise(response_id(page))
@@ -76,7 +77,7 @@ def archive_lines(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
             date,
             ("WARC-Target-URI", uri),
             digest,
-            ("WARC-Refers-To", F.when(revisit, response_id(F.col("canonical").cast("string")))),
+            ("WARC-Refers-To", F.when(revisit, response_id(named(F.col("canonical"))))),
             ("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
             ("Content-Type", F.lit("application/http; msgtype=response")),
         ],

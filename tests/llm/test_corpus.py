@@ -315,6 +315,9 @@ def test_archives_of_string_ids_and_many_revisits(spark, tmp_path):
     assert found.schema["page_id"].dataType == found.schema["refers_to"].dataType == pages.schema["page_id"].dataType
     agree(found, warc.SQL, pages=pages)
     assert found.filter("record_type = 'revisit'").count() > 35
+    none = spark.createDataFrame([("", "http://same", "x"), (None, "http://same", "x"), ("none", "http://same", "x")], pages.schema)
+    none.write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    assert sorted(str(r.page_id) for r in warc.op9_warc(spark, str(tmp_path / "none")).collect()) == ["", "None", "none"]
     warc.write_archives(pages, str(tmp_path / "w"))
     records = warc.read_archives(spark, str(tmp_path / "w")).collect()
     ids = {r.record_id for r in records if r.type == "response"}
@@ -444,3 +447,24 @@ def test_token_marks_come_off():
     low, start, end, _, h = toxicity.tokens(np.frombuffer(b"Idiot!!!!!!! ((((idiot))) idiot ....", np.uint8), np.array([0, 36]))
     assert len(start) == 4 and len(set(h[:3].tolist())) == 1 and low[start[0] : end[0]].tobytes() == b"idiot" and (end > start).all()
     assert toxicity.Network.new(np.zeros(0, np.uint64)).scores(pa.array(["", None])).tolist() == [0.1, 0.1]
+
+
+def test_registered_language_and_toxicity_and_names_with_dots(spark, tmp_path, odd_docs):
+    """What the queries return over odd documents: each row once, folds by crc32, predictions by the score, und where no letter is."""
+    rows = [(1000 + i, speech(k, i, 80), k, "s", None) for i in range(40) for k in [list(SYLLABLES)[i % 4]]]
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "note").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, note string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1000 + i, int(i % 3 == 0)) for i in range(40)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    crc = lambda c, n: zlib.crc32(("" if c is None else str(c)).encode()) % n
+    texts = collections.Counter((r.doc_id, any(map(str.isalpha, r.text or ""))) for r in docs.collect())
+    found = langid.op7_language(spark, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in found) == collections.Counter(c for c, _ in texts.elements())
+    assert all(r.held_out == (crc(r.doc_id, 4) == 2) and 0 <= r.score <= 1 for r in found)
+    assert collections.Counter((r.doc_id, r.lang_pred != "und") for r in found) == texts
+    assert all(r.lang_pred == dict((x[0], x[2]) for x in rows)[r.doc_id] for r in found if r.doc_id and r.doc_id >= 1000)
+    found = toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in found) == collections.Counter(c for c, _ in texts.elements())
+    assert all(r.held_out == (crc(r.doc_id, 5) == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+    dotted = docs.withColumn("a.b", F.col("doc_id")).limit(5)
+    assert "a.b" in langid.identify(dotted, {"en": b"the"}).columns and langid.identify(dotted, {"en": b"the"}).count() == 5
+    assert toxicity.score(dotted, toxicity.Network.new(np.zeros(0, np.uint64))).count() == 5

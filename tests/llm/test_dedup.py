@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -380,3 +381,27 @@ def test_common_shingles_change_no_link(spark, monkeypatch):
     links = lambda found: sorted((r.node, r.label) for r in components.components(simhash.stored(found, "test-links")).collect())
     plain = links(simhash.shingle_links(df, 5, 0.8))
     assert plain and links(simhash.shingle_links(df, 5, 0.8, common=common)) == plain
+
+
+def test_registered_simhash(spark, tmp_path, odd_docs):
+    """Hex fingerprints and classes of the query over odd documents, against a plain version."""
+    odd_docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+
+    def plain(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = [plain(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    least = lambda k: min((c for (c, _), x in zip(rows, label, strict=True) if x == k and c is not None), default=None)
+    want = sorted((str(c), f"{p:016x}", str(least(k))) for (c, _), p, k in zip(rows, prints, label, strict=True))
+    found = simhash.op4_simhash(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in found.collect()) == want

@@ -68,5 +68,5 @@ def test_each_stage_on_odd_rows_and_none(spark, odd_docs, no_docs, k, tmp_path):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
