@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,8 +67,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, token: int
     return dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True))
 
 
-def _first_of_each(texts: pa.Array) -> np.ndarray:
-    return np.sort(np.unique(np.array(texts.to_pylist(), object).astype("S16"), return_index=True)[1]) if len(texts) else np.zeros(0, np.int64)
+def _first_of_each(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first rows of distinct texts, and how many rows each has."""
+    if not len(texts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, many = np.unique(np.array(texts.to_pylist(), object).astype("S16"), return_index=True, return_counts=True)
+    order = np.argsort(first)
+    return first[order], many[order]
 
 
 def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,43 +86,25 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
-#: done: a place that the reading task has found twice; else a run, of which at is the token's place.
-_RUN = "done boolean, key long, seg long, seg2 long, t1 long, t2 long, lo long, hi long, at long"
-_RUN_KINDS = [pa.bool_(), *[pa.int64()] * 8]
+#: A run of a text and the number of its rows in a reading batch that hold this text; at is the token's place.
+_RUN = "key long, seg long, seg2 long, t1 long, t2 long, lo long, hi long, at long, copies long"
 
 
 def _run_batches(span: int, token: int):
-    """Documents to runs. Runs of a batch that are equal, byte by byte, go on as one; their places are done."""
+    """Documents to the runs of their texts; copies of a text that a batch holds are sent once, with their number."""
     names = [x.split()[0] for x in _RUN.split(", ")]
 
     def rows(batches):
         for batch in batches:
-            keep = _first_of_each(batch.column("text_id"))  # copies of a text are counted apart
+            keep, many = _first_of_each(batch.column("text_id"))
             data, offsets = flat(batch.column("text").take(pa.array(keep)))
             a = anchors(data, offsets, span, token)
             if not len(a["key"]):
                 continue
             ids = np.frombuffer(b"".join(batch.column("text_id").take(pa.array(keep)).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
-            order, group = _grouped(a["key"], a["seg"], a["seg2"])
-            a = {k: v[order] for k, v in a.items()}
-            lead = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[group]
-            start, end = (offsets[a["row"]] + a["lo"]).tolist(), (offsets[a["row"]] + a["hi"] + span).tolist()
-            member = np.flatnonzero(lead != np.arange(len(lead)))
-            raw = data.tobytes()
-            same = np.fromiter((raw[start[i] : end[i]] == raw[start[k] : end[k]] for i, k in zip(member.tolist(), lead[member].tolist(), strict=True)), np.bool_, len(member))
-            done = np.union1d(member[same], lead[member[same]])
-            sent = np.setdiff1d(np.arange(len(lead)), member[same])
-
-            def out(flag, t, *values):
-                n = len(t)
-                cols = [np.full(n, flag), *values[:3], t[:, 0], t[:, 1], *values[3:]]
-                return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, k) for c, k in zip(cols, _RUN_KINDS, strict=True)], names)
-
-            yield out(False, ids[a["row"][sent]], *(a[k][sent] for k in ("key", "seg", "seg2", "lo", "hi", "at")))
-            if len(done):
-                r, lo, hi = _joined(a["row"][done], a["lo"][done], a["hi"][done])
-                none = np.zeros(len(r), np.int64)
-                yield out(True, ids[r], ids[r][:, 0], none, none, lo, hi, none)
+            own = ids[a["row"]]
+            columns = [a["key"].view(np.int64), a["seg"].view(np.int64), a["seg2"].view(np.int64), own[:, 0], own[:, 1], a["lo"], a["hi"], a["at"], many[a["row"]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     return rows
 
@@ -130,25 +118,35 @@ def _joined(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 
 def _cut(span: int, token: int):
-    """Joined texts and wanted runs to the runs' bytes behind their leading token; runs of a large token come apart into suffixes, which lead themselves."""
-    names = ["lead", "key", "seg", "seg2", "t1", "t2", "lo", "first", "bytes"]
-    kinds = [pa.binary(), *[pa.int64()] * 7, pa.binary()]
+    """Joined texts and wanted runs to the runs' bytes behind their leading token; runs of a large token come apart into suffixes, which lead themselves.
+
+    A run is cut from the first row with its text, one that only copies of its text repeat (twin) from the second row too.
+    """
+    names = ["lead", "key", "seg", "seg2", "t1", "t2", "lo", "copy", "first", "bytes"]
+    kinds = [pa.binary(), *[pa.int64()] * 8, pa.binary()]
 
     def rows(batches):
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], int] = {}
+        task = TaskContext.get().partitionId() << 32
         for batch in batches:
             out, held = [], 0
-            for t1, t2, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "wanted")), strict=True):
-                if (t1, t2) in seen:
+            for t1, t2, text, wanted in zip(*(batch.column(c) for c in ("t1", "t2", "text", "wanted")), strict=True):
+                t1, t2 = t1.as_py(), t2.as_py()
+                rank = seen.get((t1, t2), 0)
+                if rank > 1:
                     continue
-                seen.add((t1, t2))
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for w in wanted:
+                seen[t1, t2] = rank + 1
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                for w in wanted.as_py():
+                    if rank and not w["twin"]:
+                        continue
+                    # Rows of a text with very many copies may go to several tasks.
+                    copy = task + rank + 1 if w["twin"] else 0
                     own, lo, hi = (w["key"], w["seg"], w["seg2"], t1, t2), w["lo"], w["hi"]
                     if w["large"]:
-                        out += [(raw[i : i + span], *own, i, i - lo, b"") for i in range(lo, hi + 1)]
+                        out += [(raw[i : i + span], *own, i, copy, i - lo, b"") for i in range(lo, hi + 1)]
                     else:
-                        out.append((raw[w["at"] : w["at"] + token], *own, lo, 0, raw[lo : hi + span]))
+                        out.append((raw[w["at"] : w["at"] + token], *own, lo, copy, 0, raw[lo : hi + span]))
                     held += hi - lo + span
                     if held > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -206,11 +204,11 @@ def _sort_buckets(span: int):
     def rows(batches):
         for t in whole_groups(batches, "lead", 10_000):
             data, offsets = flat(t.column("bytes").combine_chunks())
-            key, seg, seg2, t1, t2, lo = (t.column(c).to_numpy() for c in ("key", "seg", "seg2", "t1", "t2", "lo"))
+            key, seg, seg2, t1, t2, lo, copy = (t.column(c).to_numpy() for c in ("key", "seg", "seg2", "t1", "t2", "lo", "copy"))
             lead = t.column("lead").to_numpy(zero_copy_only=False)
             of = np.cumsum(np.concatenate(([False], lead[1:] != lead[:-1])))
-            order, same = _grouped(of, t1, t2, lo)
-            one = order[np.concatenate(([True], same[1:] != same[:-1]))]  # a run cut from several copies of its text
+            order, same = _grouped(of, t1, t2, lo, copy)
+            one = order[np.concatenate(([True], same[1:] != same[:-1]))]  # a run that several tasks cut
             n = (np.diff(offsets) - span + 1)[one]
             run = np.repeat(one, n)
             p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -231,9 +229,9 @@ def _adjacent(batches):
         n = t.num_rows
         if not n:
             continue
-        lead, t1, t2, lo = t.column("lead").to_numpy(zero_copy_only=False), *(t.column(c).to_numpy() for c in ("t1", "t2", "lo"))
-        # A suffix cut from several copies of its text is one place.
-        pair = (lead[1:] == lead[:-1]) & ((t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (lo[1:] != lo[:-1]))
+        lead, place = t.column("lead").to_numpy(zero_copy_only=False), [t.column(c).to_numpy() for c in ("t1", "t2", "lo", "copy")]
+        # A suffix that several tasks cut is one place.
+        pair = (lead[1:] == lead[:-1]) & np.logical_or.reduce([c[1:] != c[:-1] for c in place])
         hit = np.flatnonzero(np.concatenate((pair, [False])) | np.concatenate(([False], pair)))
         if len(hit):
             first = t.column("first").to_numpy()[hit]
@@ -249,36 +247,35 @@ def text_id(text="text"):
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, token: int = TOKEN) -> DataFrame:
-    """text_id, spans: for each distinct text with repeats, its suffixes [lo, hi] (as lo << 32 | hi) whose first ``span`` bytes also begin elsewhere.
+    """t1, t2, spans: for each distinct text (two halves of its MD5) with repeats, its suffixes [lo, hi] (as lo << 32 | hi) whose first ``span`` bytes also begin elsewhere.
 
     Suffixes with the same leading token (``anchors``) travel as runs; only tokens that occur twice can lead to a match.
-    Of the runs with equal bytes (two 64-bit hashes) two are sorted for all: their bytes are range-partitioned by the
-    token's bytes, with the splitters that Spark samples, and sorted bucket by bucket (``equal_suffixes``). A splitter is a
-    whole token, so no equal pair lies across a boundary. Runs of a token with over LARGE of them come apart into
-    suffixes, which are range-partitioned and sorted by all their bytes; so no token is held whole.
+    Of the runs with equal bytes (two 64-bit hashes) two are sorted for all, cut from two rows also where only copies of one
+    text hold them: their bytes are range-partitioned by the token's bytes, with the splitters that Spark samples, and
+    sorted bucket by bucket (``equal_suffixes``). Nothing else finds a repeat. A splitter is a whole token, so no equal pair
+    lies across a boundary. Runs of a token with over LARGE of them come apart into suffixes, which are range-partitioned
+    and sorted by all their bytes; so no token is held whole. Tokens and classes of runs are counted by partial sums.
     """
     halves = [F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), i, 16), 16, -10).cast("long") for i in (1, 17)]
     texts = docs.select(text_id().alias("text_id"), F.col("text").cast("string").alias("text"))
-    sent = texts.mapInArrow(_run_batches(span, token), _RUN).repartition("key")
-    rank = F.dense_rank().over(Window.partitionBy("key", "seg", "seg2").orderBy("done", "t1", "t2", "lo"))  # copies of a text are one place
-    many = F.count("*").over(Window.partitionBy("key"))
-    settled = stored(sent.withColumn("rank", rank).withColumn("many", many).filter("done OR many > 1"), "suffix-runs")
-    found = settled.filter("NOT done")
-    wanted = found.filter("rank <= 2").groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi", "at", "key", "seg", "seg2", (F.col("many") > LARGE).alias("large"))).alias("wanted"))
+    runs_ = stored(texts.mapInArrow(_run_batches(span, token), _RUN), "suffix-runs")
+    tokens = stored(runs_.groupBy("key").agg(F.sum("copies").alias("many")).filter("many > 1"), "suffix-tokens")
+    found = stored(runs_.join(tokens.hint("shuffle_hash"), "key"), "suffix-found")
+    place = F.struct("t1", "t2", "lo", "hi", "at")
+    classes = found.groupBy("key", "seg", "seg2").agg(F.max("many").alias("many"), F.sum("copies").alias("copies"), F.min(place).alias("a"), F.max(place).alias("b"))
+    two = classes.select("key", "seg", "seg2", (F.col("many") > LARGE).alias("large"), ((F.col("a") == F.col("b")) & (F.col("copies") > 1)).alias("twin"), F.explode(F.array_distinct(F.array("a", "b"))).alias("p"))
+    wanted = two.groupBy("p.t1", "p.t2").agg(F.collect_list(F.struct("p.lo", "p.hi", "p.at", "key", "seg", "seg2", "large", "twin")).alias("wanted"))
     wanted = stored(wanted, "suffix-wanted")  # so that the join may split a text with very many copies
     own = docs.select(halves[0].alias("t1"), halves[1].alias("t2"), F.col("text").cast("string").alias("text"))
-    cut = own.join(wanted.hint("shuffle_hash"), ["t1", "t2"]).mapInArrow(_cut(span, token), "lead binary, key long, seg long, seg2 long, t1 long, t2 long, lo long, first long, bytes binary")
-    cut = stored(cut, "suffix-bytes")
+    cut = own.join(wanted.hint("shuffle_hash"), ["t1", "t2"])
+    cut = stored(cut.mapInArrow(_cut(span, token), "lead binary, key long, seg long, seg2 long, t1 long, t2 long, lo long, copy long, first long, bytes binary"), "suffix-bytes")
     matched = cut.filter(F.length("lead") < span).repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_sort_buckets(span), _MATCH)
-    single = cut.filter(F.length("lead") == span).repartitionByRange("lead").sortWithinPartitions("lead", "t1", "t2", "lo").mapInArrow(_adjacent, _MATCH)
+    single = cut.filter(F.length("lead") == span).repartitionByRange("lead").sortWithinPartitions("lead", "t1", "t2", "lo", "copy").mapInArrow(_adjacent, _MATCH)
     same = matched.unionByName(single).groupBy("key", "seg", "seg2").agg(F.collect_set(F.struct("first", "last")).alias("of"))
     same = stored(same, "suffix-matches")  # so that the join may split a very common run
     places = found.join(same.hint("shuffle_hash"), ["key", "seg", "seg2"]).select("t1", "t2", "lo", F.explode("of").alias("m"))
     places = places.select("t1", "t2", (F.col("lo") + F.col("m.first")).alias("lo"), (F.col("lo") + F.col("m.last")).alias("hi"))
-    copies = docs.select(halves[0].alias("t1"), halves[1].alias("t2"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).groupBy("t1", "t2").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    copies = copies.filter((F.col("c") > 1) & (F.col("n") >= span)).select("t1", "t2", F.lit(0).cast("long").alias("lo"), (F.col("n") - span).alias("hi"))
-    spans = settled.filter("done").select("t1", "t2", "lo", "hi").unionByName(places).unionByName(copies)
-    return spans.groupBy("t1", "t2").agg(F.collect_list(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("spans"))
+    return places.groupBy("t1", "t2").agg(F.collect_set(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, token: int = TOKEN) -> DataFrame:

@@ -64,15 +64,36 @@ def test_suffix_large_token_comes_apart(spark, monkeypatch):
     same(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3))
 
 
-def test_all_but_whole_copies_come_from_the_sort(spark, monkeypatch):
-    """With nothing sorted, only copies of whole texts go, and repeats that one reading task compares byte by byte."""
+def test_all_repeats_come_from_the_sort(spark, monkeypatch):
+    """With nothing sorted nothing goes: whole copies, repeats inside a batch and across batches are all found there."""
     shared = prose(22, 60)
-    texts = [prose(300 + i, 30) + shared + prose(400 + i, 30) for i in range(4)] + ["c" + shared] * 2
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6, "doc_id")
+    texts = [prose(300 + i, 30) + shared + prose(400 + i, 30) for i in range(4)] + ["c" + shared] * 2 + ["y" * 450]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    same(df)
     monkeypatch.setattr(suffix, "_sort_buckets", lambda span: lambda batches: iter(()))
+    assert {r.n_removed for r in suffix.remove_repeats(df).collect()} == {0}
     one_row_batches(monkeypatch)
-    gone = [r.n_removed for r in suffix.remove_repeats(df).orderBy("doc_id").collect()]
-    assert gone == [0, 0, 0, 0, len(texts[4]), len(texts[5])]
+    assert {r.n_removed for r in suffix.remove_repeats(df).collect()} == {0}
+
+
+def test_copies_only_are_cut_from_two_rows(spark, monkeypatch):
+    """Copies of one text alone: each run is cut from two rows, however many there are; suffixes of a large token too."""
+    df = spark.createDataFrame([(i, prose(41, 70)) for i in range(9)] + [(9, prose(42, 70))], "doc_id long, text string").repartition(4)
+    kept = []
+    whole = suffix.stored
+    monkeypatch.setattr(suffix, "stored", lambda found, label: kept.append((label, whole(found, label))) or kept[-1][1])
+    same(df)
+    rows = dict(kept)["suffix-bytes"].collect()
+    assert {len(v) for v in groups((r.seg, r.lo, r.copy) for r in rows).values()} == {2}
+    monkeypatch.setattr(suffix, "LARGE", 3)
+    same(df)
+
+
+def groups(rows):
+    out = collections.defaultdict(set)
+    for *key, value in rows:
+        out[tuple(key)].add(value)
+    return out
 
 
 def one_row_batches(monkeypatch):
