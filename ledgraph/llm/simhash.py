@@ -359,8 +359,11 @@ def shingle_links(texts: DataFrame, k: int = 5, least: float = 0.8, most: int =
     rarest = rarest.select("node", "n", F.explode(F.slice("found", F.lit(1), F.size("found") - F.col("shared") + 1)).alias("s")).select("node", "n", "s.hash")
     rarest = stored(rarest, "shingle-rarest")
     by_size = Window.partitionBy("hash").orderBy("n", "node")
-    chain = rarest.select("node", F.lag("node").over(by_size).alias("before"), (F.lag("n").over(by_size) >= F.col("n") * least - 1e-9).alias("near"))
-    labels = components(stored(chain.filter("near").select(F.col("node").alias("a"), F.col("before").alias("b")).distinct(), "shingle-candidates"))
+    near = F.coalesce(F.lag("n").over(by_size) >= F.col("n") * least - 1e-9, F.lit(False))
+    chain = rarest.select("hash", "n", "node", near.alias("near"))
+    head = F.last(F.when(~F.col("near"), F.col("node")), ignorenulls=True).over(by_size)  # stars instead of long paths
+    chain = chain.select("node", head.alias("head"), "near").filter("near").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    labels = components(stored(chain.distinct(), "shingle-candidates"))
     sets = labels.select("node", "label").unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
     sets = sets.join(rarest.select("node", "n").distinct(), "node")
     upto = F.sum(F.col("n").cast("long") + 100).over(Window.partitionBy("label").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1))
