@@ -468,3 +468,18 @@ def test_registered_language_and_toxicity_and_names_with_dots(spark, tmp_path, o
     dotted = docs.withColumn("a.b", F.col("doc_id")).limit(5)
     assert "a.b" in langid.identify(dotted, {"en": b"the"}).columns and langid.identify(dotted, {"en": b"the"}).count() == 5
     assert toxicity.score(dotted, toxicity.Network.new(np.zeros(0, np.uint64))).count() == 5
+
+
+def test_threshold_documents_are_not_learned_from(spark):
+    """No text is in both samples of the fit, though both classes have fewer rows than either bound; a null id only trains."""
+    docs = spark.createDataFrame([(i, f"word{i} more") for i in range(200)] + [(None, "without id")], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(coalesce(doc_id, 0) % 2) AS toxic")
+    learned = {w.decode() for w, _ in toxicity._sampled(docs, labels, 1500, 1, window_rows=True)}
+    judged = {r.text for r in toxicity._sampled(docs, labels, 1000, 2, window_rows=False).collect()}
+    assert not learned & judged and len(learned | judged) == 200 and 15 < len(judged) < 70
+
+
+def test_threshold_parts_the_classes():
+    logit, label = np.array([-3.0, -2.5, -2.0, -1.5, 1.5, 2.0, 2.5, 3.0]), np.array([0, 0, 0, 0, 1, 1, 1, 1])
+    assert -1.5 < toxicity._threshold(logit, label) < 1.5 and toxicity._threshold(logit, label) == toxicity._threshold(logit, label)
+    assert toxicity._threshold(np.array([0.0, 1.0]), np.array([0, 1])) == 0.5
