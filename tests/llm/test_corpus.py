@@ -356,18 +356,20 @@ def test_response_digest_is_checked(spark, tmp_path):
 
 
 def test_gradients():
-    net = toxicity.Network.new(np.array([5, 9], np.uint64), dim=3, hidden=2, attend=2)
+    net = toxicity.Network.new(np.array([5, 9], np.uint64), dim=3, hidden=2, attend=2, char=2)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     ids, buckets, counts = np.array([0, 1, 2]), np.array([1, 2, 3, 4]), np.array([1, 2, 1])
+    chars, sizes = np.frombuffer(b"abcadba" + b"abcd" * 5, np.uint8), np.array([3, 4, 20])  # the last one makes two pieces
     seq, mask = np.array([[0, 1], [2, 0], [1, 0]]), np.array([[1.0, 1.0], [1.0, 0.0], [1.0, 0.0]])
     label, each = np.array([1.0, 0.0]), np.ones(2)
 
     def loss():
-        logit = net.forward(net.embed(ids, buckets, counts).astype(np.float64), seq, mask)
+        logit = net.forward(net.embed(ids, buckets, counts, chars, sizes).astype(np.float64), seq, mask)
         p = 1 / (1 + np.exp(-logit))
         return float(-(label * np.log(p) + (1 - label) * np.log(1 - p)).mean())
 
-    g, _, _ = net.gradients(ids, buckets, counts, seq, mask, label, each)
+    g, _, _ = net.gradients(ids, buckets, counts, chars, sizes, seq, mask, label, each)
+    assert set(g) == set(net.p)
     for k in net.p:
         flat = net.p[k].ravel()
         for i in np.flatnonzero(g[k].ravel())[:4]:
@@ -380,31 +382,53 @@ def test_gradients():
             assert g[k].ravel()[i] == pytest.approx((up - down) / 2e-4, rel=0.05, abs=2e-4), k
 
 
+def plain_layer(p, level, x):
+    """A layer's vector of one sequence of inputs, step by step."""
+    size = p[f"{level}_hf"].shape[0]
+    s = lambda v: 1 / (1 + np.exp(-v))
+    states = np.zeros((len(x), 2 * size))
+    for k, d in enumerate("fb"):
+        h = np.zeros(size)
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            gx, gh = x[t] @ p[f"{level}_x{d}"] + p[f"{level}_c{d}"], h @ p[f"{level}_h{d}"]
+            r, z = s(gx[:size] + gh[:size]), s(gx[size : 2 * size] + gh[size : 2 * size])
+            h = z * h + (1 - z) * np.tanh(gx[2 * size :] + r * gh[2 * size :])
+            states[t, k * size : (k + 1) * size] = h
+    weight = np.exp(np.tanh(states @ p[f"{level}_attend"]) @ p[f"{level}_query"])
+    return (weight / weight.sum()) @ states
+
+
 def plain_score(net, text):
-    """The score of a text, window by window and step by step."""
+    """The score of a text, window by window, word by word and step by step."""
     raw = (text or "").encode()
     low, start, end, _, hashes = toxicity.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     if not len(start):
         return min(net.prior, 0.49)
-    p, size, best = net.p, net.p["hf"].shape[0], -np.inf
-    s = lambda x: 1 / (1 + np.exp(-x))
-    x = []
+    p, best, x = net.p, -np.inf, []
     for a, b, h in zip(start, end, hashes, strict=True):
         buckets, _ = toxicity.grams(low, np.array([a]), np.array([b]))
-        x.append(p["word"][net.word_ids(np.array([h]))[0]] + p["gram"][buckets].mean(axis=0))
+        many = -(-(b - a) // toxicity.PIECE)
+        cuts = [a + k * (b - a) // many for k in range(many + 1)]
+        spelled = np.mean([plain_layer(p, "chars", p["byte"][low[i:j]]) for i, j in zip(cuts, cuts[1:], strict=False)], axis=0)
+        x.append(np.concatenate((p["word"][net.word_ids(np.array([h]))[0]] + p["gram"][buckets].mean(axis=0), spelled)))
     for w in toxicity.window_starts(len(x)):
         own = x[w : w + toxicity.WINDOW]
-        states = np.zeros((len(own), 2 * size))
-        for k, d in enumerate("fb"):
-            h = np.zeros(size)
-            for t in range(len(own)) if d == "f" else range(len(own) - 1, -1, -1):
-                gx, gh = own[t] @ p[f"x{d}"] + p[f"c{d}"], h @ p[f"h{d}"]
-                r, z = s(gx[:size] + gh[:size]), s(gx[size : 2 * size] + gh[size : 2 * size])
-                h = z * h + (1 - z) * np.tanh(gx[2 * size :] + r * gh[2 * size :])
-                states[t, k * size : (k + 1) * size] = h
-        weight = np.exp(np.tanh(states @ p["attend"]) @ p["query"])
-        best = max(best, float((weight / weight.sum()) @ states @ p["out"] + p["bias"][0]))
-    return s(np.clip(best - net.shift, -30, 30))
+        best = max(best, float(plain_layer(p, "words", own) @ p["out"] + p["bias"][0]))
+    return 1 / (1 + np.exp(-np.clip(best - net.shift, -30, 30)))
+
+
+def test_pieces_cover_every_byte():
+    size = np.array([1, 15, 16, 17, 33, 1000])
+    first, length, word = toxicity.pieces(size)
+    assert length.max() <= toxicity.PIECE and np.array_equal(first, np.cumsum(length) - length) and length.sum() == size.sum()
+    assert np.bincount(word).tolist() == [1, 1, 1, 2, 3, 63]
+
+
+def test_order_of_characters_counts():
+    """Words of the same bytes in another order have other vectors."""
+    net = toxicity.Network.new(np.zeros(0, np.uint64))
+    x = net.spell(np.frombuffer(b"stopspotstop", np.uint8), np.array([4, 4, 4]))
+    assert np.allclose(x[0], x[2]) and np.abs(x[0] - x[1]).max() > 1e-3
 
 
 def test_windows_cover_and_overlap():
