@@ -431,6 +431,17 @@ def test_order_of_characters_counts():
     assert np.allclose(x[0], x[2]) and np.abs(x[0] - x[1]).max() > 1e-3
 
 
+def test_kept_word_vectors_change_no_score(monkeypatch):
+    """Scores of texts one by one, with the vectors of words met before and with room for few of them, equal those of each text alone."""
+    net = toxicity.Network.new(np.zeros(0, np.uint64))
+    texts = [prose(i % 7, 30 + 50 * i) for i in range(12)] + ["", None, "one", "one two"]
+    alone = [net.scores(pa.array([x]))[0] for x in texts]
+    for room in (300_000, 40, 0):
+        monkeypatch.setattr(toxicity, "KEPT_WORDS", room)
+        met = toxicity.WordVectors()
+        assert [net.scores(pa.array([x]), met)[0] for x in texts] == pytest.approx(alone, abs=1e-5) and len(met.hashes) <= room
+
+
 def test_windows_cover_and_overlap():
     for n in (0, 1, 64, 65, 100, 112, 113, 1000):
         s = toxicity.window_starts(n)
