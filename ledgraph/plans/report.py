@@ -42,14 +42,18 @@ def provenance(log: DataFrame) -> dict:
 
 
 def write_gate_report(log: DataFrame, path: str) -> str:
-    """Writes ``gate_table`` under ``path`` and returns the report as text: a few lines per baseline; the verdict stays blank."""
+    """Writes ``gate_table`` under ``path`` and returns the report as text: a block per baseline with its seeds and run ids; the verdict stays blank."""
     table = gate_table(log)
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # a few rows
     origin = provenance(log)
     support = parsed(log).select("n_train", "n_test", "n_test_illicit", "test_window").distinct().collect()
     lines = [f"commit {origin['git_commit']}, data {origin['data_snapshot_id']}"]
     lines += [f"train {r.n_train}, test {r.n_test} ({r.n_test_illicit} positive), steps {r.test_window}" for r in support]
-    lines += ["", "| baseline | seed | F1 | recall | AUC |", "| --- | --- | --- | --- | --- |"]
-    lines += [f"| {r.baseline} | {r.row} | {r.f1} | {r.recall} | {r.auc} |" for r in table.orderBy("baseline", "position").collect()]
-    lines += ["", "runs: " + ", ".join(r.run_id for r in log.select("run_id").orderBy("run_id").collect()), "verdict: "]
+    rows = table.orderBy("baseline", "position").collect()
+    runs = parsed(log).select("baseline", "run_id").orderBy("baseline", "run_id").collect()
+    for name in dict.fromkeys(r.baseline for r in rows):
+        lines += ["", "| baseline | seed | F1 | recall | AUC |", "| --- | --- | --- | --- | --- |"]
+        lines += [f"| {r.baseline} | {r.row} | {r.f1} | {r.recall} | {r.auc} |" for r in rows if r.baseline == name]
+        lines += ["", f"runs of {name}: " + ", ".join(r.run_id for r in runs if r.baseline == name)]
+    lines += ["", "runs: " + ", ".join(sorted(r.run_id for r in runs)), "verdict: "]
     return "\n".join(lines)

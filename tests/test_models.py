@@ -126,6 +126,15 @@ def test_log_contract(spark, tmp_path):
         runlog.assert_append_only(rows, rows.limit(0))
 
 
+def test_report_has_a_block_per_baseline(spark, tmp_path):
+    metrics = lambda b: json.dumps({"baseline": b, "illicit_f1": 0.5, "illicit_recall": 0.5, "illicit_auc": 0.5})
+    rows = [(f"{b}-{i}", i, metrics(b), "c", "d") for b in ("rf", "lr") for i in range(2)]
+    log = spark.createDataFrame(rows, "run_id string, seed int, metrics_json string, git_commit string, data_snapshot_id string")
+    text = report.write_gate_report(log, str(tmp_path / "report"))
+    assert text.index("| lr | 1 |") < text.index("runs of lr: lr-0, lr-1") < text.index("| rf | 0 |") < text.index("runs of rf: rf-0, rf-1")
+    assert text.count("| baseline |") == 2
+
+
 def test_summary_is_population_deviation(spark):
     values = [(0.807235142118863, 0.7211449676823638, 0.9396104585817158), (0.8024691358024691, 0.7202216066481995, 0.9386668673689945), (0.8078108941418294, 0.7257617728531855, 0.939811516344592)]
     rows = [(f"r{i}", i, json.dumps({"baseline": "rf", "illicit_f1": f, "illicit_recall": r, "illicit_auc": a})) for i, (f, r, a) in enumerate(values)]
