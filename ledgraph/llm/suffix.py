@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,6 +242,17 @@ def _adjacent(batches):
 # ---- the operator -----------------------------------------------------------------------------------------------
 
 
+def _united(found: Column) -> Column:
+    """An array of (first, last) with those that touch or overlap joined, so that a run repeated suffix by suffix is one entry."""
+
+    def step(done, m):
+        end = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(end["first"].alias("first"), F.greatest(end["last"], m["last"]).alias("last"))
+        return F.when(m["first"] <= end["last"] + 1, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(m)))
+
+    return F.aggregate(F.array_sort(found), F.slice(found, 1, 0), step)
+
+
 def text_id(text="text"):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
@@ -271,11 +282,12 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, token: int = TOKEN) -> Dat
     cut = stored(cut.mapInArrow(_cut(span, token), "lead binary, key long, seg long, seg2 long, t1 long, t2 long, lo long, copy long, first long, bytes binary"), "suffix-bytes")
     matched = cut.filter(F.length("lead") < span).repartitionByRange("lead").sortWithinPartitions("lead").mapInArrow(_sort_buckets(span), _MATCH)
     single = cut.filter(F.length("lead") == span).repartitionByRange("lead").sortWithinPartitions("lead", "t1", "t2", "lo", "copy").mapInArrow(_adjacent, _MATCH)
-    same = matched.unionByName(single).groupBy("key", "seg", "seg2").agg(F.collect_set(F.struct("first", "last")).alias("of"))
+    same = matched.unionByName(single).groupBy("key", "seg", "seg2").agg(_united(F.collect_set(F.struct("first", "last"))).alias("of"))
     same = stored(same, "suffix-matches")  # so that the join may split a very common run
-    places = found.join(same.hint("shuffle_hash"), ["key", "seg", "seg2"]).select("t1", "t2", "lo", F.explode("of").alias("m"))
-    places = places.select("t1", "t2", (F.col("lo") + F.col("m.first")).alias("lo"), (F.col("lo") + F.col("m.last")).alias("hi"))
-    return places.groupBy("t1", "t2").agg(F.collect_set(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("spans"))
+    # One row a run, whatever number of its suffixes is repeated.
+    own_spans = F.transform("of", lambda m: F.shiftleft(F.col("lo") + m["first"], 32).bitwiseOR(F.col("lo") + m["last"]))
+    places = found.join(same.hint("shuffle_hash"), ["key", "seg", "seg2"]).select("t1", "t2", own_spans.alias("spans"))
+    return places.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, token: int = TOKEN) -> DataFrame:

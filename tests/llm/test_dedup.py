@@ -110,6 +110,21 @@ def test_suffix_copies_that_no_task_sees_together(spark, monkeypatch):
     same(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
 
 
+def test_runs_of_a_large_token_come_back_whole(spark, monkeypatch):
+    """A passage whose suffixes are sorted one by one: each run is one match again, not one for each suffix."""
+    monkeypatch.setattr(suffix, "LARGE", 5)
+    shared = prose(26, 60)
+    df = spark.createDataFrame([(i, prose(700 + i, 30) + shared + prose(800 + i, 30)) for i in range(30)], "doc_id long, text string").repartition(3)
+    kept = {}
+    whole = suffix.stored
+    monkeypatch.setattr(suffix, "stored", lambda found, label: kept.setdefault(label, whole(found, label)))
+    same(df)
+    assert max(r.last - r.first for m in kept["suffix-matches"].collect() for r in m.of) > 20
+    assert {len(m.of) for m in kept["suffix-matches"].collect()} == {1}
+    odd = spark.sql("SELECT array(named_struct('first', 7L, 'last', 7L), named_struct('first', 1L, 'last', 5L), named_struct('first', 2L, 'last', 3L), named_struct('first', 6L, 'last', 6L), named_struct('first', 9L, 'last', 9L)) AS of")
+    assert [tuple(x) for x in odd.select(suffix._united(odd.of).alias("of")).first().of] == [(1, 7), (9, 9)]
+
+
 def test_suffix_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, prose(23, 90), "x", 2.5, 7), (2, prose(23, 90), "y", 1.5, 8), (3, None, None, None, None)], "doc_id long, text string, kept string, t1 double, n_removed int")
     left = suffix.without_repeats(df)
