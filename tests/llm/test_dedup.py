@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 
 from ledgraph.llm import components, sentences, simhash, suffix
-from ledgraph.llm.shared import whole_groups
+from ledgraph.llm.shared import FREED, stored, whole_groups
 
 from .conftest import prose
 
@@ -125,6 +126,17 @@ def test_runs_of_a_large_token_come_back_whole(spark, monkeypatch):
     assert [tuple(x) for x in odd.select(suffix._united(odd.of).alias("of")).first().of] == [(1, 7), (9, 9)]
 
 
+def test_shuffle_files_go_when_a_frame_is_stored(spark):
+    """A stored frame leaves no shuffle file behind, and the session's setting as it was."""
+    local = pathlib.Path(spark.conf.get("spark.local.dir"))
+    held = lambda: sum(x.stat().st_size for x in local.rglob("shuffle_*.data"))
+    setting = spark.conf.get(FREED, None)
+    df = spark.range(200_000).selectExpr("id", "sha2(string(id), 256) AS h").repartition(7, "h")
+    before = held()
+    assert stored(df, "test-freed").count() == 200_000
+    assert held() - before < 1_000_000 and spark.conf.get(FREED, None) == setting
+
+
 def test_suffix_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, prose(23, 90), "x", 2.5, 7), (2, prose(23, 90), "y", 1.5, 8), (3, None, None, None, None)], "doc_id long, text string, kept string, t1 double, n_removed int")
     left = suffix.without_repeats(df)
