@@ -217,7 +217,7 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(batches):
-    """_row and node (hash of the word sequence) of the texts with a word."""
+    """_row, node (hash of the word sequence) and fp (``fingerprint``) of the texts with a word."""
     for batch in batches:
         h, row = _word_hashes(batch.column("text"))
         many = np.bincount(row, minlength=batch.num_rows)
@@ -225,7 +225,9 @@ def _nodes(batches):
         first = np.cumsum(many) - many
         place = np.arange(len(h)) - np.repeat(first, many)
         node = np.add.reduceat(mixed(h + mixed(place.astype(np.uint64) + np.uint64(1))), first[full]) if len(full) else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(full)), pa.array(node.view(np.int64))], ["_row", "node"])
+        texts = batch.column("text").take(pa.array(full))
+        fp = np.array([fingerprint(t) for t in map(pa.StringScalar.as_py, texts)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(full)), pa.array(node.view(np.int64)), pa.array(fp)], ["_row", "node", "fp"])
 
 
 def _shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -337,7 +339,26 @@ def common_shingles(few: DataFrame, n: int, k: int, least: float) -> DataFrame:
     return stored(found.filter(F.col("c") > max(1, n // COMMON)).select("hash", F.lit(True).alias("common")), "shingle-common")
 
 
-def shingle_links(texts: DataFrame, k: int = 5, least: float = 0.8, most: int = BLOCK, common: DataFrame | None = None) -> DataFrame:
+def print_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the nodes (node, fp) whose fingerprints differ in three bits or fewer, by ``links``; those of one fingerprint by their least."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "print-heads")
+    near = stored(links(heads), "print-links")
+    first, second = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in ("a", "b"))
+    across = near.join(first, "a").join(second, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    within = nodes.join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return across.unionByName(within)
+
+
+def shingle_candidates(rarest: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that connect the nodes which meet in one of their rarest shingles (hash, n, node) and differ little enough in size."""
+    by_size = Window.partitionBy("hash").orderBy("n", "node")
+    near = F.coalesce(F.lag("n").over(by_size) >= F.col("n") * least - 1e-9, F.lit(False))
+    chain = rarest.select("hash", "n", "node", near.alias("near"))
+    head = F.last(F.when(~F.col("near"), F.col("node")), ignorenulls=True).over(by_size)  # stars instead of long paths
+    return chain.select("node", head.alias("head"), "near").filter("near").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+
+
+def shingle_links(texts: DataFrame, k: int = 5, least: float = 0.8, most: int = BLOCK, common: DataFrame | None = None, also: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that connect exactly the nodes of ``texts`` (node, text; each node once) with sets of ``k``-word shingles of similarity ``least`` or more.
 
     Exact: each text gives about three tenths of its shingles, the least by hash, of which two similar texts share about
@@ -349,6 +370,8 @@ def shingle_links(texts: DataFrame, k: int = 5, least: float = 0.8, most: int =
 
     How rare a shingle is only has to put all shingles in one order. Those of ``common`` (hash, common), which surely
     occur twice, come last in it without being counted, so their rows needn't meet; results don't depend on what it holds.
+
+    The pairs (a, b) of ``also``, those of ``print_candidates``, are candidates too, but for texts that are similar to none.
     """
     sampled = texts.mapInArrow(_samples(k, least), "hash long, node long, n int, shared int")
     sampled = sampled.withColumn("common", F.lit(False)) if common is None else sampled.join(common, "hash", "left")
@@ -358,12 +381,8 @@ def shingle_links(texts: DataFrame, k: int = 5, least: float = 0.8, most: int =
     rarest = met.groupBy("node").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.sort_array(F.collect_list(F.struct("c", "hash"))).alias("found")).filter(F.size("found") >= F.col("shared"))
     rarest = rarest.select("node", "n", F.explode(F.slice("found", F.lit(1), F.size("found") - F.col("shared") + 1)).alias("s")).select("node", "n", "s.hash")
     rarest = stored(rarest, "shingle-rarest")
-    by_size = Window.partitionBy("hash").orderBy("n", "node")
-    near = F.coalesce(F.lag("n").over(by_size) >= F.col("n") * least - 1e-9, F.lit(False))
-    chain = rarest.select("hash", "n", "node", near.alias("near"))
-    head = F.last(F.when(~F.col("near"), F.col("node")), ignorenulls=True).over(by_size)  # stars instead of long paths
-    chain = chain.select("node", head.alias("head"), "near").filter("near").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    labels = components(stored(chain.distinct(), "shingle-candidates"))
+    met_in = shingle_candidates(rarest, least)
+    labels = components(stored(met_in if also is None else met_in.unionByName(also), "shingle-candidates"))
     sets = labels.select("node", "label").unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
     sets = sets.join(rarest.select("node", "n").distinct(), "node")
     upto = F.sum(F.col("n").cast("long") + 100).over(Window.partitionBy("label").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1))
@@ -379,23 +398,25 @@ def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of smallest doc_id; all columns.
 
     Texts with equal word sequences are one node. Nodes whose sets of ``k``-word shingles have a similarity
-    (intersection by union) of ``least`` or more are linked (``shingle_links``, exact), and groups are connected over links.
+    (intersection by union) of ``least`` or more are linked, and groups are connected over links. What may be linked comes
+    from the fingerprints within three bits of each other, found by anchor points (``print_candidates``), and from rare
+    shingles that texts have in common (``shingle_links``); an exact comparison follows for both.
 
     Exactly one row of a group stays, also where rows repeat a doc_id or have none; null ids come last. Documents
     without a word, null ones too, are no copies of each other and stay. An empty table gives none. Columns, and what
     they hold, as in ``docs``, whatever their names.
 
-    Not by fingerprints: at a similarity of 0.8 they differ in about ten of 64 bits, so those within 3 bits miss most.
+    Fingerprints alone would miss many: at a similarity of 0.8 they differ in about ten of 64 bits. The shingles provide for these.
     """
     rows = stored(packed(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "shingle-rows")
     texts = rows.select("_row", F.col("text").cast("string").alias("text"))
-    prints = stored(texts.mapInArrow(_nodes, "_row long, node long"), "shingle-prints")
+    prints = stored(texts.mapInArrow(_nodes, "_row long, node long, fp long"), "shingle-prints")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
-    nodes = stored(prints.join(rows.select("_row", "doc_id"), "_row").groupBy("node").agg(F.min(rank).alias("least")), "shingle-nodes")
+    nodes = stored(prints.join(rows.select("_row", "doc_id"), "_row").groupBy("node").agg(F.min(rank).alias("least"), F.min("fp").alias("fp")), "shingle-nodes")
     unique = texts.join(nodes.select("node", F.col("least._row").alias("_row")).hint("shuffle_hash"), "_row").select("node", "text")
     few = nodes.filter(F.pmod("node", F.lit(ONE_IN)) == 0).select("node", F.col("least._row").alias("_row"))
     common = common_shingles(texts.join(few, "_row").select("node", "text"), few.count(), k, least)
-    labels = components(stored(shingle_links(unique, k, least, common=common), "shingle-links"))
+    labels = components(stored(shingle_links(unique, k, least, common=common, also=print_candidates(nodes.select("node", "fp"))), "shingle-links"))
     labelled = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     first = labelled.groupBy("label").agg(F.min("least").alias("kept"))
     kept = labelled.join(first, "label").select("node", F.col("kept._row").alias("kept"))

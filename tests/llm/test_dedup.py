@@ -397,6 +397,20 @@ def test_one_of_each_repeated_rows_and_null_ids(spark):
     assert {r.doc_id: len(r.text) > 900 for r in kept} == {None: True, 1: True, 5: True}
 
 
+def test_fingerprints_propose_near_duplicates(spark, monkeypatch):
+    """Without what shingles propose, fingerprints within three bits still lead to the comparison; pairs that fail it stay apart."""
+    nothing = lambda rarest, least: rarest.selectExpr("node AS a", "node AS b").limit(0)
+    monkeypatch.setattr(simhash, "shingle_candidates", nothing)
+    texts = [prose(9000 + i // 2, 600) + (f" end{i}" if i % 2 else "") for i in range(12)] + ["one two three", prose(9100, 500), "a " * 20 + "b", "a " * 40 + "b"]
+    near = {i for i in range(0, 12, 2) if bin(plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[i + 1])).count("1") <= 3}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len(near) >= 4
+    label = brute_groups(texts)
+    assert all(label[i] == label[i + 1] for i in near)
+    kept = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert set(range(16)) - kept == {i + 1 for i in near} | ({15} if label[15] == label[14] else set())
+
+
 def test_one_of_each_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, prose(74, 60), "x", 5), (2, prose(74, 60), "y", 6)], "doc_id long, text string, node string, _row int")
     assert [tuple(r) for r in simhash.one_of_each(df).collect()] == [(1, prose(74, 60), "x", 5)]
