@@ -514,6 +514,29 @@ def test_threshold_documents_are_not_learned_from(spark):
     assert not learned & judged and len(learned | judged) == 200 and 15 < len(judged) < 70
 
 
+def test_fit_learns_from_every_labelled_document(spark, monkeypatch):
+    """More documents than the weights are begun with: words of all are counted, all windows learned from, all tuning documents judged."""
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 5)
+    monkeypatch.setattr(toxicity, "DEAL_WINDOWS", 60)
+    monkeypatch.setattr(toxicity, "HELD_WINDOWS", 50)
+    docs = spark.createDataFrame([(i, prose(i, 90) + (" vile" if i % 3 == 0 else " mild")) for i in range(300)], "doc_id long, text string").repartition(4)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS toxic")
+    learned, threshold, seen = toxicity.learned, toxicity._threshold, {}
+
+    def spied(net, windows, n, toxic):
+        before = {k: v.copy() for k, v in net.p.items()}
+        seen.update(rows=windows.count(), n=n, read=learned(net, windows, n, toxic), words=len(net.vocabulary), moved=[k for k, v in net.p.items() if not np.array_equal(v, before[k])])
+
+    monkeypatch.setattr(toxicity, "learned", spied)
+    monkeypatch.setattr(toxicity, "_threshold", lambda s, y, many: seen.update(tuned=int(many.sum())) or threshold(s, y, many))
+    net = toxicity.fit(docs, labels, epochs=1)
+    tuned = labels.filter(toxicity.tuning(F.col("doc_id"))).count()
+    assert seen["tuned"] == tuned > 10 and seen["rows"] == seen["n"] == seen["read"] == 2 * (300 - tuned)
+    assert seen["words"] >= 2 and set(seen["moved"]) == set(net.p)
+    again = toxicity.fit(docs.repartition(2), labels, epochs=1)
+    assert again.shift == pytest.approx(net.shift, abs=1e-6) and all(np.allclose(v, again.p[k], atol=1e-6) for k, v in net.p.items())
+
+
 def test_threshold_parts_the_classes():
     logit, label = np.array([-3.0, -2.5, -2.0, -1.5, 1.5, 2.0, 2.5, 3.0]), np.array([0, 0, 0, 0, 1, 1, 1, 1])
     assert -1.5 < toxicity._threshold(logit, label) < 1.5 and toxicity._threshold(logit, label) == toxicity._threshold(logit, label)
