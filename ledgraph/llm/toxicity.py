@@ -39,10 +39,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(bytes in lower case, start, end, row, hash) of every word; ASCII marks at its ends come off, but for the last byte of a word of marks only."""
     low = LOWER[data]
     start, end, row = words(low, offsets)
-    inner = np.flatnonzero(~MARKS[low])
+    inside = ~MARKS[low]
+    inner = np.flatnonzero(inside)
     if len(inner) and len(start):
-        first = inner[np.minimum(np.searchsorted(inner, start), len(inner) - 1)]
-        last = inner[np.maximum(np.searchsorted(inner, end) - 1, 0)]
+        before = np.append(0, np.cumsum(inside))
+        first = inner[np.minimum(before[start], len(inner) - 1)]
+        last = inner[np.maximum(before[end] - 1, 0)]
         some = (first >= start) & (first < end)
         start, end = np.where(some, first, end - 1), np.where(some, last + 1, end)
     else:
@@ -50,6 +52,17 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, start, end, row, span_hash(prefix_sums(low), start, end)
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, place of the first of each, place of each among them), by Arrow's hash table."""
+    coded = pa.array(hashes).dictionary_encode()
+    own, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    first, rank = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+    first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
+    order = np.argsort(own)
+    rank[order] = np.arange(len(own))
+    return own[order], first[order], rank[at]
+
+
 def grams(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte n-grams of words, the first ones told apart, one word after another; and each word's count (one at least)."""
     sums = prefix_sums(low)
@@ -95,74 +108,100 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows that share a place, of ``n`` places."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    if len(at):
-        order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))
-        out[at[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+    at, out = at.astype(np.intp), np.empty((n, rows.shape[1]), rows.dtype)
+    for k in range(rows.shape[1]):
+        out[:, k] = np.bincount(at, rows[:, k], n)
     return out
 
 
-def encode(p: dict, level: str, x: np.ndarray, seq: np.ndarray, mask: np.ndarray, keep: bool = False):
+def gated(p: dict, level: str, x: np.ndarray) -> list[np.ndarray]:
+    """What the inputs ``x`` add to a layer's gates each way, those of sigmoids halved: sigmoid(a) is tanh(a / 2) / 2 + 1 / 2."""
+    half = np.repeat(np.float32([0.5, 0.5, 1]), p[f"{level}_hf"].shape[0])
+    return [x @ (p[f"{level}_x{d}"] * half) + p[f"{level}_c{d}"] * half for d in "fb"]
+
+
+def encode(p: dict, level: str, x: np.ndarray, seq: np.ndarray, mask: np.ndarray, keep: bool = False, gates: list[np.ndarray] | None = None):
     """A vector per row of a bidirectional gated recurrent layer with attention pooling over its states, and what ``encode_back`` needs.
 
-    x: a row per distinct symbol; seq, mask: (step, row). ``level`` begins the names of the layer's parameters.
+    x: a row per distinct symbol; seq, mask: (step, row). ``level`` begins the names of the layer's parameters; ``gates`` is
+    what ``gated`` makes of x, if it is known. Inside, rows lie the last axis, so that gates are whole blocks, and both directions take a step at once: the k-th from their own end.
     """
     steps, n = seq.shape
     size = p[f"{level}_hf"].shape[0]
-    states = np.empty((steps, n, 2 * size), np.float32)
-    memo = {}
-    for k, d in enumerate("fb"):
-        gates = x @ p[f"{level}_x{d}"] + p[f"{level}_c{d}"]
-        h = np.zeros((n, size), np.float32)
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            gx, gh = gates[seq[t]], h @ p[f"{level}_h{d}"]
-            rz = sigmoid(gx[:, : 2 * size] + gh[:, : 2 * size])
-            r, z = rz[:, :size], rz[:, size:]
-            new = np.tanh(gx[:, 2 * size :] + r * gh[:, 2 * size :])
-            old = h
-            h = old + mask[t][:, None] * (1 - z) * (new - old)
-            states[t, :, k * size : (k + 1) * size] = h
-            if keep:
-                memo[d, t] = (old, r, z, new, gh[:, 2 * size :])
-    look = np.tanh(states @ p[f"{level}_attend"])
-    score = np.where(mask > 0, look @ p[f"{level}_query"], -np.float32(1e9))
+    gates = gates or gated(p, level, x)
+    half = np.repeat(np.float32([0.5, 0.5, 1]), size)
+    hidden = np.stack([(p[f"{level}_h{d}"] * half).T for d in "fb"])
+    states = np.empty((steps, 2 * size, n), gates[0].dtype)
+    masks = None if mask.all() else np.stack((mask, mask[::-1]), axis=1)[:, :, None].astype(states.dtype)
+    h, gx, memo = np.zeros((2, size, n), states.dtype), np.empty((2, 3 * size, n), states.dtype), []
+    for t in range(steps):
+        gx[0] = np.take(gates[0], seq[t], axis=0).T
+        gx[1] = np.take(gates[1], seq[steps - 1 - t], axis=0).T
+        gh = hidden @ h
+        rz = gx[:, : 2 * size] + gh[:, : 2 * size]
+        np.tanh(rz, out=rz)
+        rz *= 0.5
+        rz += 0.5
+        r, z = rz[:, :size], rz[:, size:]
+        new = r * gh[:, 2 * size :]
+        new += gx[:, 2 * size :]
+        np.tanh(new, out=new)
+        move = new - h
+        move *= 1 - z
+        if masks is not None:
+            move *= masks[t]
+        if keep:
+            memo.append((h, r, z, new, gh[:, 2 * size :]))
+        h = h + move
+        states[t, :size], states[steps - 1 - t, size:] = h
+    look = np.tanh(p[f"{level}_attend"].T @ states)
+    score = np.einsum("a,tan->tn", p[f"{level}_query"], look)
+    if masks is not None:
+        score = np.where(mask > 0, score, -np.float32(1e9))
     weight = np.exp(score - score.max(axis=0))
     weight /= weight.sum(axis=0)
-    pooled = np.einsum("tn,tnc->nc", weight, states)
-    return (pooled, (x, seq, mask, states, look, weight, memo)) if keep else pooled
+    pooled = np.einsum("tn,tcn->cn", weight, states).T
+    return (pooled, (x, seq, masks, states, look, weight, memo)) if keep else pooled
 
 
 def encode_back(p: dict, level: str, kept: tuple, dpool: np.ndarray, g: dict) -> np.ndarray:
     """The gradient by x of ``encode``, given that by its vectors; those by the layer's parameters are put into ``g``."""
-    x, seq, mask, states, look, weight, memo = kept
-    size = p[f"{level}_hf"].shape[0]
-    dstates = weight[:, :, None] * dpool
-    dweight = np.einsum("nc,tnc->tn", dpool, states)
+    x, seq, masks, states, look, weight, memo = kept
+    steps, size = len(seq), p[f"{level}_hf"].shape[0]
+    dpool = np.ascontiguousarray(dpool.T)
+    dweight = np.einsum("cn,tcn->tn", dpool, states)
     dscore = weight * (dweight - (weight * dweight).sum(axis=0))
-    g[f"{level}_query"] = np.einsum("tn,tna->a", dscore, look)
-    dlook = dscore[:, :, None] * p[f"{level}_query"] * (1 - look**2)
-    g[f"{level}_attend"] = np.einsum("tnc,tna->ca", states, dlook)
-    dstates += dlook @ p[f"{level}_attend"].T
-    dx = np.zeros_like(x)
+    g[f"{level}_query"] = np.einsum("tn,tan->a", dscore, look)
+    dlook = dscore[:, None] * p[f"{level}_query"][:, None] * (1 - look**2)
+    g[f"{level}_attend"] = (states @ dlook.transpose(0, 2, 1)).sum(axis=0)
+    dstates = weight[:, None] * dpool
+    dstates += p[f"{level}_attend"] @ dlook
+    hidden = np.stack([p[f"{level}_h{d}"] for d in "fb"])
+    back = np.zeros((2, size, seq.shape[1]), states.dtype)
+    dgh, dh_ = np.empty((2, 3 * size, seq.shape[1]), states.dtype), np.zeros_like(hidden)
+    every = np.empty((6 * size, *seq.shape), states.dtype)
+    for t in range(steps - 1, -1, -1):
+        old, r, z, new, ghn = memo[t]
+        back[0] += dstates[t, :size]
+        back[1] += dstates[steps - 1 - t, size:]
+        moved = back * (1 - z)
+        if masks is not None:
+            moved *= masks[t]
+        back -= moved
+        dnew = moved * (1 - new * new)
+        dgh[:, :size] = dnew * ghn * r * (1 - r)
+        dgh[:, size : 2 * size] = moved * (old - new) * z
+        dgh[:, 2 * size :] = dnew
+        every[: 3 * size, t], every[3 * size :, steps - 1 - t] = dgh
+        dgh[:, 2 * size :] *= r
+        dh_ += old @ dgh.transpose(0, 2, 1)
+        back += hidden @ dgh
+    dgates = summed(seq.ravel(), every.reshape(6 * size, -1).T, len(x))
+    dx = 0
     for k, d in enumerate("fb"):
-        back = np.zeros((seq.shape[1], size), np.float32)
-        every = np.empty((*seq.shape, 3 * size), np.float32)
-        dh_ = np.zeros_like(p[f"{level}_h{d}"])
-        for t in range(len(seq) - 1, -1, -1) if d == "f" else range(len(seq)):
-            old, r, z, new, ghn = memo[d, t]
-            dh = dstates[t, :, k * size : (k + 1) * size] + back
-            m = mask[t][:, None]
-            dnew = dh * m * (1 - z) * (1 - new**2)
-            dz = dh * m * (old - new) * z * (1 - z)
-            dr = dnew * ghn * r * (1 - r)
-            dgh = np.concatenate((dr, dz, dnew * r), axis=1)
-            every[t] = np.concatenate((dr, dz, dnew), axis=1)
-            dh_ += old.T @ dgh
-            back = dh * (1 - m * (1 - z)) + dgh @ p[f"{level}_h{d}"].T
-        dgates = summed(seq.ravel(), every.reshape(-1, 3 * size), len(x))
-        g[f"{level}_h{d}"], g[f"{level}_x{d}"], g[f"{level}_c{d}"] = dh_, x.T @ dgates, dgates.sum(axis=0)
-        dx += dgates @ p[f"{level}_x{d}"].T
+        own = dgates[:, k * 3 * size : (k + 1) * 3 * size]
+        g[f"{level}_h{d}"], g[f"{level}_x{d}"], g[f"{level}_c{d}"] = dh_[k], x.T @ own, own.sum(axis=0)
+        dx = dx + own @ p[f"{level}_x{d}"].T
     return dx
 
 
@@ -170,25 +209,26 @@ class WordTable:
     """The distinct words of some texts with their n-grams and bytes, and the texts' tokens as places among them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        hashes, rows, known, buckets, counts, spelled, sizes = [], [], [np.zeros(0, np.uint64)], [], [], [], []
+        at, rows, known, buckets, counts, spelled, sizes = [], [], np.zeros(0, np.uint64), [], [], [], []
         for i, j in parts(offsets, 1 << 20):
             low, start, end, row, h = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            own, place = np.unique(h, return_index=True)
-            new = ~np.isin(own, known[0])
-            b, c = grams(low, start[place[new]], end[place[new]]) if new.any() else (np.zeros(0, np.int64),) * 2
+            own, place, of = distinct(h)
+            order = np.argsort(known, kind="stable")
+            near = np.minimum(np.searchsorted(known, own, sorter=order), len(known) - 1)
+            new = known[order[near]] != own if len(known) else np.ones(len(own), np.bool_)
             own_bytes, size = letters(low, start[place[new]], end[place[new]])
-            known[0] = np.concatenate((known[0], own[new]))
-            for x, v in ((hashes, h), (rows, row + i), (buckets, b.astype(np.int32)), (counts, c), (spelled, own_bytes), (sizes, size)):
+            b, c = grams(own_bytes, np.cumsum(size) - size, np.cumsum(size)) if new.any() else (np.zeros(0, np.int64),) * 2
+            where = len(known) + np.cumsum(new) - 1
+            where[~new] = order[near[~new]]
+            known = np.concatenate((known, own[new]))
+            for x, v in ((at, where[of].astype(np.int32)), (rows, row + i), (buckets, b.astype(np.int32)), (counts, c), (spelled, own_bytes), (sizes, size)):
                 x.append(v)
         whole = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.row, self.hashes = whole(rows, np.int64), known[0]
+        self.row, self.hashes, self.tokens = whole(rows, np.int64), known, whole(at, np.int32)
         self.buckets, self.counts = whole(buckets, np.int32), whole(counts, np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
         self.letters, self.sizes = whole(spelled, np.uint8), whole(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
-        order = np.argsort(self.hashes, kind="stable")
-        h = whole(hashes, np.uint64)
-        self.tokens = order[np.searchsorted(self.hashes, h, sorter=order)].astype(np.int32) if len(h) else np.zeros(0, np.int32)
 
     def grams_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.counts[at]
@@ -256,7 +296,7 @@ class Network:
         at = np.minimum(np.searchsorted(v, hashes), len(v) - 1)
         return np.where(v[at] == hashes, at, len(v))
 
-    def spell(self, chars: np.ndarray, sizes: np.ndarray, keep: bool = False, batch: int = 2048):
+    def spell(self, chars: np.ndarray, sizes: np.ndarray, keep: bool = False, batch: int = 1024):
         """The character layer's vector per word, the mean over its pieces; with ``keep``, also what ``gradients`` needs."""
         first, length, word = pieces(sizes)
         share = (1 / np.bincount(word, minlength=len(sizes))[word]).astype(np.float32)[:, None]
@@ -281,9 +321,9 @@ class Network:
         """The word layer's input per distinct word: ``known`` beside ``spell``."""
         return np.concatenate((self.known(ids, buckets, counts), self.spell(chars, sizes)), axis=1)
 
-    def forward(self, x: np.ndarray, seq: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Logits of windows. x: a row per distinct word; seq, mask: (step, window)."""
-        return encode(self.p, "words", x, seq, mask) @ self.p["out"] + self.p["bias"]
+    def forward(self, x: np.ndarray, seq: np.ndarray, mask: np.ndarray, gates: list[np.ndarray] | None = None) -> np.ndarray:
+        """Logits of windows. x: a row per distinct word; seq, mask: (step, window); ``gates``: as in ``encode``."""
+        return encode(self.p, "words", x, seq, mask, gates=gates) @ self.p["out"] + self.p["bias"]
 
     def gradients(self, ids, buckets, counts, chars, sizes, seq, mask, label, weight_of):
         """(gradient of every parameter, loss, probability of each window). ``weight_of``: a weight for each window, or what makes them of the probabilities."""
@@ -320,15 +360,17 @@ class Network:
         r = np.random.default_rng(seed)
         toxic = label.mean() if toxic is None else toxic
         balance = np.where(label > 0, 0.5 / max(toxic, 1e-3), 0.5 / max(1 - toxic, 1e-3)).astype(np.float32)
-        m, v, step, losses = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0, []
+        m, v, a, b = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(4))
+        step, losses = 0, []
         total = epochs * -(-len(label) // batch)
         for epoch in range(epochs):
             order, lost = r.permutation(len(label)), []
             for i in range(0, len(label), batch):
                 w = order[i : i + batch]
                 seq, mask = padded(first[w], count[w])
-                used, at = np.unique(words_.tokens[seq], return_inverse=True)
-                at = at.reshape(seq.shape)
+                met = np.zeros(len(words_.hashes), np.bool_)
+                met[words_.tokens[seq]] = True
+                used, at = np.flatnonzero(met), (np.cumsum(met) - 1)[words_.tokens[seq]]
                 ids = self.word_ids(words_.hashes[used])
                 ids = np.where(r.random(len(ids)) < drop, len(self.vocabulary), ids)  # so that n-grams and characters are learned too
                 spelled = *words_.grams_of(used), *words_.letters_of(used)
@@ -339,23 +381,28 @@ class Network:
                 step += 1
                 lr = rate * min(1.0, 4 * (1 - step / (total + 1)))
                 for k, x in self.p.items():
-                    d = np.clip(g[k], -1, 1) + decay * x
-                    m[k] += 0.1 * (d - m[k])
-                    v[k] += 0.01 * (d * d - v[k])
-                    x -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    d = np.clip(g[k], -1, 1, out=a[k])
+                    if decay:
+                        d += decay * x
+                    m[k] += np.multiply(np.subtract(d, m[k], out=b[k]), 0.1, out=b[k])
+                    d *= d
+                    v[k] += np.multiply(np.subtract(d, v[k], out=b[k]), 0.01, out=b[k])
+                    d = np.sqrt(np.multiply(v[k], 1 / (1 - 0.99**step), out=d), out=d)
+                    d += 1e-8
+                    x -= np.multiply(np.divide(m[k], d, out=d), lr / (1 - 0.9**step), out=d)
             losses.append(float(np.mean(lost)))
         return losses
 
-    def window_logits(self, data: np.ndarray, offsets: np.ndarray, met: WordVectors | None = None, batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    def window_logits(self, data: np.ndarray, offsets: np.ndarray, met: WordVectors | None = None, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """(row, logit) of all overlapping windows of whole texts."""
         low, start, end, row, hashes = tokens(data, offsets)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        used, place, at = np.unique(hashes, return_index=True, return_inverse=True)
+        used, place, at = distinct(hashes)
 
         def embed(new):
-            span = low, start[place[new]], end[place[new]]
-            return self.embed(self.word_ids(used[new]), *grams(*span), *letters(*span))
+            own, size = letters(low, start[place[new]], end[place[new]])
+            return self.embed(self.word_ids(used[new]), *grams(own, np.cumsum(size) - size, np.cumsum(size)), own, size)
 
         x = (met or WordVectors()).of(used, embed)
         many = np.bincount(row, minlength=len(offsets) - 1)
@@ -365,11 +412,11 @@ class Network:
         owner = row[first]
         count = np.minimum(WINDOW, before[owner] + many[owner] - first)
         order = np.argsort(count, kind="stable")  # short windows together
-        out = np.empty(len(first), np.float32)
+        out, gates = np.empty(len(first), np.float32), gated(self.p, "words", x)
         for i in range(0, len(first), batch):
             w = order[i : i + batch]
             seq, mask = padded(first[w], count[w])
-            out[w] = self.forward(x, at[seq], mask)
+            out[w] = self.forward(x, at[seq], mask, gates)
         return owner, out
 
     def scores(self, column: pa.Array, met: WordVectors | None = None) -> np.ndarray:
@@ -401,14 +448,23 @@ def tuning(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(doc_id.cast("string"), F.lit(3)), F.lit(TUNE_ONE_IN)) == 0, F.lit(False))
 
 
-def _labelled(labels: DataFrame, tune: bool) -> DataFrame:
-    """doc_id and toxic of the labelled documents that set the threshold, or of those that are learned from."""
-    side = tuning(F.col("doc_id")) if tune else ~tuning(F.col("doc_id"))
-    return labels.filter(F.col("toxic").isNotNull() & side).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def _texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of the labelled documents. Labels may be too many to be sent to each task, so both sides are dealt by id."""
+    known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "toxic", "text")
+
+
+def _side(texts: DataFrame, tune: bool) -> DataFrame:
+    """The labelled documents that set the threshold, or those that are learned from."""
+    return texts.filter(tuning(F.col("doc_id")) if tune else ~tuning(F.col("doc_id")))
 
 
-def _texts(docs: DataFrame, known: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").join(known, "doc_id").select("toxic", F.col("text").cast("string").alias("text"))
+def _share(texts: DataFrame, per_class: int, salt: int) -> DataFrame:
+    """About ``per_class`` documents of each class at most, chosen by hash of doc_id."""
+    share = F.lit(0)
+    for k, n in ((r[0], r[1]) for r in texts.groupBy("toxic").count().collect()):
+        share = F.when(F.col("toxic") == k, F.lit(min(1_000_003, int(1_000_003 * per_class / n) + 1))).otherwise(share)
+    return texts.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(salt)), F.lit(1_000_003)) < share)
 
 
 def _windows(batches):
@@ -422,29 +478,27 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32())], ["window", "toxic"])
 
 
+def _windows_of(texts: DataFrame) -> DataFrame:
+    return texts.select("toxic", "text").mapInArrow(_windows, "window binary, toxic int")
+
+
 def _sampled(docs: DataFrame, labels: DataFrame, per_class: int | None, salt: int, window_rows: bool):
-    """(window, toxic) of about ``per_class`` labelled documents of each class at most (None: all), chosen by hash of doc_id; else (toxic, text) of tuning documents."""
-    known = _labelled(labels, not window_rows)
-    if per_class is not None:
-        share = F.lit(0)
-        for k, n in ((r[0], r[1]) for r in known.groupBy("toxic").count().collect()):
-            share = F.when(F.col("toxic") == k, F.lit(min(1_000_003, int(1_000_003 * per_class / n) + 1))).otherwise(share)
-        h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(salt)), F.lit(1_000_003))
-        known = F.broadcast(known.filter(h < share))  # bounded by per_class
-    rows = _texts(docs, known)
-    if not window_rows:
-        return rows
-    return sorted(((bytes(r.window), r.toxic) for r in rows.mapInArrow(_windows, "window binary, toxic int").collect()))
+    """What ``fit`` takes of a side: (window, toxic) of about ``per_class`` documents of each class (None: all); else (toxic, text) of tuning documents."""
+    texts = _side(_texts(docs, labels), not window_rows)
+    texts = texts if per_class is None else _share(texts, per_class, salt)
+    return sorted((bytes(r.window), r.toxic) for r in _windows_of(texts).collect()) if window_rows else texts.select("toxic", "text")
 
 
 def _word_counts(batches):
     """Hashes of words, and the windows of a batch that hold each."""
     for batch in batches:
-        own = WordTable(*flat(batch.column("window")))
-        if len(own.tokens):
-            pairs = np.unique(own.row * len(own.hashes) + own.tokens)
-            often = np.bincount(pairs % len(own.hashes), minlength=len(own.hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(own.hashes.view(np.int64)), pa.array(often)], ["word", "windows"])
+        _, _, _, row, hashes = tokens(*flat(batch.column("window")))
+        if len(hashes):
+            own, _, place = distinct(hashes)
+            pairs = np.sort(row * len(own) + place)
+            pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+            often = np.bincount(pairs % len(own), minlength=len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(often)], ["word", "windows"])
 
 
 def vocabulary(windows: DataFrame) -> np.ndarray:
@@ -454,6 +508,32 @@ def vocabulary(windows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
 
 
+def _joined(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
+def _parted(values: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The opposite of ``_joined``, in the forms of ``p``."""
+    ends = np.cumsum([p[k].size for k in sorted(p)])
+    return {k: values[e - p[k].size : e].reshape(p[k].shape) for k, e in zip(sorted(p), ends.tolist(), strict=True)}
+
+
+def _began(net: Network, epochs: int):
+    """All windows of a bounded sample, in order, to the parameters after ``epochs`` over them."""
+
+    def rows(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            words_ = WordTable(*flat(t.column("window").chunk(0)))
+            label, count = t.column("toxic").to_numpy().astype(np.float32), np.bincount(words_.row, minlength=t.num_rows)
+            full = np.flatnonzero(count)
+            net.train(words_, (np.cumsum(count) - count)[full], count[full], label[full], epochs)
+            yield pa.RecordBatch.from_arrays([pa.array([_joined(net.p).tobytes()], pa.binary())], ["parameters"])
+
+    return rows
+
+
 class Learner:
     """Goes on from a network over the windows of one deal, some at a time."""
 
@@ -484,7 +564,7 @@ class Learner:
     def change(self) -> pa.RecordBatch:
         """The change of every parameter, in pieces of CHUNK, and how many windows were read for it."""
         self.learn()
-        change = np.concatenate([(self.own.p[k] - self.net.p[k]).ravel() for k in sorted(self.net.p)])
+        change = _joined({k: self.own.p[k] - self.net.p[k] for k in self.net.p})
         cuts = range(0, len(change), CHUNK)
         columns = pa.array(range(len(cuts)), pa.int32()), pa.array([self.deal] * len(cuts), pa.int64()), pa.array([self.read] * len(cuts), pa.int64()), pa.array([change[i : i + CHUNK].tobytes() for i in cuts], pa.binary())
         return pa.RecordBatch.from_arrays(list(columns), ["part", "deal", "windows", "change"])
@@ -527,7 +607,8 @@ def learned(net: Network, windows: DataFrame, n: int, toxic: float, rate: float
     """Goes on training ``net`` on all ``n`` rows of ``windows`` (window, toxic), each once; returns how many windows were learned from.
 
     Windows are dealt by hash to rounds and deals. In a round each deal goes on from the same network over its own windows,
-    and Spark averages what they changed, whatever number of partitions they are in. One network a round reaches the driver.
+    and Spark averages what they changed, whatever number of partitions they are in. One network a round reaches the driver;
+    what a round shuffled goes when it is written.
     """
     rounds = min(ROUNDS, max(1, n // DEAL_WINDOWS))
     deals = max(1, min(ROUND_DEALS, n // rounds // DEAL_WINDOWS))
@@ -535,16 +616,14 @@ def learned(net: Network, windows: DataFrame, n: int, toxic: float, rate: float
     at = F.xxhash64("window", F.lit(7))
     for k in range(rounds):
         part = windows.filter(F.pmod(at, F.lit(rounds)) == k).withColumn("deal", F.pmod(F.xxhash64("window", F.lit(11)), F.lit(deals)))
-        part = part.repartition(4 * deals, "deal").sortWithinPartitions("deal", at, "window", "toxic")
+        part = part.repartitionById(deals, F.col("deal").cast("int")).sortWithinPartitions("deal", at, "window", "toxic")
         found = part.mapInArrow(_trained(net, toxic, rate * (1 - k / (2 * rounds))), "part int, deal long, windows long, change binary")
-        pieces_ = sorted((r.part, r.windows, bytes(r.change)) for r in found.groupBy("part").applyInArrow(_averaged, "part int, windows long, change binary").collect())
+        mean = stored(found.groupBy("part").applyInArrow(_averaged, "part int, windows long, change binary"), "toxicity-change")
+        pieces_ = sorted((r.part, r.windows, bytes(r.change)) for r in mean.collect())
         if not pieces_:
             continue
-        change, done = np.frombuffer(b"".join(x[2] for x in pieces_), np.float32), 0
-        for name in sorted(net.p):
-            size = net.p[name].size
-            net.p[name] = net.p[name] + change[done : done + size].reshape(net.p[name].shape)
-            done += size
+        change = _parted(np.frombuffer(b"".join(x[2] for x in pieces_), np.float32), net.p)
+        net.p = {name: x + change[name] for name, x in net.p.items()}
         read += pieces_[0][1]
     return read
 
@@ -552,26 +631,24 @@ def learned(net: Network, windows: DataFrame, n: int, toxic: float, rate: float
 def fit(docs: DataFrame, labels: DataFrame, epochs: int = 5) -> Network:
     """A network fitted on all windows of all labelled documents but those that set its threshold (``tuning``), which are all judged for it.
 
-    Words are counted over all windows. The weights begin with ``epochs`` over those of a bounded number of documents, on the
-    driver; then Spark's tasks learn from every window (``learned``). The threshold comes from the counts of all tuning
+    Texts meet their labels once. Words are counted over all windows. The weights begin with ``epochs`` over those of a bounded
+    number of documents, in one task; then Spark's tasks learn from every window (``learned``). The threshold comes from the counts of all tuning
     documents by class and logit, in BINS to a unit. Without labelled documents of both classes the network is
     untrained and scores the texts alike.
     """
-    windows = stored(_texts(docs, _labelled(labels, False)).mapInArrow(_windows, "window binary, toxic int"), "toxicity-windows")
+    texts = stored(_texts(docs, labels), "toxicity-texts")
+    windows = stored(_windows_of(_side(texts, False)), "toxicity-windows")
     n, toxic = windows.agg(F.count("*"), F.coalesce(F.avg((F.col("toxic") > 0).cast("int")), F.lit(0.0))).first()
     if not 0 < toxic < 1:
         return Network.new(np.zeros(0, np.uint64))
     net = Network.new(vocabulary(windows))
-    rows = _sampled(docs, labels, TRAIN_DOCS, 1, window_rows=True)
-    label = np.array([t for _, t in rows], np.float32)
-    table_ = WordTable(*flat(pa.array([w for w, _ in rows], pa.binary())))
-    count = np.bincount(table_.row, minlength=len(rows))
-    full = np.flatnonzero(count)
-    net.train(table_, (np.cumsum(count) - count)[full], count[full], label[full], epochs)
+    first = _windows_of(_share(_side(texts, False), TRAIN_DOCS, 1)).repartition(1).sortWithinPartitions("window", "toxic")  # bounded by TRAIN_DOCS
+    for r in first.mapInArrow(_began(net, epochs), "parameters binary").collect():
+        net.p = _parted(np.frombuffer(r.parameters, np.float32), net.p)
     learned(net, windows, n, float(toxic))
     net.prior = float(toxic)
 
-    judged = _sampled(docs, labels, None, 2, window_rows=False).mapInArrow(_score_rows(net, ["toxic"]), "toxic int, score double")
+    judged = _side(texts, True).select("toxic", "text").mapInArrow(_score_rows(net, ["toxic"]), "toxic int, score double")
     judged = judged.select("toxic", F.round(F.log(F.col("score") / (1 - F.col("score"))) * BINS).cast("int").alias("bin"))
     found = sorted((r[0], r[1], r[2]) for r in judged.groupBy("toxic", "bin").count().collect())  # at most 60 bins' units a class
     y, s, many = np.array(found, np.int64).reshape(-1, 3).T

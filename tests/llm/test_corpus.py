@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import math
+import pathlib
 import random
 import re
 import time
@@ -537,6 +538,45 @@ def test_fit_learns_from_every_labelled_document(spark, monkeypatch):
     assert again.shift == pytest.approx(net.shift, abs=1e-6) and all(np.allclose(v, again.p[k], atol=1e-6) for k, v in net.p.items())
 
 
+def test_fit_moves_texts_once_and_keeps_no_shuffle_of_a_round(spark, monkeypatch):
+    """Texts meet their labels in one join, nothing is trained on the driver, and the rounds leave no shuffle file behind."""
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 5)
+    monkeypatch.setattr(toxicity, "DEAL_WINDOWS", 60)
+    docs = spark.createDataFrame([(i, prose(i, 90) + (" vile" if i % 3 == 0 else " mild")) for i in range(300)], "doc_id long, text string").repartition(4)
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS toxic")
+    texts, learned, seen = toxicity._texts, toxicity.learned, {"joins": 0, "trained": 0, "left": 0}
+    local = pathlib.Path(spark.conf.get("spark.local.dir"))
+    held = lambda: {x.name for x in local.rglob("shuffle_*.data")}
+
+    def joined(*a):
+        seen["joins"] += 1
+        return texts(*a)
+
+    def spied(net, windows, n, toxic):
+        before = held()
+        learned(net, windows, n, toxic)
+        seen["left"] = len(held() - before)
+
+    monkeypatch.setattr(toxicity, "_texts", joined)
+    monkeypatch.setattr(toxicity, "learned", spied)
+    monkeypatch.setattr(toxicity.Network, "train", lambda *a, **k: seen.update(trained=1))
+    toxicity.fit(docs, labels, epochs=1)
+    assert seen == {"joins": 1, "trained": 0, "left": 0}
+
+
+def test_windows_that_hold_each_word(spark):
+    """Counts of windows by word, and distinct hashes, equal those of plain sets."""
+    windows = [b" ".join(w.encode() for w in prose(i % 5, 10 + i).split()) for i in range(30)] + [b"", b"one one two", b"one"]
+    hashes = lambda w: toxicity.tokens(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[4]
+    want = collections.Counter(h for w in windows for h in set(hashes(w).view(np.int64).tolist()))
+    found = toxicity._word_counts([pa.record_batch([pa.array(windows, pa.binary())], ["window"])])
+    assert {k: v for b in found for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} == want
+    every = np.concatenate([hashes(w) for w in windows])
+    for x, y in zip(toxicity.distinct(every), np.unique(every, return_index=True, return_inverse=True), strict=True):
+        assert np.array_equal(x, y)
+    assert [len(x) for x in toxicity.distinct(every[:0])] == [0, 0, 0]
+
+
 def test_threshold_parts_the_classes():
     logit, label = np.array([-3.0, -2.5, -2.0, -1.5, 1.5, 2.0, 2.5, 3.0]), np.array([0, 0, 0, 0, 1, 1, 1, 1])
     assert -1.5 < toxicity._threshold(logit, label) < 1.5 and toxicity._threshold(logit, label) == toxicity._threshold(logit, label)
