@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ WINDOW, STRIDE = 64, 48
 GRAMS = (3, 5)
 #: A word's bytes pass the character layer in pieces of at most so many, all of them.
 PIECE = 16
-#: Word vectors that a scoring task keeps for its next texts (some 40 MB); with more it begins anew.
+#: Word vectors that a scoring process keeps for its next texts (some 40 MB); without room for more only those met again stay.
 KEPT_WORDS = 300_000
 LOWER = np.frombuffer(LOWER_BYTES, np.uint8)
 #: What comes off the ends of a word.
@@ -240,10 +241,10 @@ class WordTable:
 
 
 class WordVectors:
-    """The word layer's inputs of the words that a task has met, so that none is spelled for each batch of texts."""
+    """The word layer's inputs of the words that a process has met, so that none is spelled for each batch of texts."""
 
     def __init__(self):
-        self.hashes, self.x = np.zeros(0, np.uint64), None
+        self.hashes, self.x, self.again = np.zeros(0, np.uint64), None, np.zeros(0, np.bool_)
 
     def of(self, hashes: np.ndarray, embed) -> np.ndarray:
         """A row per word of ``hashes`` (sorted, distinct); ``embed`` makes those of the places it is given."""
@@ -251,6 +252,7 @@ class WordVectors:
         hit = np.zeros(len(hashes), np.bool_)
         if len(self.hashes):
             hit = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes
+            self.again[at[hit]] = True
         new = np.flatnonzero(~hit)
         made = [embed(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
         if self.x is None:
@@ -260,11 +262,14 @@ class WordVectors:
         if made:
             x[new] = np.concatenate(made)
         if len(self.hashes) + len(new) > KEPT_WORDS:
-            self.hashes, self.x = hashes[:KEPT_WORDS], x[:KEPT_WORDS]
-        elif made:
+            stay = np.flatnonzero(self.again)[:KEPT_WORDS]
+            self.hashes, self.x, self.again = self.hashes[stay], self.x[stay], np.zeros(len(stay), np.bool_)
+            new = new[: KEPT_WORDS - len(stay)]
+        if len(new):
             both = np.concatenate((self.hashes, hashes[new]))
             order = np.argsort(both, kind="stable")
             self.hashes, self.x = both[order], np.concatenate((self.x, x[new]))[order]
+            self.again = np.append(self.again, np.zeros(len(new), np.bool_))[order]
         return x
 
 
@@ -680,9 +685,21 @@ def _least_cost(logit: np.ndarray, label: np.ndarray, many: np.ndarray) -> float
     return float((x[max(at - 1, 0)] + x[min(at, len(x) - 1)]) / 2)
 
 
+#: The word vectors of the network that a process scored with last.
+_MET: dict[str, WordVectors] = {}
+
+
+def _met(net: Network) -> WordVectors:
+    key = hashlib.sha256(net.vocabulary.tobytes() + _joined(net.p).tobytes()).hexdigest()
+    if key not in _MET:
+        _MET.clear()
+        _MET[key] = WordVectors()
+    return _MET[key]
+
+
 def _score_rows(net: Network, names: list[str]):
     def rows(batches):
-        met = WordVectors()
+        met = _met(net)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(net.scores(batch.column("text"), met))], [*names, "score"])
 

@@ -443,6 +443,19 @@ def test_kept_word_vectors_change_no_score(monkeypatch):
         assert [net.scores(pa.array([x]), met)[0] for x in texts] == pytest.approx(alone, abs=1e-5) and len(met.hashes) <= room
 
 
+def test_words_met_again_stay(monkeypatch):
+    """Without room the vectors of words that came once go, and those of another network are never used."""
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 30)
+    net, made = toxicity.Network.new(np.zeros(0, np.uint64)), []
+    embed = net.embed
+    monkeypatch.setattr(net, "embed", lambda ids, *a: made.append(len(ids)) or embed(ids, *a))
+    met = toxicity._met(net)
+    for i in range(8):
+        net.scores(pa.array(["often met words " + " ".join(f"rare{i}x{k}" for k in range(10))]), met)
+    assert sum(made) == 3 + 8 * 10
+    assert toxicity._met(net) is met and toxicity._met(toxicity.Network.new(np.zeros(0, np.uint64), seed=5)) is not met
+
+
 def test_windows_cover_and_overlap():
     for n in (0, 1, 64, 65, 100, 112, 113, 1000):
         s = toxicity.window_starts(n)
