@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,68 @@ def test_forest_on_curved_classes(spark, monkeypatch):
     assert small["illicit_auc"] > 0.96
 
 
+def test_draws_of_a_row_that_stands_for_several():
+    key = np.arange(100_000)
+    for n in (3.0, 60.0, 5000.0):
+        a = forest.draws(key, 0, 7, n)
+        assert abs(a.mean() / n - 1) < 0.01 and abs(a.var() / n - 1) < 0.03
+    mixed = forest.draws(key, 0, 7, np.where(key < 40_000, 1.0, 60.0))
+    assert np.array_equal(mixed, np.concatenate((forest.draws(key[:40_000], 0, 7, 1.0), forest.draws(key[40_000:], 0, 7, 60.0))))
+
+
+def test_a_tree_grown_in_blocks():
+    """Large nodes alone, then blocks of subtrees: with one feature the same cuts as at once."""
+    rng = np.random.default_rng(5)
+    codes, y, count = rng.integers(0, 256, (3000, 1)).astype(np.uint8), rng.integers(0, 2, 3000), rng.poisson(1, 3000)
+    for depth in (None, 4):
+        one, blocks = (forest.grow(codes, y, count, (0.7, 1.9), 1, depth, rng, block) for block in (1 << 16, 50))
+        assert nested(one) == nested(blocks)
+
+
+@pytest.mark.parametrize("n_features", [4, 300])
+def test_a_packed_tree_scores_as_the_tree(n_features):
+    rng = np.random.default_rng(6)
+    codes, y = rng.integers(0, 9, (700, n_features)).astype(np.uint8), rng.integers(0, 2, 700)
+    tree = forest.grow(codes, y, np.ones(700, int), (0.4, 1.0), 2, 6, rng)
+    held = forest.packed(tree, n_features)
+    sent = type("Sent", (), {"value": [tuple(held.values())] * 2})
+    batch = pa.RecordBatch.from_pydict({"codes": [r.tobytes() for r in codes], "votes": [0.5] * 700})
+    (found,) = forest._votes([batch.slice(0, 300), batch.slice(300)], n_features, sent, at_once=64)
+    for row, votes in zip(codes, found["votes"].to_pylist(), strict=True):
+        at = 0
+        while tree["feature"][at] >= 0:
+            at = tree["child"][at] + (row[tree["feature"][at]] > tree["cut"][at])
+        assert votes == pytest.approx(0.5 + 2 * tree["p"][at])
+
+
+def test_rows_are_not_dealt_to_each_tree(spark):
+    """What a fit shuffles doesn't grow with the number of trees, also where trees are grown on a part of the rows."""
+    train = curved(spark, 3000).filter("split = 'train'").select(F.xxhash64("tx_id").alias("key"), "features", "y")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: store.executorList(False).apply(0).totalShuffleWrite()
+    moved = []
+    for trees in (25, 200):
+        before = written()
+        assert forest.fit(train, (1.0, 1.0), num_trees=trees, tree_rows=400)["trees"].count() == trees
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        moved.append(written() - before)
+    assert 0 < moved[1] < 2 * moved[0]
+
+
+def test_equal_rows_are_held_once(spark, monkeypatch):
+    """Copies of rows count in a tree's draws and are all scored, but their bins are written, dealt and scored once."""
+    kept, parts = {}, curved(spark, 900)
+    copies = parts.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).withColumn("tx_id", F.concat("tx_id", F.lit("-"), "copy")).drop("copy")
+    monkeypatch.setattr(forest, "stored", lambda df, label: kept.setdefault(label, []).append(out := stored(df, label)) or out)
+    monkeypatch.setattr(forest, "dropped", lambda df: None)
+    scored = models.fit_predict(copies, "rf", num_trees=16)
+    assert scored.count() == 40 * 300 and floor.evaluate(scored)["illicit_auc"] > 0.97
+    assert scored.groupBy(F.substring_index("tx_id", "-", 1)).agg(F.countDistinct("score").alias("n"), F.count("*").alias("rows")).filter("n = 1 AND rows = 40").count() == 300
+    (rows,) = kept["forest-rows"]
+    assert rows.count() <= 600 and rows.agg(F.sum("n")).first()[0] == 40 * 600
+    assert all(x.count() <= 300 for x in kept["forest-votes"])
+
+
 def test_logistic_fit_is_the_optimum(spark):
     parts = curved(spark, 600).select("tx_id", F.transform("features", lambda v: F.coalesce(v, F.lit(0.5))).alias("features"), "y", "split")
     rows = models.logistic_gradient(parts).collect()
