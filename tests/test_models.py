@@ -1,6 +1,8 @@
 """Metrics, models, run log and report."""
 
 import json
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -340,6 +342,17 @@ def test_grid_fits_a_seedless_baseline_once(spark, separable, tmp_path, monkeypa
     assert {json.loads(r.metrics_json)["illicit_f1"] for r in log} == {1.0}
 
 
+def test_grid_writes_its_rows_once(spark, separable, tmp_path, monkeypatch):
+    """Each fit reads the one table of the split, and a forest's trees go once its votes are written."""
+    kept, left = [], []
+    monkeypatch.setattr(models, "stored", lambda df, label: kept.append(label) or stored(df, label))
+    monkeypatch.setattr(forest, "stored", lambda df, label: left.append((label, out := stored(df, label))) or out)
+    floor.run_floor_grid(separable, SPLIT, str(tmp_path / "log"), num_trees=8)
+    assert kept == []
+    trees = [urlparse(path).path for label, df in left if label == "forest" for path in df._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths().mkString(",").split(",")]
+    assert len(trees) == 3 and not any(Path(x).exists() for x in trees)
+
+
 def test_part_files_tell_a_rewritten_log(spark, tmp_path):
     path = str(tmp_path / "log")
     row = lambda k: spark.createDataFrame([(f"t{k}", f"r{k}", "m", None, "h", None, False, k, "d", "{}", 1.0, "n")], runlog.RUN_LOG).coalesce(1)
