@@ -295,6 +295,22 @@ def test_a_packed_tree_scores_as_the_tree(n_features):
         assert votes == pytest.approx(0.5 + 2 * tree["p"][at])
 
 
+def test_a_group_s_trees_from_what_is_dealt_to_it():
+    """Numbers of copies travel in a byte or in eight; trees are those of the rows' draws, in whatever order the rows come."""
+    rng = np.random.default_rng(8)
+    codes, y, n = rng.integers(0, 50, (600, 2)).astype(np.uint8), rng.integers(0, 2, 600).astype(np.uint8), rng.integers(1, 200, 600)
+    n[400:] += 200
+    halves = [forest._sent(codes[s], y[s], n[s]) for s in (slice(400, None), slice(0, 400))]
+    assert [len(x[2]) for x in halves] == [8 * 200, 400]
+    batch = pa.RecordBatch.from_pydict({"grp": [1, 1], **{c: [x[i] for x in halves] for i, c in enumerate(("codes", "y", "n"))}})
+    found = [r for made in forest._grown([batch], 2, 5, 3, 0, (1.0, 1.0), 1, None) for r in made.to_pylist()]
+    assert [r["tree"] for r in found] == [3, 4]
+    for r in found:
+        count = forest.draws(forest.keys(codes, y), r["tree"], 0, n)
+        tree = forest.grow(codes, y, count, (1.0, 1.0), 1, None, np.random.default_rng([0, r["tree"]]))
+        assert {k: r[k] for k in ("feature", "cut", "p")} == forest.packed(tree, 2)
+
+
 def test_rows_are_not_dealt_to_each_tree(spark):
     """What a fit shuffles doesn't grow with the number of trees, also where trees are grown on a part of the rows."""
     train = curved(spark, 3000).filter("split = 'train'").select(F.xxhash64("tx_id").alias("key"), "features", "y")
